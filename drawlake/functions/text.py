@@ -22,22 +22,22 @@ MAX_MAGNITUDE = 1e6
 
 @lru_cache(maxsize=1)
 def _compatibility_pairs() -> tuple[str, str]:
-    """Single characters with a single-character NFKC form, from the Unicode tables."""
+    """Characters whose NFKC form is one character of the grammar, from the Unicode tables."""
     source, target = [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF or code > 0xFFFF:
             continue
         folded = unicodedata.normalize("NFKC", char)
-        if len(folded) == 1 and folded != char and ord(folded) <= 0xFFFF:
+        if len(folded) == 1 and folded != char and (" " <= folded <= "~" or folded in "ØøΦφδΔ±°×"):
             source.append(char)
             target.append(folded)
     return "".join(source), "".join(target)
 
 
 def compatibility_form(text: Column) -> Column:
-    """NFKC of single characters on the JVM side; multi-character forms need ``nfkc``."""
-    return F.translate(text, *_compatibility_pairs())
+    """NFKC of the single characters the grammar can use, on the JVM side; see also ``full_nfkc``."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *_compatibility_pairs())).otherwise(text)
 
 
 def full_nfkc():
@@ -91,38 +91,45 @@ def with_dimension(df: DataFrame, text: str = "text", out: str = "dimension") ->
     )
     g = F.col("_p.g")
     special = F.col("_p.finish") | F.col("_p.symbol")
-    mark = F.when(F.get(g, 0) == "", "length").when(F.lower(F.get(g, 0)) == "r", "radius").otherwise("diameter")
-    angle = F.get(g, 7) == "°"
 
     def value(i):
         return F.get(g, i).try_cast("double")
 
-    one, plus = value(6), F.get(g, 5) == "+"
-    upper = F.coalesce(value(2), value(3), F.when(plus, one), F.when(one.isNotNull(), F.lit(0.0)))
-    lower = F.coalesce(-value(2), value(4), F.when(plus, F.lit(0.0)), -one)
+    numbers = F.struct(
+        F.when(F.get(g, 0) == "", "length").when(F.lower(F.get(g, 0)) == "r", "radius").otherwise("diameter").alias("mark"),
+        (F.get(g, 7) == "°").alias("angle"), value(1).alias("nominal"), value(2).alias("sym"), value(3).alias("up"),
+        value(4).alias("low"), (F.get(g, 5) == "+").alias("plus"), value(6).alias("one"), (F.size(g) == 8).alias("full"),
+    )
+    df = df.select("*", F.explode(F.array(numbers)).alias("_v"))
+    one, plus = F.col("_v.one"), F.col("_v.plus")
+    upper = F.coalesce(F.col("_v.sym"), F.col("_v.up"), F.when(plus, one), F.when(one.isNotNull(), F.lit(0.0)))
+    lower = F.coalesce(-F.col("_v.sym"), F.col("_v.low"), F.when(plus, F.lit(0.0)), -one)
+    df = df.select("*", F.explode(F.array(F.struct(upper.alias("upper"), lower.alias("lower")))).alias("_t"))
 
     def bounded(x):
         return F.coalesce(F.abs(x) <= MAX_MAGNITUDE, F.lit(True))
 
-    good = (
-        (F.size(g) == 8) & ~special
-        & F.coalesce(upper >= lower, F.lit(True))
+    mark, angle, upper, lower = F.col("_v.mark"), F.col("_v.angle"), F.col("_t.upper"), F.col("_t.lower")
+    passes = (
+        F.col("_v.full") & ~special & F.coalesce(upper >= lower, F.lit(True))
         & (one.isNull() | ((mark != "length") & ~angle))
-        & bounded(value(1)) & bounded(upper) & bounded(lower)
+        & bounded(F.col("_v.nominal")) & bounded(upper) & bounded(lower)
     )
+    df = df.select("*", F.explode(F.array(passes)).alias("_ok"))
+    good = F.col("_ok")
     kind = (
         F.when(F.col("_p.finish"), "surface_finish").when(F.col("_p.symbol"), "symbol")
         .when(good & angle, "angle").when(good, mark).otherwise("unknown")
     )
     parsed = F.struct(
         kind.alias("kind"),
-        F.when(good, value(1)).alias("nominal"),
+        F.when(good, F.col("_v.nominal")).alias("nominal"),
         F.when(good, upper).alias("upper"),
         F.when(good, lower).alias("lower"),
         F.when(good, F.when(angle, "deg").otherwise("mm")).alias("unit"),
         (F.col("_p.wrapped") & ~special).alias("is_reference"),
     )
-    return df.select("*", F.explode(F.array(parsed)).alias(out)).drop("_n", "_p")
+    return df.select("*", F.explode(F.array(parsed)).alias(out)).drop("_n", "_p", "_v", "_t", "_ok")
 
 
 def compact_upper(text: Column) -> Column:

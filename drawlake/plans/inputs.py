@@ -45,8 +45,8 @@ define_input(
     "ocr_records",
     """SELECT l_orderkey AS case_id,
        concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS record_id,
-       l_linenumber AS ord, l_partkey % 1000 * 1.0 AS x0, l_suppkey * 1.0 AS y0,
-       20.0 + l_linenumber AS box_w, 8.0 AS box_h, l_discount * 10 AS score,
+       l_linenumber AS ord, l_partkey % 1000 * 1e0 AS x0, l_suppkey * 1e0 AS y0,
+       20e0 + l_linenumber AS box_w, 8e0 AS box_h, l_discount * 10 AS score,
        CASE l_partkey % 24
          WHEN 0 THEN concat('R', q) WHEN 1 THEN concat('Ø', q) WHEN 2 THEN concat(q, '±', l_tax)
          WHEN 3 THEN concat(q, '°') WHEN 4 THEN concat('(', q, ')') WHEN 5 THEN concat('R', q, '+0.5')
@@ -64,10 +64,10 @@ define_input(
 define_input(
     "strokes",
     """SELECT case_id, stroke_id, 'x' AS axis, lo, lo + nominal * ppm AS hi, cross_at, nominal * ppm AS span,
-       1.0 + thick AS thickness, nominal, ppm, kind FROM (
+       1e0 + thick AS thickness, nominal, ppm, kind FROM (
        SELECT l_orderkey AS case_id,
        concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS stroke_id,
-       l_partkey % 100 * 1.0 AS lo, 30.0 * l_linenumber + l_suppkey % 23 AS cross_at, l_quantity AS nominal,
+       l_partkey % 100 * 1e0 AS lo, 30e0 * l_linenumber + l_suppkey % 23 AS cross_at, l_quantity AS nominal,
        (2 + l_orderkey % 3) * (CASE WHEN l_suppkey % 4 = 0 THEN 1.5 ELSE 1 + l_tax / 8 END) AS ppm,
        l_suppkey % 3 AS thick,
        CASE WHEN l_partkey % 3 = 0 THEN 'diameter' ELSE 'length' END AS kind
@@ -76,15 +76,15 @@ define_input(
 define_input(
     "labels_px",
     """SELECT case_id, stroke_id AS record_id, axis, kind, nominal, (lo + hi) / 2 AS center, span / 3 AS along,
-       cross_at - 2 AS bottom, 8.0 AS height FROM {strokes}""",
+       cross_at - 2 AS bottom, 8e0 AS height FROM {strokes}""",
 )
 # Vertical extension strokes that can split or delimit the dimension strokes above.
 define_input(
     "crossings",
     """SELECT l_orderkey AS case_id,
        concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, 'v') AS crossing_id,
-       l_partkey % 157 * 1.0 AS cross_at, 25.0 * l_linenumber AS lo, 25.0 * l_linenumber + 20 + l_quantity * 2 AS hi,
-       20 + l_quantity * 2 AS span, 1.0 + l_suppkey % 3 AS thickness, l_suppkey % 2 = 0 AS arrow_low,
+       l_partkey % 157 * 1e0 AS cross_at, 25e0 * l_linenumber AS lo, 25e0 * l_linenumber + 20 + l_quantity * 2 AS hi,
+       20 + l_quantity * 2 AS span, 1e0 + l_suppkey % 3 AS thickness, l_suppkey % 2 = 0 AS arrow_low,
        l_suppkey % 3 <> 0 AS arrow_high FROM {lineitem}""",
 )
 # Closed LINE rings: 64 floats of a vector are 32 points.
@@ -123,7 +123,7 @@ define_input(
     "arcs",
     """SELECT l_orderkey AS case_id,
        concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS entity_id, l_linenumber AS ord,
-       l_quantity AS cx, l_discount * 100 AS cy, 1.0 + l_linenumber AS radius, l_tax * 10 AS angle,
+       l_quantity AS cx, l_discount * 100 AS cy, 1e0 + l_linenumber AS radius, l_tax * 10 AS angle,
        1 + l_discount * 10 AS sweep, l_suppkey % 2 = 0 AS clockwise, l_partkey AS part_id, l_suppkey AS source_id,
        l_quantity AS q, l_tax AS tax
        FROM {lineitem}""",

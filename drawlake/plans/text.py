@@ -240,7 +240,7 @@ def dimension_agreement(t):
     "unresolved_records",
     f"""SELECT record_id, CASE WHEN kind = 'angle' THEN 'angle_unbound' WHEN kind <> 'radius' OR NOT coalesce(nominal > 0, false) THEN 'source_radius_text_requires_review'
        WHEN attempts >= 2 THEN 'attempt_budget_exhausted' ELSE 'requested' END AS decision FROM (
-       SELECT q.*, coalesce(a.n, 0) AS attempts FROM ({PARSED}) q LEFT JOIN (SELECT record_id, count(*) AS n FROM {{rereads}} WHERE text IS NOT NULL AND text LIKE 'R%' GROUP BY record_id) a USING (record_id)
+       SELECT q.*, coalesce(a.tries, 0) AS attempts FROM ({PARSED}) q LEFT JOIN (SELECT record_id, count(*) AS tries FROM {{rereads}} WHERE text IS NOT NULL AND text LIKE 'R%' GROUP BY record_id) a USING (record_id)
        WHERE (kind = 'angle' OR n LIKE 'R%') AND record_id NOT IN (SELECT trial_id FROM {{trials}} WHERE reference_within)) s""",
 )
 def unresolved_records(t):

@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "drawlake") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("DRAWLAKE_DRIVER_MEMORY", "12g"))
         .config("spark.driver.extraJavaOptions", "-XX:+ExitOnOutOfMemoryError")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
