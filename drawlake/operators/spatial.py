@@ -46,7 +46,8 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], lx: str, ly: s
 
 def segment_distance(px: Column, py: Column, sx: Column, sy: Column, ex: Column, ey: Column) -> Column:
     dx, dy = ex - sx, ey - sy
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - sx) * dx + (py - sy) * dy) / (dx * dx + dy * dy)))
+    squared = F.greatest(dx * dx + dy * dy, F.lit(1e-300))  # a point is a segment of length zero
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - sx) * dx + (py - sy) * dy) / squared))
     return F.hypot(px - sx - t * dx, py - sy - t * dy)
 
 
@@ -84,13 +85,18 @@ def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id:
         F.least(ax, bx).alias("_x0"), F.least(ay, by).alias("_y0"), F.greatest(ax, bx).alias("_x1"), F.greatest(ay, by).alias("_y1"),
         F.explode(F.sequence(F.lit(0), F.col("_top") + 2)).alias("_level"),
     ).withColumn("_size", size_of(F.col("_level")))
-    # The box grows by one cell, so a point only looks into its own cell.
     s = F.col("_size")
     spread = pieces.withColumn(
         "_cell",
-        F.explode(cells_of_box(F.col("_x0") - F.col("_x") - s, F.col("_y0") - F.col("_y") - s, F.col("_x1") - F.col("_x") + s, F.col("_y1") - F.col("_y") + s, s)),
+        F.explode(cells_of_box(F.col("_x0") - F.col("_x"), F.col("_y0") - F.col("_y"), F.col("_x1") - F.col("_x"), F.col("_y1") - F.col("_y"), s)),
     ).select(case, "_level", "_cell", "sx", "sy", "ex", "ey", *carry)
-    occupied = spread.select(case, "_level", "_cell").distinct()
+
+    def around(cell):
+        steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+        return F.explode(F.array(*[F.struct((cell["cx"] + dx).alias("cx"), (cell["cy"] + dy).alias("cy")) for dx, dy in steps]))
+
+    # Cells are made distinct before they are copied to their neighbours: coarse levels hold few.
+    occupied = spread.select(case, "_level", "_cell").distinct().select(case, "_level", around(F.col("_cell")).alias("_cell")).distinct()
 
     def own_cell(level):
         s = size_of(level)
@@ -104,7 +110,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id:
         .groupBy(case, *point_id, "px", "py", "_x", "_y", "_extent", "_top")
         .agg(F.min("_level").alias("_level"))
     )
-    looked = found.withColumn("_level", F.col("_level") + 2).withColumn("_cell", own_cell(F.col("_level")))
+    looked = found.withColumn("_level", F.col("_level") + 2).withColumn("_own", own_cell(F.col("_level")))
+    looked = looked.select(case, *point_id, "px", "py", "_level", around(F.col("_own")).alias("_cell"))
     pairs = looked.join(spread, [case, "_level", "_cell"])
     distance = segment_distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
     best = F.min(F.struct(distance.alias("distance"), *carry))

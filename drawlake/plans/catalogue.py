@@ -1,7 +1,7 @@
 """Collects the registered queries of every family."""
 
 from drawlake.plans import inputs  # noqa: F401
-from drawlake.plans import geometry, report, scale, text  # noqa: F401
+from drawlake.plans import corpus, geometry, masks, report, scale, text  # noqa: F401
 from drawlake.plans import registry
 
 

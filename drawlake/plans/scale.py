@@ -36,9 +36,9 @@ def diameters(t):
     return scale.diameter_witnesses(t("labels_px").where("kind = 'diameter'"), t("strokes").drop("nominal", "ppm", "kind"))
 
 
-@query("label_stroke_join", f"SELECT case_id, record_id, axis, stroke_id, round(distance, 6) AS distance, round(ppm, 6) AS pixels_per_mm FROM ({LENGTHS}) q")
+@query("label_stroke_join", f"SELECT case_id, record_id, axis, stroke_id, round(distance, 9) AS distance, round(ppm, 9) AS pixels_per_mm FROM ({LENGTHS}) q")
 def label_stroke_join(t):
-    return lengths(t).select("case_id", "record_id", "axis", "stroke_id", F.round("distance", 6).alias("distance"), F.round("pixels_per_mm", 6).alias("pixels_per_mm"))
+    return lengths(t).select("case_id", "record_id", "axis", "stroke_id", F.round("distance", 9).alias("distance"), F.round("pixels_per_mm", 9).alias("pixels_per_mm"))
 
 
 @query("diameter_stroke_join", f"SELECT case_id, record_id, stroke_id, round(score, 6) AS score FROM ({DIAMETERS}) q")
