@@ -19,10 +19,9 @@ def sample_lines(lines: DataFrame, step: float) -> DataFrame:
 
 
 def directed(source: DataFrame, target: DataFrame, step: float) -> DataFrame:
-    """Distance of each source sample to the nearest target line, with that line's ``ord``."""
+    """Distance of each source sample to the nearest target line of its case."""
     samples = sample_lines(source, step).select("case_id", "ord", "sample", "px", "py")
-    other = target.select("case_id", F.col("ord").alias("near_ord"), "sx", "sy", "ex", "ey")
-    return nearest_segment(samples, other, "case_id", ["ord", "sample"], ["near_ord"])
+    return nearest_segment(samples, target.select("case_id", "sx", "sy", "ex", "ey"), "case_id", ["ord", "sample"])
 
 
 def ring_next(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from drawlake.operators.spatial import components, nearest_segment
+from drawlake.session import checkpoint
 
 
 def overlap_counts(predicted: DataFrame, target: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def boundary_distances(source: DataFrame, target: DataFrame) -> DataFrame:
     points = source.select("mask_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
     dots = target.select("mask_id", *[F.col(c).cast("double").alias(n) for c, n in (("x", "sx"), ("y", "sy"), ("x", "ex"), ("y", "ey"))])
     keyed = points.withColumns({"ix": F.col("px"), "iy": F.col("py")})
-    return nearest_segment(keyed, dots, "mask_id", ["ix", "iy"], [])
+    return nearest_segment(keyed, dots, "mask_id", ["ix", "iy"])
 
 
 def runs(pixels: DataFrame) -> DataFrame:
@@ -76,30 +77,34 @@ def background_runs(foreground: DataFrame, width: int, height: int) -> DataFrame
     return gaps.select("mask_id", "y", (F.col("x1") + 1).alias("x0"), (F.col("_next") - 1).alias("x1"))
 
 
-def run_components(run_rows: DataFrame, diagonal: bool) -> DataFrame:
-    """Component of every run; runs of neighbouring rows touch when their spans overlap."""
+def run_edges(run_rows: DataFrame, kind: str, diagonal: bool) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one adjacency; runs of neighbouring rows touch when their spans overlap."""
     reach = 1 if diagonal else 0
-    node = F.struct("mask_id", "y", "x0")
+    node = F.struct(F.lit(kind).alias("kind"), "mask_id", "y", "x0")
     here = run_rows.select("mask_id", "y", "x0", "x1", node.alias("a"))
     below = run_rows.select("mask_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("z0"), F.col("x1").alias("z1"), node.alias("b"))
     touching = here.join(below, ["mask_id", "y"]).where((F.col("x0") <= F.col("z1") + reach) & (F.col("z0") <= F.col("x1") + reach))
-    return components(touching.select("a", "b"), run_rows.select(node.alias("node")))
+    return run_rows.select(node.alias("node")), touching.select("a", "b")
 
 
 def topology(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Components under both adjacencies, holes and Euler numbers, one row per mask."""
-    rows = runs(pixels)
-    back = background_runs(rows, width, height)
-
-    def count(df, diagonal, name):
-        return run_components(df, diagonal).groupBy(F.col("node.mask_id").alias("mask_id")).agg(F.count_distinct("component").alias(name))
-
-    out = count(rows, False, "components_4").join(count(rows, True, "components_8"), "mask_id")
-    out = out.join(count(back, True, "_b8"), "mask_id").join(count(back, False, "_b4"), "mask_id")
-    # The padded border belongs to one background component, which is not a hole.
-    out = out.withColumns({"holes_4": F.col("_b8") - 1, "holes_8": F.col("_b4") - 1})
-    return out.select(
-        "mask_id", "components_4", "components_8", "holes_4", "holes_8",
-        (F.col("components_4") - F.col("holes_4")).alias("euler_4"), (F.col("components_8") - F.col("holes_8")).alias("euler_8"),
-        (F.col("components_4") != F.col("components_8")).alias("diagonal_contact"),
+    """Components under both adjacencies, holes and Euler numbers, one row per mask.
+
+    The four labellings share one component run; the adjacency is part of the node.
+    """
+    rows = checkpoint(runs(pixels))
+    back = checkpoint(background_runs(rows, width, height))
+    graphs = [run_edges(rows, "f4", False), run_edges(rows, "f8", True), run_edges(back, "b4", False), run_edges(back, "b8", True)]
+    nodes, edges = graphs[0]
+    for more_nodes, more_edges in graphs[1:]:
+        nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
+    labelled = components(edges, nodes)
+    out = labelled.groupBy(F.col("node.mask_id").alias("mask_id")).agg(
+        *[F.count_distinct(F.when(F.col("node.kind") == k, F.col("component"))).alias(k) for k in ("f4", "f8", "b4", "b8")]
     )
+    # The padded border belongs to one background component, which is not a hole.
+    out = out.select("mask_id", F.col("f4").alias("components_4"), F.col("f8").alias("components_8"), (F.col("b8") - 1).alias("holes_4"), (F.col("b4") - 1).alias("holes_8"))
+    return out.withColumns({
+        "euler_4": F.col("components_4") - F.col("holes_4"), "euler_8": F.col("components_8") - F.col("holes_8"),
+        "diagonal_contact": F.col("components_4") != F.col("components_8"),
+    })

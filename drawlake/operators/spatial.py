@@ -51,8 +51,26 @@ def segment_distance(px: Column, py: Column, sx: Column, sy: Column, ex: Column,
     return F.hypot(px - sx - t * dx, py - sy - t * dy)
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id: list[str], carry: list[str]) -> DataFrame:
-    """Exact distance of every point to the nearest segment of its case, with the carried columns.
+DIRECT_LIMIT = 256
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id: list[str]) -> DataFrame:
+    """Exact distance of every point to the nearest segment of its case.
+
+    A case of at most ``DIRECT_LIMIT`` segments is compared directly, which bounds the work per point.
+    Larger cases go through :func:`_nearest_by_levels`; both ways give the same distances.
+    """
+    sizes = segments.groupBy(case).agg(F.count("*").alias("_count"))
+    small = segments.join(sizes.where(F.col("_count") <= DIRECT_LIMIT), case).drop("_count")
+    large = segments.join(sizes.where(F.col("_count") > DIRECT_LIMIT), case).drop("_count")
+    crowded = points.join(sizes.where(F.col("_count") > DIRECT_LIMIT).select(case), case, "left_semi")
+    distance = segment_distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
+    direct = points.join(small, case).groupBy(case, *point_id).agg(F.min(distance).alias("distance"))
+    return direct.unionByName(_nearest_by_levels(crowded, large, case, point_id))
+
+
+def _nearest_by_levels(points: DataFrame, segments: DataFrame, case: str, point_id: list[str]) -> DataFrame:
+    """Nearest segment through a pyramid of cells.
 
     Cells double in size per level and a case gets as many levels as its segment count asks for.
     Long segments are cut, so each piece touches few cells of every level.  A point first finds the
@@ -81,7 +99,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id:
     i = F.col("_i")
     ax, ay, bx, by = along("sx", "ex", i), along("sy", "ey", i), along("sx", "ex", i + 1), along("sy", "ey", i + 1)
     pieces = pieces.select(
-        case, "sx", "sy", "ex", "ey", *carry, "_x", "_y", "_extent", "_top",
+        case, "sx", "sy", "ex", "ey", "_x", "_y", "_extent", "_top",
         F.least(ax, bx).alias("_x0"), F.least(ay, by).alias("_y0"), F.greatest(ax, bx).alias("_x1"), F.greatest(ay, by).alias("_y1"),
         F.explode(F.sequence(F.lit(0), F.col("_top") + 2)).alias("_level"),
     ).withColumn("_size", size_of(F.col("_level")))
@@ -89,7 +107,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id:
     spread = pieces.withColumn(
         "_cell",
         F.explode(cells_of_box(F.col("_x0") - F.col("_x"), F.col("_y0") - F.col("_y"), F.col("_x1") - F.col("_x"), F.col("_y1") - F.col("_y"), s)),
-    ).select(case, "_level", "_cell", "sx", "sy", "ex", "ey", *carry)
+    ).select(case, "_level", "_cell", "sx", "sy", "ex", "ey")
 
     def around(cell):
         steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -114,8 +132,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id:
     looked = looked.select(case, *point_id, "px", "py", "_level", around(F.col("_own")).alias("_cell"))
     pairs = looked.join(spread, [case, "_level", "_cell"])
     distance = segment_distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
-    best = F.min(F.struct(distance.alias("distance"), *carry))
-    return pairs.groupBy(case, *point_id).agg(best.alias("near")).select(case, *point_id, "near.*")
+    return pairs.groupBy(case, *point_id).agg(F.min(distance).alias("distance"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators import compare, quantiles, report
 from drawlake.plans.registry import query
+from drawlake.session import checkpoint
 
 STEP = 4.0
 
@@ -55,6 +56,7 @@ def bidirectional_metrics(t):
     both = compare.directed(pred, ref, STEP).select("case_id", "distance", F.lit("p").alias("side")).unionByName(
         compare.directed(ref, pred, STEP).select("case_id", "distance", F.lit("r").alias("side"))
     )
+    both = checkpoint(both)  # three aggregates read the distances; compute them once
     stats = both.groupBy("case_id").agg(
         F.max("distance").alias("max_error"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias("rms_error"),
         F.max(F.when(F.col("side") == "p", F.col("distance"))).alias("prediction_max"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators import masks, quantiles
 from drawlake.plans.registry import query
+from drawlake.session import checkpoint
 
 COUNTS = """SELECT mask_id, sum(p) AS predicted, sum(t) AS target, sum(p * t) AS shared FROM (SELECT mask_id, x, y, max(p) AS p, max(t) AS t FROM (
   SELECT mask_id, x, y, 1 AS p, 0 AS t FROM {mask_pixels} UNION ALL SELECT mask_id, x, y, 0, 1 FROM {target_pixels}) u GROUP BY 1, 2, 3) c GROUP BY mask_id"""
@@ -36,7 +37,7 @@ def nearest_sql(a, b):
 )
 def mask_boundary_metrics(t):
     """Boundary agreement at one pixel, mean distance, HD95 and Hausdorff distance."""
-    p, r = masks.boundary(t("mask_pixels")), masks.boundary(t("target_pixels"))
+    p, r = checkpoint(masks.boundary(t("mask_pixels"))), checkpoint(masks.boundary(t("target_pixels")))
     both = masks.boundary_distances(p, r).select("mask_id", "distance", F.lit("f").alias("side")).unionByName(
         masks.boundary_distances(r, p).select("mask_id", "distance", F.lit("b").alias("side"))
     )
