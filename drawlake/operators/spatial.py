@@ -138,8 +138,9 @@ def _nearest_by_levels(points: DataFrame, segments: DataFrame, case: str, point_
 def components(edges: DataFrame, nodes: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """Smallest member of each node's component.
 
-    Every round takes the minimum label over the neighbours, which combines on the map side, and then
-    jumps to the label of that label.  A round is written to the shared checkpoint folder.
+    Every round offers each neighbour's label to a node and to the node's current root, keeps the
+    minimum (which combines on the map side) and then jumps to the label of that label, so the rounds
+    grow with the logarithm of the diameter.  A round is written to the shared checkpoint folder.
     """
     both = checkpoint(
         edges.select(F.col(a).alias("_u"), F.col(b).alias("_v"))
@@ -149,10 +150,9 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node", a: str =
     )
     labels = checkpoint(nodes.select(F.col(node).alias("_u"), F.col(node).alias("_l")).distinct())
     while True:
-        offers = (
-            both.join(labels.withColumnRenamed("_u", "_v"), "_v").select("_u", "_l").unionByName(labels)
-            .groupBy("_u").agg(F.min("_l").alias("_m"))
-        )
+        other = labels.select(F.col("_u").alias("_v"), F.col("_l").alias("_o"))
+        ends = both.join(labels, "_u").join(other, "_v").where("_o < _l").select(F.explode(F.array("_u", "_l")).alias("_u"), F.col("_o").alias("_l"))
+        offers = ends.unionByName(labels).groupBy("_u").agg(F.min("_l").alias("_m"))
         jump = labels.select(F.col("_u").alias("_m"), F.col("_l").alias("_j"))
         fresh = offers.join(jump, "_m").select("_u", F.least("_m", "_j").alias("_n"))
         fresh = checkpoint(fresh.join(labels, "_u").select("_u", F.col("_n").alias("_l"), (F.col("_n") < F.col("_l")).alias("_moved")))
