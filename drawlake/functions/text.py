@@ -146,11 +146,17 @@ def inclination(text: Column) -> Column:
     return F.when(inside, F.struct(top.alias("numerator"), bottom.alias("denominator")))
 
 
-def annotation_family(text: Column, kind: Column) -> Column:
-    """First matching family of a source note; null when the text is an ordinary dimension."""
-    flat = compact_upper(text)
-    return (
-        F.when(inclination(text).isNotNull(), "inclination")
+def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension") -> DataFrame:
+    """Attach the first matching ``family`` of a source note; null for an ordinary dimension.
+
+    The folded text and the family end in one-element explodes for the reason given in
+    :func:`with_dimension`.
+    """
+    folded = F.struct(compact_upper(F.col(text)).alias("flat"), inclination(F.col(text)).isNotNull().alias("ratio"))
+    df = df.select("*", F.explode(F.array(folded)).alias("_f"))
+    flat, kind = F.col("_f.flat"), F.col(f"{dimension}.kind")
+    family = (
+        F.when(F.col("_f.ratio"), "inclination")
         .when(flat.rlike("ROUGH.?TURNED|WHENROUGH|MHENROUGH"), "manufacturing_stage")
         .when(flat.rlike(r"\A\d+[-X×][⌀ØΦ∅]\d+(?:\.\d+)?HOLES?\z"), "hole_feature")
         .when(flat.rlike(r"INCLINE|INCLINATION|SLOPE|TAPER|\dIN\d"), "unresolved_inclination")
@@ -159,6 +165,7 @@ def annotation_family(text: Column, kind: Column) -> Column:
         .when((kind == "unknown") & flat.rlike(r"R\d"), "unparsed_radius")
         .when((kind == "unknown") & flat.rlike(r"[⌀ØΦ∅]\d"), "compound_diameter")
     )
+    return df.select("*", F.explode(F.array(family)).alias("family")).drop("_f")
 
 
 def review_priority(text: Column, kind: Column, family: Column) -> Column:

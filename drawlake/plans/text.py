@@ -43,8 +43,7 @@ def parsed(t):
 
 
 def families(t):
-    rows = parsed(t)
-    rows = rows.withColumn("family", text.annotation_family(F.col("text"), F.col("dimension.kind")))
+    rows = text.with_family(parsed(t))
     return rows.withColumn("priority", text.review_priority(F.col("text"), F.col("dimension.kind"), F.col("family")))
 
 
