@@ -84,9 +84,8 @@ def near_ties(options: DataFrame) -> DataFrame:
 def ratio_windows(witnesses: DataFrame) -> DataFrame:
     """Every qualifying 3% window of a case.
 
-    Windows start at a distinct scale.  Logarithmic bins as wide as the window put each member into
-    its own and the previous bin, so a window meets only the witnesses it can contain.  A case whose
-    witnesses share one scale is reduced to its distinct (scale, line, nominal) rows beforehand.
+    Windows start at each distinct scale of the case.  Logarithmic bins as wide as the window put a
+    member into its own and the previous bin, so a window only meets witnesses it can contain.
     """
     usable = witnesses.where((F.col("pixels_per_mm") > 0) & (F.col("pixels_per_mm") < float("inf")))
     step = F.log(F.lit(SPREAD))

@@ -154,15 +154,20 @@ def radial_station(t):
 
 
 PAIRS = """SELECT a.case_id, a.entity_id AS first, b.entity_id AS second, a.radius AS ra, b.radius AS rb, a.angle AS aa, a.sweep AS sa, b.angle AS ab, b.sweep AS sb
-  FROM {arcs} a JOIN {arcs} b ON a.case_id = b.case_id AND a.cx = b.cx AND a.entity_id < b.entity_id AND a.radius <> b.radius"""
+  FROM {arcs} a JOIN {arcs} b ON a.case_id = b.case_id AND a.cx = b.cx AND a.entity_id < b.entity_id AND a.radius <> b.radius
+  WHERE a.entity_id IN (SELECT min(entity_id) FROM {arcs} GROUP BY case_id, cx)"""
 
 
 def concentric(t):
-    """Arc pairs of one case on one centre line; the centre is part of the join key."""
-    cols = ["radius", "angle", "sweep"]
-    a = t("arcs").select("case_id", "cx", F.col("entity_id").alias("first"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = t("arcs").select("case_id", "cx", F.col("entity_id").alias("second"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return a.join(b, ["case_id", "cx"]).where((F.col("first") < F.col("second")) & (F.col("a_radius") != F.col("b_radius")))
+    """Every arc with the base arc of its centre line: the smallest id, not each other arc."""
+    shape = F.struct("entity_id", "radius", "angle", "sweep")
+    base = t("arcs").groupBy("case_id", "cx").agg(F.min(shape).alias("a"))
+    rows = t("arcs").join(base, ["case_id", "cx"]).where((F.col("a.entity_id") != F.col("entity_id")) & (F.col("a.radius") != F.col("radius")))
+    mine = {c: F.col(c).alias(f"b_{c}") for c in ("radius", "angle", "sweep")}
+    return rows.select(
+        "case_id", F.col("a.entity_id").alias("first"), F.col("entity_id").alias("second"),
+        *[F.col(f"a.{c}").alias(f"a_{c}") for c in mine], *mine.values(),
+    )
 
 
 @query("radial_gap_value", f"SELECT first, second, round(abs(ra - rb), 6) AS gap FROM ({PAIRS}) q")

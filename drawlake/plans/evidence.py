@@ -125,11 +125,16 @@ def gap_bridge(t):
 )
 def arrow_identity(t):
     """Labels that point at the same physical arrow: tips within 6 px and directions within 8 degrees."""
-    a = t("arcs").select("case_id", "entity_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("angle").alias("aa"))
-    b = t("arcs").select("case_id", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("angle").alias("ba"))
+    # Arrows with one tip and direction are counted once before the join, so their number does not
+    # enter it squared.
+    spots = t("arcs").groupBy("case_id", "cx", "cy", "angle").agg(F.count("*").alias("n"))
+    a = spots.select("case_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("angle").alias("aa"))
+    b = spots.select("case_id", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("angle").alias("ba"), "n")
     turn = F.abs(F.pmod(F.degrees(F.col("aa") - F.col("ba")) + 180, F.lit(360.0)) - 180)
-    claims = spatial.grid_join(a, b, ["case_id"], "ax", "ay", "bx", "by", 6.0).where(turn <= 8)
-    return claims.groupBy("entity_id").agg(F.count("*").alias("claims")).withColumn("ambiguous", F.col("claims") > 1)
+    near = spatial.grid_join(a, b, ["case_id"], "ax", "ay", "bx", "by", 6.0).where(turn <= 8)
+    claims = near.groupBy("case_id", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("aa").alias("angle")).agg(F.sum("n").alias("claims"))
+    rows = t("arcs").join(claims, ["case_id", "cx", "cy", "angle"])
+    return rows.select("entity_id", "claims", (F.col("claims") > 1).alias("ambiguous"))
 
 
 @query(
