@@ -136,14 +136,16 @@ def compact_upper(text: Column) -> Column:
     return F.upper(F.regexp_replace(compatibility_form(text), r"\s+", ""))
 
 
-def inclination(text: Column) -> Column:
-    """``struct(numerator, denominator)`` of an ``n IN m`` taper note, else null."""
-    flat = F.upper(F.replace(compatibility_form(text), F.lit(" "), F.lit("")))
+def with_inclination(df: DataFrame, text: str = "text", out: str = "ratio") -> DataFrame:
+    """Attach ``struct(numerator, denominator)`` of an ``n IN m`` taper note, else null."""
+    flat = F.upper(F.replace(compatibility_form(F.col(text)), F.lit(" "), F.lit("")))
+    df = df.select("*", F.explode(F.array(flat)).alias("_flat"))
     pattern = r"\A(?:INCLINE|INCLINATION|SLOPE|TAPER)?(\d+(?:\.\d+)?)IN(\d+(?:\.\d+)?)\z"
-    top = F.regexp_extract(flat, pattern, 1).try_cast("double")
-    bottom = F.regexp_extract(flat, pattern, 2).try_cast("double")
+    parts = [F.regexp_extract("_flat", pattern, i).try_cast("double").alias(n) for i, n in ((1, "numerator"), (2, "denominator"))]
+    df = df.select("*", F.explode(F.array(F.struct(*parts))).alias("_r"))
+    top, bottom = F.col("_r.numerator"), F.col("_r.denominator")
     inside = (top > 0) & (top <= MAX_MAGNITUDE) & (bottom > 0) & (bottom <= MAX_MAGNITUDE)
-    return F.when(inside, F.struct(top.alias("numerator"), bottom.alias("denominator")))
+    return df.withColumn(out, F.when(inside, F.col("_r"))).drop("_flat", "_r")
 
 
 def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension") -> DataFrame:
@@ -152,7 +154,8 @@ def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension")
     The folded text and the family end in one-element explodes for the reason given in
     :func:`with_dimension`.
     """
-    folded = F.struct(compact_upper(F.col(text)).alias("flat"), inclination(F.col(text)).isNotNull().alias("ratio"))
+    df = with_inclination(df, text, "_ratio")
+    folded = F.struct(compact_upper(F.col(text)).alias("flat"), F.col("_ratio").isNotNull().alias("ratio"))
     df = df.select("*", F.explode(F.array(folded)).alias("_f"))
     flat, kind = F.col("_f.flat"), F.col(f"{dimension}.kind")
     family = (
@@ -165,7 +168,7 @@ def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension")
         .when((kind == "unknown") & flat.rlike(r"R\d"), "unparsed_radius")
         .when((kind == "unknown") & flat.rlike(r"[⌀ØΦ∅]\d"), "compound_diameter")
     )
-    return df.select("*", F.explode(F.array(family)).alias("family")).drop("_f")
+    return df.select("*", F.explode(F.array(family)).alias("family")).drop("_f", "_ratio")
 
 
 def review_priority(text: Column, kind: Column, family: Column) -> Column:
@@ -196,9 +199,8 @@ def radius_text_issue(text: Column, parsed_kind: Column, parsed_nominal: Column,
     )
 
 
-def semantic_key(text: Column, dimension: Column) -> Column:
+def semantic_key(text: Column, dimension: Column, ratio: Column) -> Column:
     """Comparable reading of a text as one string; null when it has no dimension meaning."""
-    ratio = inclination(text)
     d = dimension
 
     def show(value):

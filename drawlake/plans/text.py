@@ -110,7 +110,7 @@ def tolerance_residual(t):
        CAST(regexp_extract(flat, '([0-9.]+)IN([0-9.]+)', 2) AS DOUBLE) AS denominator FROM ({FAMILY}) q WHERE ratio AND regexp_extract(flat, '([0-9.]+)IN', 1) <> '0'""",
 )
 def inclination_ratio(t):
-    rows = t("ocr_records").select("record_id", text.inclination(F.col("text")).alias("ratio"))
+    rows = text.with_inclination(t("ocr_records"))
     return rows.where("ratio is not null").select("record_id", "ratio.*")
 
 
@@ -145,7 +145,7 @@ def radius_text_audit(t):
 
 @query("semantic_key", f"SELECT record_id, {SEMANTIC} AS reading FROM ({FAMILY}) q")
 def semantic_key(t):
-    return parsed(t).select("record_id", text.semantic_key(F.col("text"), F.col("dimension")).alias("reading"))
+    return text.with_inclination(parsed(t)).select("record_id", text.semantic_key(F.col("text"), F.col("dimension"), F.col("ratio")).alias("reading"))
 
 
 @query(
@@ -201,11 +201,11 @@ def _read(source):
 )
 def reread_consensus(t):
     """A readable disagreement withholds the old value; two equal readings replace it."""
-    views = text.with_dimension(t("rereads")).withColumn("reading", text.semantic_key(F.col("text"), F.col("dimension")))
+    views = text.with_inclination(text.with_dimension(t("rereads"))).withColumn("reading", text.semantic_key(F.col("text"), F.col("dimension"), F.col("ratio")))
     views = views.groupBy("record_id").agg(
         F.max(F.when(F.col("view") == 1, F.col("reading"))).alias("v1"), F.max(F.when(F.col("view") == 2, F.col("reading"))).alias("v2")
     )
-    rows = parsed(t).select("record_id", "dimension.kind", text.semantic_key(F.col("text"), F.col("dimension")).alias("orig")).join(views, "record_id")
+    rows = text.with_inclination(parsed(t)).select("record_id", "dimension.kind", text.semantic_key(F.col("text"), F.col("dimension"), F.col("ratio")).alias("orig")).join(views, "record_id")
     agree = F.coalesce(F.col("v1") == F.col("v2"), F.lit(False))
 
     def disputes(view):
