@@ -9,11 +9,11 @@ define_input(
        o_orderstatus AS template, o_custkey AS owner, o_totalprice AS size_hint
        FROM {orders}""",
 )
-# A line item is one trial; its four key columns identify it, so no numbering pass is needed.
+# A line item is one trial; its key columns and price identify it, so no numbering pass is needed.
 define_input(
     "trials",
     """SELECT l_orderkey AS case_id, l_linenumber AS repeat,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS trial_id,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS trial_id,
        CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_quantity < 3 THEN 'running' ELSE 'completed' END AS status,
        true AS attempted, l_returnflag <> 'R' AS artifact_completed, l_linestatus = 'F' AS geometry_valid,
        l_quantity > 10 AS scaled_mm, l_discount > 0.095 AS manual_intervention,
@@ -44,7 +44,7 @@ define_input(
 define_input(
     "ocr_records",
     """SELECT l_orderkey AS case_id,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS record_id,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS record_id,
        l_linenumber AS ord, l_partkey % 1000 * 1e0 AS x0, l_suppkey * 1e0 AS y0,
        20e0 + l_linenumber AS box_w, 8e0 AS box_h, l_discount * 10 AS score,
        CASE l_partkey % 24
@@ -66,7 +66,7 @@ define_input(
     """SELECT case_id, stroke_id, 'x' AS axis, lo, lo + nominal * ppm AS hi, cross_at, nominal * ppm AS span,
        1e0 + thick AS thickness, nominal, ppm, kind FROM (
        SELECT l_orderkey AS case_id,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS stroke_id,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS stroke_id,
        l_partkey % 100 * 1e0 AS lo, 30e0 * l_linenumber + l_suppkey % 23 AS cross_at, l_quantity AS nominal,
        (2 + l_orderkey % 3) * (CASE WHEN l_suppkey % 4 = 0 THEN 1.5 ELSE 1 + l_tax / 8 END) AS ppm,
        l_suppkey % 3 AS thick,
@@ -82,7 +82,7 @@ define_input(
 define_input(
     "crossings",
     """SELECT l_orderkey AS case_id,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, 'v') AS crossing_id,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT), 'v') AS crossing_id,
        l_partkey % 157 * 1e0 AS cross_at, 25e0 * l_linenumber AS lo, 25e0 * l_linenumber + 20 + l_quantity * 2 AS hi,
        20 + l_quantity * 2 AS span, 1e0 + l_suppkey % 3 AS thickness, l_suppkey % 2 = 0 AS arrow_low,
        l_suppkey % 3 <> 0 AS arrow_high FROM {lineitem}""",
@@ -122,7 +122,7 @@ define_input(
 define_input(
     "arcs",
     """SELECT l_orderkey AS case_id,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS entity_id, l_linenumber AS ord,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS entity_id, l_linenumber AS ord,
        l_quantity AS cx, l_discount * 100 AS cy, 1e0 + l_linenumber AS radius, l_tax * 10 AS angle,
        1 + l_discount * 10 AS sweep, l_suppkey % 2 = 0 AS clockwise, l_partkey AS part_id, l_suppkey AS source_id,
        l_quantity AS q, l_tax AS tax

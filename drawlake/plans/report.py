@@ -304,7 +304,7 @@ def split_counts(t):
 define_input(
     "candidates",
     """SELECT l_orderkey AS case_id,
-       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS candidate_id,
+       concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(round(l_extendedprice * 100) AS BIGINT)) AS candidate_id,
        l_linestatus = 'F' AS closed, l_returnflag <> 'R' AS simple, l_suppkey % 10 <> 0 AS source_only,
        l_quantity / 50 AS support, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_discount * 10 END AS coverage,
        l_linenumber + 3 AS entity_count, l_suppkey % 4 AS unsupported,
