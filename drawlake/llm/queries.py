@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from drawlake.llm import exact_topk, mixing, packing
+from drawlake.llm import exact_topk, line_quality, mixing, packing, secret_scan
 
 QUERIES = {
+    "op1_secret_ownership": secret_scan.op1_secret_ownership,
+    "op4_line_first": line_quality.op4_line_first,
     "op5_entropy_mix": mixing.op5_entropy_mix,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 ORACLES = {
+    "op1_secret_ownership": secret_scan.ORACLE,
+    "op4_line_first": line_quality.ORACLE,
     "op10_exact_topk": exact_topk.ORACLE,
 }
