@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from drawlake.llm import exact_topk, line_quality, mixing, packing, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, language_id, line_quality, mixing, packing, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
+    "op2_byte_cnn": byte_cnn.op2_byte_cnn,
     "op4_line_first": line_quality.op4_line_first,
     "op5_entropy_mix": mixing.op5_entropy_mix,
+    "op7_language_spans": language_id.op7_language_spans,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
