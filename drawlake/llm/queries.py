@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, language_id, line_quality, mixing, packing, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, language_id, line_dedup, line_quality, mixing, packing, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_line_first": line_quality.op4_line_first,
     "op5_entropy_mix": mixing.op5_entropy_mix,
     "op7_language_spans": language_id.op7_language_spans,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,
     "op4_line_first": line_quality.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": exact_topk.ORACLE,
 }
