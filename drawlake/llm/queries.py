@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, language_id, line_dedup, line_quality, mixing, packing, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, line_dedup, line_quality, mixing, packing, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op2_byte_cnn": byte_cnn.op2_byte_cnn,
     "op4_line_first": line_quality.op4_line_first,
     "op5_entropy_mix": mixing.op5_entropy_mix,
+    "op6_divide_skip": jaccard_join.op6_divide_skip,
     "op7_language_spans": language_id.op7_language_spans,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_best_two_fit": packing.op9_best_two_fit,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,
     "op4_line_first": line_quality.ORACLE,
+    "op6_divide_skip": jaccard_join.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": exact_topk.ORACLE,
 }
