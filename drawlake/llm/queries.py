@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, line_dedup, line_quality, mixing, packing, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op2_byte_cnn": byte_cnn.op2_byte_cnn,
+    "op3_patience_license": license_scan.op3_patience_license,
     "op4_line_first": line_quality.op4_line_first,
     "op5_entropy_mix": mixing.op5_entropy_mix,
     "op6_divide_skip": jaccard_join.op6_divide_skip,
