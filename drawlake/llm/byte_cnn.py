@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     short = docs.where(learn & (F.length(F.coalesce(F.col(text_col), F.lit(""))) <= fit_chars)).select(F.col(id_col).alias("id"))
     known = marked.join(short, "id").select("id", "y", F.xxhash64("id").alias("h"))
     ids = known.where("y = 0").orderBy("h", "id").limit(per_class).unionByName(known.where("y = 1").orderBy("h", "id").limit(per_class)).distinct()
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select("h", "y", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), "id").select("h", "y", "text")
     rows = rows.where(F.length("text") <= fit_chars).orderBy("h", "text").limit(2 * per_class).toPandas()
     y = rows["y"].to_numpy(np.float32)
     if len(set(y.tolist())) < 2:

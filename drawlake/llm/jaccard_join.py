@@ -404,9 +404,12 @@ def op6_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component stays."""
-    found = join_documents(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found["_kept"]), "left_semi")
+    """Pipeline stage: the document with the smallest id of each component stays, and rows without an id."""
+    found = staged(join_documents(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    kept = docs.join(found.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    if not found.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = r"""

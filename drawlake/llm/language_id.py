@@ -167,11 +167,12 @@ def _count(batches):
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """A model from the rows that ``learn`` selects, by hash at most ``per_language`` of each language."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
     ids = ids.orderBy("k", "lang").limit(sample).select("id").distinct()
-    chosen = rows.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = rows.join(F.broadcast(ids), "id").select("lang", "text")
     cells = chosen.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(cells["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS) + 1))
@@ -213,4 +214,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops documents in no learned language and those that no language leads."""
     model = spark.sparkContext.broadcast(fit(docs, learnable()))
     found = identify(F.col("text"), model)
-    return docs.withColumn("_found", found).where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= KEEP_SCORE)).select(*docs.columns)
+    return docs.withColumn("__language", found).where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= KEEP_SCORE)).select(*docs.columns)

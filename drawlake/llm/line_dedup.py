@@ -117,12 +117,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text cleaned, and the struct ``line_dedup`` (n_lines, n_exact, n_near)."""
-    gone = removals(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_doc", "row": "_row", "removed": "_removed", "n_exact": "_exact", "n_near": "_near"})
-    joined = docs.join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_row")), "left")
-    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")), lambda i: F.element_at(lines, i + 1))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(let(F.split(F.col(text_col), "\n", -1), left), "\n"))
+    gone = removals(docs, id_col, text_col).withColumnsRenamed({"doc_id": "__ld_doc", "row": "__ld_row", "removed": "__ld_removed", "n_exact": "__ld_exact", "n_near": "__ld_near"})
+    joined = docs.join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__ld_doc")) & (F.xxhash64(F.col(text_col)) == F.col("__ld_row")), "left")
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_removed")), lambda i: F.element_at(lines, i + 1))
+    text = F.when(F.col("__ld_removed").isNull(), F.col(text_col)).otherwise(F.array_join(let(F.split(F.col(text_col), "\n", -1), left), "\n"))
     counts = F.struct(F.coalesce(F.regexp_count(F.col(text_col), F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"),
-                      *[F.coalesce(f"_{c}", F.lit(0)).cast("long").alias(f"n_{c}") for c in ("exact", "near")])
+                      *[F.coalesce(f"__ld_{c}", F.lit(0)).cast("long").alias(f"n_{c}") for c in ("exact", "near")])
     names = [c for c in docs.columns if c != "line_dedup"]
     return joined.withColumn("line_dedup", counts).withColumn(text_col, text).select(*names, "line_dedup")
 

@@ -4,7 +4,8 @@ Every line is judged on its own: by its share of punctuation, as navigation, or
 Failing lines are removed, and a document that loses too much of its text is rejected.
 
 Defined results: null text counts as empty; a text without words fails the base rule; repeated rows
-are judged each; an empty table gives no rows.  Columns other than the text pass through unread.
+are judged each; an empty table gives no rows.  Columns other than the text pass through unread,
+except that those named like a result (base, clean, base_failed, kept) are replaced.
 """
 
 from __future__ import annotations

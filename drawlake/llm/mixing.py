@@ -10,7 +10,8 @@ copy to close that gap.  Sums are decimal, hence equal in every run.
 
 Defined results: null or word-less text has size 0 and takes nothing; a null source is one source,
 ordered last; a source without words has target 0; repeated rows are documents of their own; an
-empty table gives no rows.  Other columns are ignored.
+empty table gives no rows.  Other columns are ignored.  The pipeline stage cannot name a row without an id,
+so such rows are not taken.
 """
 
 from __future__ import annotations
@@ -139,7 +140,11 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it."""
-    chosen = mix(docs).where("copies > 0").select(F.col("doc_id").alias("chosen"), "copies")
-    return (docs.join(chosen, docs.doc_id.eqNullSafe(chosen.chosen)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Pipeline stage: every document as often as the mix takes it; rows that repeat an id appear as one, with all their copies."""
+    mixed = staged(mix(docs).select("doc_id", "copies"), "mix-taken")
+    chosen = mixed.groupBy("doc_id").agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("rows"))
+    if not chosen.where("rows > 1 and doc_id is not null").isEmpty():
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    chosen = chosen.where("__mix_copies > 0 and doc_id is not null").select(F.col("doc_id").alias("__mix_id"), "__mix_copies")
+    return (docs.join(chosen, docs.doc_id == chosen["__mix_id"]).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
             .select(*docs.columns))
