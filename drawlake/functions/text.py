@@ -184,7 +184,7 @@ def radius_text_issue(text: Column, parsed_kind: Column, parsed_nominal: Column,
     """``valid``, an issue code, or null when the text shows no radius marker at all."""
     flat = F.regexp_replace(compatibility_form(text), r"\s+", "")
     core = F.regexp_replace(F.regexp_replace(flat, r"^\(+", ""), r"\)+$", "")
-    after = F.substring(core, 2, 1 << 30)
+    after = F.substring(core, F.lit(2), F.length(core))
     marker = (
         core.rlike("^[Rr]") & ~core.rlike("^(?i:ra)")
         & ((after == "") | ~after.rlike(r"^\p{L}") | F.lower(after).isin("o", "i", "l", "nan", "inf", "infinity"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from drawlake.operators.prefix import running_total
 from drawlake.operators.spatial import components, hamming_neighbours, star_edges
 
 # Split shares and the near-duplicate limits.
@@ -31,19 +31,23 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return components(edges, rows.select("id"), node="id")
 
 
-def split_groups(groups: DataFrame) -> DataFrame:
+def split_groups(groups: DataFrame, seed: str = "split", train_groups: DataFrame | None = None) -> DataFrame:
     """Whole groups to train/val/test by cumulative share, larger groups first.
 
-    Sizes are few, so the running total goes over distinct sizes; groups of one size are placed by
-    the share of their seeded hash within that size.
+    Sizes are few, so the running total goes over distinct sizes; groups of one size are placed by the share
+    of their seeded digest within that size.  Groups of ``train_groups(component)`` are forced to train
+    and still count in the shares.
     """
     sized = groups.groupBy("component").agg(F.count("*").alias("n"))
     per_size = sized.groupBy("n").agg((F.count("*") * F.col("n")).alias("rows"))
-    order = Window.orderBy(F.desc("n"))
-    shares = per_size.withColumn("_end", F.sum("rows").over(order)).withColumn("_total", F.sum("rows").over(Window.partitionBy()))
-    place = F.pmod(F.xxhash64("component"), F.lit(1_000_003)) / 1_000_003.0
-    cut = sized.join(F.broadcast(shares), "n").withColumn("_at", (F.col("_end") - F.col("rows") + place * F.col("rows")) / F.col("_total"))
+    shares = running_total(per_size, [], [F.desc("n")], F.col("rows"))
+    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("component").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    place = digest / F.lit(float(1 << 32))
+    cut = sized.join(shares, "n").withColumn("_at", (F.col("_before") + place * F.col("rows")) / F.col("_total"))
     split = F.when(F.col("_at") < TRAIN, "train").when(F.col("_at") < VAL, "val").otherwise("test")
+    if train_groups is not None:
+        cut = cut.join(train_groups.select("component", F.lit(True).alias("_forced")).distinct(), "component", "left")
+        split = F.when(F.col("_forced"), "train").otherwise(split)
     return cut.select("component", "n", split.alias("split"))
 
 

@@ -4,88 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-# A group up to this size is ranked as it stands; a larger one only around the wanted ranks.
-SMALL_GROUP = 20_000
-MARGIN = 3e-4
-ACCURACY = 20_000
+from drawlake.operators.prefix import running_total
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group: count, minimum, maximum and the named quantiles.
 
-    Built-in ``percentile`` keeps every distinct value of a group in one task.  Here a mergeable
-    sketch brackets each wanted rank first; only the values inside the bracket are then sorted, and
-    the count below the bracket turns their position into an exact rank.
+    Built-in ``percentile`` keeps every distinct value of a group in one task.  Here equal values are
+    counted first and their exact ranks come from running totals over ranges of values.
     """
-    names = list(probs)
-    edges = [max(0.0, min(1.0, p + d)) for p in probs.values() for d in (-MARGIN, MARGIN)]
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    stats = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(value).alias("count"),
-            F.min(value).alias("minimum"),
-            F.max(value).alias("maximum"),
-            F.percentile_approx(value, edges, ACCURACY).alias("_edges"),
-        )
+    ranked = running_total(counted, keys, [F.col(value).asc()], F.col("_n"))
+    aggregates = []
+    for name, p in probs.items():
+        position = F.lit(p) * (F.col("_total") - 1)
+
+        def at(rank):
+            return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col(value)))
+
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        aggregates.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
+    return ranked.groupBy(*keys).agg(
+        F.max("_total").alias("count"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), *aggregates
     )
-    brackets = []
-    for i, name in enumerate(names):
-        small = F.col("count") <= SMALL_GROUP
-        pos = F.lit(probs[name]) * (F.col("count") - 1)
-        brackets.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.when(small, F.col("minimum")).otherwise(F.col("_edges")[2 * i]).alias("lo"),
-                F.when(small, F.col("maximum")).otherwise(F.col("_edges")[2 * i + 1]).alias("hi"),
-                F.floor(pos).alias("lower"),
-                F.ceil(pos).alias("upper"),
-                (pos - F.floor(pos)).alias("fraction"),
-            )
-        )
-    stats = stats.withColumn("_brackets", F.array(*brackets)).drop("_edges")
-    joined = _attach(counted, stats.select(*keys, "_brackets"), keys)
-    below_cols = [
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("_brackets")[i]["lo"], F.col("_n"))), F.lit(0)).alias(f"_below{i}")
-        for i in range(len(names))
-    ]
-    below = joined.groupBy(*keys).agg(*below_cols)
-    inside = joined.select(
-        *keys,
-        value,
-        "_n",
-        F.explode(
-            F.filter("_brackets", lambda b: (F.col(value) >= b["lo"]) & (F.col(value) <= b["hi"]))
-        ).alias("_b"),
-    )
-    running = Window.partitionBy(*keys, "_b.name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_end", F.sum("_n").over(running))
-    below_of = F.coalesce(
-        *[F.when(F.col("_b.name") == name, F.col(f"_below{i}")) for i, name in enumerate(names)]
-    )
-    ranked = _attach(inside, below, keys).withColumn("_last", F.col("_end") + below_of).withColumn(
-        "_first", F.col("_last") - F.col("_n")
-    )
-
-    def holds(rank):
-        return (F.col("_first") <= rank) & (rank < F.col("_last"))
-
-    picked = []
-    for name in names:
-        mine = F.col("_b.name") == name
-        low = F.max(F.when(mine & holds(F.col("_b.lower")), F.col(value)))
-        high = F.max(F.when(mine & holds(F.col("_b.upper")), F.col(value)))
-        fraction = F.max(F.when(mine, F.col("_b.fraction")))
-        picked.append((low + (high - low) * fraction).alias(name))
-    quantiles = (
-        ranked.where(holds(F.col("_b.lower")) | holds(F.col("_b.upper"))).groupBy(*keys).agg(*picked)
-    )
-    return _attach(stats.drop("_brackets"), quantiles, keys)
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join group rows back; without keys the right side is a single row."""
-    return left.join(right, keys) if keys else left.join(F.broadcast(right))

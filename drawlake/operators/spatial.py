@@ -51,22 +51,14 @@ def segment_distance(px: Column, py: Column, sx: Column, sy: Column, ex: Column,
     return F.hypot(px - sx - t * dx, py - sy - t * dy)
 
 
-DIRECT_LIMIT = 256
-
-
 def nearest_segment(points: DataFrame, segments: DataFrame, case: str, point_id: list[str]) -> DataFrame:
-    """Exact distance of every point to the nearest segment of its case.
-
-    A case of at most ``DIRECT_LIMIT`` segments is compared directly, which bounds the work per point.
-    Larger cases go through :func:`_nearest_by_levels`; both ways give the same distances.
-    """
-    sizes = segments.groupBy(case).agg(F.count("*").alias("_count"))
-    small = segments.join(sizes.where(F.col("_count") <= DIRECT_LIMIT), case).drop("_count")
-    large = segments.join(sizes.where(F.col("_count") > DIRECT_LIMIT), case).drop("_count")
-    crowded = points.join(sizes.where(F.col("_count") > DIRECT_LIMIT).select(case), case, "left_semi")
-    distance = segment_distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
-    direct = points.join(small, case).groupBy(case, *point_id).agg(F.min(distance).alias("distance"))
-    return direct.unionByName(_nearest_by_levels(crowded, large, case, point_id))
+    """Exact distance of every point to the nearest segment of its case; null in a case without segments."""
+    found = _nearest_by_levels(points, segments, case, point_id)
+    same = F.lit(True)
+    for k in (case, *point_id):
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}"))
+    kept = points.select(case, *point_id).distinct().alias("p").join(found.alias("f"), same, "left")
+    return kept.select(*[F.col(f"p.{k}").alias(k) for k in (case, *point_id)], "f.distance")
 
 
 def _nearest_by_levels(points: DataFrame, segments: DataFrame, case: str, point_id: list[str]) -> DataFrame:

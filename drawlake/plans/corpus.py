@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators import corpus
 from drawlake.plans.registry import define_input, query
+from drawlake.session import checkpoint
 
 # 63-bit codes: bit i - 1 tells whether element i exceeds the median; every fifth vector gets a planted copy.
 define_input(
@@ -29,19 +30,28 @@ def near_duplicate_pairs(t):
     return corpus.near_duplicates(t("signatures"))
 
 
-@query(
-    "connected_components",
-    f"""SELECT s.id, min(g.id) AS component FROM {{signatures}} s JOIN (SELECT id, root FROM (WITH RECURSIVE e AS (SELECT a, b FROM ({NEAR}) x UNION SELECT b, a FROM ({NEAR}) y
+COMPONENTS = f"""SELECT s.id, min(g.id) AS component FROM {{signatures}} s JOIN (SELECT id, root FROM (WITH RECURSIVE e AS (SELECT a, b FROM ({NEAR}) x UNION SELECT b, a FROM ({NEAR}) y
        UNION SELECT u.id, s.id FROM {{signatures}} s JOIN ({UNIQUE}) u USING (signature, aspect) UNION SELECT s.id, u.id FROM {{signatures}} s JOIN ({UNIQUE}) u USING (signature, aspect)),
-       r AS (SELECT id, id AS root FROM {{signatures}} UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT * FROM r)) q ON q.id = s.id JOIN {{signatures}} g ON g.id = q.root GROUP BY s.id""",
-)
+       r AS (SELECT id, id AS root FROM {{signatures}} UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT * FROM r)) q ON q.id = s.id JOIN {{signatures}} g ON g.id = q.root GROUP BY s.id"""
+
+
+@query("connected_components", COMPONENTS)
 def connected_components(t):
     return corpus.duplicate_groups(t("signatures"))
 
 
-@query("group_split")
+@query(
+    "group_split",
+    f"""WITH g AS ({COMPONENTS}), sized AS (SELECT component, count(*) AS n, bool_or(id % 97 = 0) AS forced FROM g GROUP BY component),
+       shares AS (SELECT n, sum(n) AS part, sum(sum(n)) OVER (ORDER BY n DESC) - sum(n) AS before, sum(sum(n)) OVER () AS total FROM sized GROUP BY n),
+       cut AS (SELECT component, n, forced, (before + CAST(concat('0x', substring(sha256(concat('split:', component)), 1, 8)) AS BIGINT) / 4294967296.0 * part) / total AS place
+         FROM sized JOIN shares USING (n))
+       SELECT component, n, CASE WHEN forced OR place < 0.70 THEN 'train' WHEN place < 0.85 THEN 'val' ELSE 'test' END AS split FROM cut""",
+)
 def group_split(t):
-    return corpus.split_groups(corpus.duplicate_groups(t("signatures")))
+    """Groups that hold an item the manifest forces into training stay there whole."""
+    groups = checkpoint(corpus.duplicate_groups(t("signatures")))
+    return corpus.split_groups(groups, train_groups=groups.where("id % 97 = 0"))
 
 
 @query(

@@ -48,9 +48,10 @@ def artifact_available(t):
 
 
 @query("source_packet_limits", "SELECT doc_id, length(left(text, 160)) AS kept, greatest(0, length(text) - 160) AS omitted, length(text) > 160 AS truncated FROM {documents}")
-def source_packet_limits(t):
+def source_packet_limits(t, limit: int = 160):
+    """What a packet of at most ``limit`` characters keeps and omits of a text."""
     size = F.length("text")
-    return t("documents").select("doc_id", F.length(F.substring("text", 1, 160)).alias("kept"), F.greatest(F.lit(0), size - 160).alias("omitted"), (size > 160).alias("truncated"))
+    return t("documents").select("doc_id", F.length(F.substring("text", 1, limit)).alias("kept"), F.greatest(F.lit(0), size - limit).alias("omitted"), (size > limit).alias("truncated"))
 
 
 @query("letterbox_coords", "SELECT mask_id, x, y, round(x * 512 / 24e0 * 0.5 + 128, 6) AS box_x, round(y * 512 / 24e0, 6) AS box_y FROM {mask_pixels}")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import quantiles, report
+from drawlake.operators import prefix, quantiles, report
 from drawlake.plans.registry import define_input, query
 
 EXPECTED = 4
@@ -390,10 +390,11 @@ def priority():
 
 @query(
     "candidate_priority",
-    f"SELECT * FROM (SELECT case_id, candidate_id, row_number() OVER (PARTITION BY case_id ORDER BY {PRIORITY}) AS rank FROM {{candidates}}) q WHERE rank <= 10",
+    f"SELECT * FROM (SELECT case_id, candidate_id, row_number() OVER (PARTITION BY case_id ORDER BY {PRIORITY}) AS rank FROM {{candidates}}) q",
 )
 def candidate_priority(t):
-    return report.top_per_group(t("candidates"), ["case_id"], priority(), 10).select("case_id", "candidate_id", "rank")
+    """Every candidate of a case by its priority."""
+    return prefix.rank_all(t("candidates"), ["case_id"], priority()).select("case_id", "candidate_id", "rank")
 
 
 @query(
@@ -417,7 +418,7 @@ def retain_distinct(t):
        FROM {candidates} c JOIN (SELECT case_id,
        min_by(candidate_id, (attempt, candidate_id)) FILTER (closed AND geometry_key % 5 = 0) AS angular,
        min_by(candidate_id, (attempt, candidate_id)) FILTER (closed AND geometry_key % 5 = 1) AS combined
-       FROM {candidates} GROUP BY case_id) f USING (case_id)) s) q WHERE rank <= 18""",
+       FROM {candidates} GROUP BY case_id) f USING (case_id)) s) q""",
 )
 def preflight_order(t):
     """First angular and first combined repair get reserved slots; the rest follow by repair count."""
@@ -434,7 +435,7 @@ def preflight_order(t):
     is_combined = F.coalesce(F.col("candidate_id") == F.col("combined"), F.lit(False))
     tier = F.when(is_angular, 0).when(is_combined, 1).when(F.col("closed"), 2).otherwise(3)
     order = [tier.asc(), F.when(tier == 2, F.col("unsupported")).otherwise(0).desc(), F.col("attempt").asc(), F.col("candidate_id").asc()]
-    return report.top_per_group(rows, ["case_id"], order, 18).select("case_id", "candidate_id", "rank")
+    return prefix.rank_all(rows, ["case_id"], order).select("case_id", "candidate_id", "rank")
 
 
 @query(
@@ -480,10 +481,10 @@ def recent_jobs(t):
        row_number() OVER (PARTITION BY case_id ORDER BY issue, trial_id) AS r FROM (
        SELECT case_id, trial_id, 'artifact_missing' AS issue FROM {trials} WHERE NOT artifact_completed
        UNION ALL SELECT case_id, trial_id, 'geometry_invalid' FROM {trials} WHERE NOT geometry_valid
-       UNION ALL SELECT case_id, trial_id, 'unit_unknown' FROM {trials} WHERE NOT scaled_mm) u) q WHERE r <= 4""",
+       UNION ALL SELECT case_id, trial_id, 'unit_unknown' FROM {trials} WHERE NOT scaled_mm) u) q WHERE r <= 64""",
 )
-def issue_cap(t):
-    """The report shows a bounded list beside the true count."""
+def issue_cap(t, shown_issues: int = 64):
+    """The report shows the first ``shown_issues`` of a case beside the true count."""
     rows = t("trials")
     issues = F.array_compact(
         F.array(
@@ -494,7 +495,7 @@ def issue_cap(t):
     )
     exploded = rows.select("case_id", "trial_id", F.explode(issues).alias("issue"))
     totals = exploded.groupBy("case_id").agg(F.count("*").alias("issue_count"))
-    shown = report.top_per_group(exploded, ["case_id"], [F.col("issue"), F.col("trial_id")], 4)
+    shown = report.top_per_group(exploded, ["case_id"], [F.col("issue"), F.col("trial_id")], shown_issues)
     return shown.join(totals, "case_id").select("case_id", "issue", "trial_id", "issue_count")
 
 
@@ -557,7 +558,7 @@ def unknown_cases(t):
        SELECT doc_id, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda p: list_position(ws, p[1]) = p[2]), lambda p: p[1]) AS w FROM (
        SELECT doc_id, list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9_.-]*')) AS ws FROM {documents}) a) b""",
 )
-def distinct_ordered(t):
-    """First eight distinct well-formed identifiers of a list, in order of appearance."""
+def distinct_ordered(t, first: int = 8):
+    """The ``first`` distinct well-formed identifiers of a list, in order of appearance."""
     words = F.filter(F.split("text", " "), lambda w: w.rlike(r"\A[A-Za-z][A-Za-z0-9_.-]*\z"))
-    return t("documents").select("doc_id", F.concat_ws(" ", F.slice(F.array_distinct(words), 1, 8)).alias("ids"))
+    return t("documents").select("doc_id", F.concat_ws(" ", F.slice(F.array_distinct(words), 1, first)).alias("ids"))

@@ -168,16 +168,17 @@ def annotation_counts(t):
     "review_selection",
     f"""SELECT case_id, record_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score <= 0.4,
        CASE kind WHEN 'radius' THEN 0 WHEN 'diameter' THEN 1 WHEN 'length' THEN 2 WHEN 'angle' THEN 3 ELSE 4 END, record_id) AS rank
-       FROM ({PARSED}) q WHERE kind <> 'unknown') r WHERE rank <= 4""",
+       FROM ({PARSED}) q WHERE kind <> 'unknown') r WHERE rank <= 16""",
 )
-def review_selection(t):
+def review_selection(t, shown: int = 16):
+    """The ``shown`` records of a case that are most in need of a review."""
     kind = F.col("dimension.kind")
     order = [
         (F.col("score") <= 0.4).asc(),
         F.when(kind == "radius", 0).when(kind == "diameter", 1).when(kind == "length", 2).when(kind == "angle", 3).otherwise(4).asc(),
         F.col("record_id").asc(),
     ]
-    return report.top_per_group(parsed(t).where(kind != "unknown"), ["case_id"], order, 4).select("case_id", "record_id", "rank")
+    return report.top_per_group(parsed(t).where(kind != "unknown"), ["case_id"], order, shown).select("case_id", "record_id", "rank")
 
 
 # Two independent re-readings of every record: unchanged, altered or missing.

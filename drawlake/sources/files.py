@@ -128,7 +128,7 @@ def drawing_entities(spark: SparkSession, folder: str) -> DataFrame:
 
     def group(code):
         pair = F.get(F.filter("block", lambda p: p.startswith(code + "|")), 0)
-        return F.substring(pair, len(code) + 2, 1 << 20)
+        return F.substring(pair, F.lit(len(code) + 2), F.length(pair))
 
     def number(code):
         return group(code).try_cast("double")
