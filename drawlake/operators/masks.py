@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from drawlake.operators.quantiles import group_quantiles
 from drawlake.operators.spatial import components, nearest_segment
 from drawlake.session import checkpoint
 
@@ -34,6 +35,49 @@ def region_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def with_empty(counts: DataFrame, dims: DataFrame) -> DataFrame:
+    """Overlap counts of every mask of ``dims``; a mask without foreground on either side counts zero."""
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("predicted", "target", "shared")]
+    return dims.select("mask_id").join(counts, "mask_id", "left").select("mask_id", *zero)
+
+
+def empty_case(predicted: Column, target: Column) -> Column:
+    return (
+        F.when((predicted == 0) & (target == 0), "both_empty").when(predicted == 0, "empty_prediction")
+        .when(target == 0, "empty_target").otherwise("none")
+    )
+
+
+def boundary_metrics(predicted: DataFrame, target: DataFrame, dims: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """Boundary agreement within ``tolerance`` pixels, mean distance, Hausdorff distance and HD95 of every mask.
+
+    Two empty masks agree with distance 0; with one empty mask the scores are 0 and the distances null.
+    """
+    p, r = checkpoint(boundary(predicted)), checkpoint(boundary(target))
+    both = boundary_distances(p, r).select("mask_id", "distance", F.lit("f").alias("side")).unionByName(
+        boundary_distances(r, p).select("mask_id", "distance", F.lit("b").alias("side"))
+    ).where(F.col("distance").isNotNull())
+    mean = both.groupBy("mask_id", "side").agg(F.avg("distance").alias("mean"), F.avg((F.col("distance") <= tolerance).cast("int")).alias("near"))
+    tail = group_quantiles(both, ["mask_id", "side"], "distance", {"q": 0.95})
+    side = F.col("side") == "f"
+    found = mean.join(tail, ["mask_id", "side"]).groupBy("mask_id").agg(
+        F.max(F.when(side, F.col("near"))).alias("bp"), F.max(F.when(~side, F.col("near"))).alias("br"),
+        F.avg("mean").alias("assd"), F.max("maximum").alias("hausdorff"), F.max("q").alias("hd95"),
+    )
+    rows = with_empty(overlap_counts(predicted, target), dims).join(found, "mask_id", "left")
+    case = empty_case(F.col("predicted"), F.col("target"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("bp") * F.col("br"), F.col("bp") + F.col("br")), F.lit(0.0))
+
+    def ruled(value, both_empty, one_empty):
+        return F.round(F.when(case == "both_empty", both_empty).when(case != "none", one_empty).otherwise(value), 6)
+
+    none = F.lit(None).cast("double")
+    return rows.select(
+        "mask_id", *[ruled(v, F.lit(1.0), F.lit(0.0)).alias(n) for v, n in ((F.col("bp"), "boundary_precision"), (F.col("br"), "boundary_recall"), (f1, "boundary_f1"))],
+        *[ruled(F.col(n), F.lit(0.0), none).alias(n) for n in ("assd", "hausdorff", "hd95")], case.alias("empty_case"),
+    )
+
+
 def neighbour_counts(pixels: DataFrame) -> DataFrame:
     """Every foreground pixel with the number of foreground pixels in its 3x3 square."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])

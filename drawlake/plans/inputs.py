@@ -151,6 +151,10 @@ define_input(
        SELECT mask_id + 1 AS mask_id, x, y FROM {mask_pixels} WHERE mask_id + 1 IN
          (SELECT vec_id FROM {embeddings} WHERE label % 2 <> 0)""",
 )
+define_input("mask_dims", "SELECT vec_id AS mask_id, 24 AS width, 24 AS height FROM {embeddings}")
+# Some kinds of drawings lack a prediction, a target or both.
+define_input("predicted_masks", "SELECT mask_id, x, y FROM {mask_pixels} WHERE label NOT IN (3, 5)")
+define_input("target_masks", "SELECT t.mask_id, t.x, t.y FROM {target_pixels} AS t JOIN {embeddings} AS e ON e.vec_id = t.mask_id WHERE e.label NOT IN (7, 5)")
 define_input(
     "manifest",
     """SELECT d.doc_id AS case_id, d.source AS group_id, sha2(d.text, 256) AS source_sha256,

@@ -2,22 +2,23 @@
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import masks, quantiles
+from drawlake.operators import masks
 from drawlake.plans.registry import query
-from drawlake.session import checkpoint
 
-COUNTS = """SELECT mask_id, sum(p) AS predicted, sum(t) AS target, sum(p * t) AS shared FROM (SELECT mask_id, x, y, max(p) AS p, max(t) AS t FROM (
-  SELECT mask_id, x, y, 1 AS p, 0 AS t FROM {mask_pixels} UNION ALL SELECT mask_id, x, y, 0, 1 FROM {target_pixels}) u GROUP BY 1, 2, 3) c GROUP BY mask_id"""
+COUNTS = """SELECT mask_id, coalesce(predicted, 0) AS predicted, coalesce(target, 0) AS target, coalesce(shared, 0) AS shared FROM {mask_dims} LEFT JOIN (
+  SELECT mask_id, sum(p) AS predicted, sum(t) AS target, sum(p * t) AS shared FROM (SELECT mask_id, x, y, max(p) AS p, max(t) AS t FROM (
+  SELECT mask_id, x, y, 1 AS p, 0 AS t FROM {predicted_masks} UNION ALL SELECT mask_id, x, y, 0, 1 FROM {target_masks}) u GROUP BY 1, 2, 3) c GROUP BY mask_id) k USING (mask_id)"""
+EMPTY = "CASE WHEN predicted + target = 0 THEN 'both_empty' WHEN predicted = 0 THEN 'empty_prediction' WHEN target = 0 THEN 'empty_target' ELSE 'none' END"
 
 
 @query(
     "mask_region_metrics",
-    f"""SELECT mask_id, predicted::BIGINT AS predicted, target::BIGINT AS target, shared::BIGINT AS shared, round(shared / (predicted + target - shared), 6) AS iou,
-       round(2 * shared / (predicted + target), 6) AS dice, round(CASE WHEN predicted > 0 THEN shared / predicted ELSE CASE WHEN target = 0 THEN 1 ELSE 0 END END, 6) AS precision,
+    f"""SELECT mask_id, predicted::BIGINT AS predicted, target::BIGINT AS target, shared::BIGINT AS shared, round(CASE WHEN predicted + target > 0 THEN shared / (predicted + target - shared) ELSE 1 END, 6) AS iou,
+       round(CASE WHEN predicted + target > 0 THEN 2 * shared / (predicted + target) ELSE 1 END, 6) AS dice, round(CASE WHEN predicted > 0 THEN shared / predicted ELSE CASE WHEN target = 0 THEN 1 ELSE 0 END END, 6) AS precision,
        round(CASE WHEN target > 0 THEN shared / target ELSE CASE WHEN predicted = 0 THEN 1 ELSE 0 END END, 6) AS recall FROM ({COUNTS}) q""",
 )
 def mask_region_metrics(t):
-    return masks.region_metrics(masks.overlap_counts(t("mask_pixels"), t("target_pixels")))
+    return masks.region_metrics(masks.with_empty(masks.overlap_counts(t("predicted_masks"), t("target_masks")), t("mask_dims")))
 
 
 def boundary_sql(source):
@@ -30,34 +31,16 @@ def nearest_sql(a, b):
 
 @query(
     "mask_boundary_metrics",
-    f"""SELECT mask_id, round(bp, 6) AS boundary_precision, round(br, 6) AS boundary_recall, round(CASE WHEN bp + br > 0 THEN 2 * bp * br / (bp + br) ELSE 0 END, 6) AS boundary_f1,
-       round((fm + bm) / 2, 6) AS assd, round(greatest(fx, bx), 6) AS hausdorff, round(greatest(fq, bq), 6) AS hd95 FROM (
-       SELECT mask_id, avg(CASE WHEN d <= 1 THEN 1 ELSE 0 END) AS bp, avg(d) AS fm, max(d) AS fx, quantile_cont(d, 0.95) AS fq FROM ({nearest_sql('{mask_pixels}', '{target_pixels}')}) f GROUP BY 1) f
-       JOIN (SELECT mask_id, avg(CASE WHEN d <= 1 THEN 1 ELSE 0 END) AS br, avg(d) AS bm, max(d) AS bx, quantile_cont(d, 0.95) AS bq FROM ({nearest_sql('{target_pixels}', '{mask_pixels}')}) b GROUP BY 1) b USING (mask_id)""",
+    f"""SELECT mask_id, round(CASE e WHEN 'both_empty' THEN 1 WHEN 'none' THEN bp ELSE 0 END, 6) AS boundary_precision, round(CASE e WHEN 'both_empty' THEN 1 WHEN 'none' THEN br ELSE 0 END, 6) AS boundary_recall,
+       round(CASE WHEN e = 'both_empty' THEN 1 WHEN e = 'none' AND bp + br > 0 THEN 2 * bp * br / (bp + br) ELSE 0 END, 6) AS boundary_f1,
+       CASE WHEN e = 'both_empty' THEN 0 ELSE round((fm + bm) / 2, 6) END AS assd, CASE WHEN e = 'both_empty' THEN 0 ELSE round(greatest(fx, bx), 6) END AS hausdorff,
+       CASE WHEN e = 'both_empty' THEN 0 ELSE round(greatest(fq, bq), 6) END AS hd95, e AS empty_case FROM (SELECT mask_id, {EMPTY} AS e FROM ({COUNTS}) c) z LEFT JOIN (
+       SELECT mask_id, avg(CASE WHEN d <= 3 THEN 1 ELSE 0 END) AS bp, avg(d) AS fm, max(d) AS fx, quantile_cont(d, 0.95) AS fq FROM ({nearest_sql('{predicted_masks}', '{target_masks}')}) f GROUP BY 1) f USING (mask_id)
+       LEFT JOIN (SELECT mask_id, avg(CASE WHEN d <= 3 THEN 1 ELSE 0 END) AS br, avg(d) AS bm, max(d) AS bx, quantile_cont(d, 0.95) AS bq FROM ({nearest_sql('{target_masks}', '{predicted_masks}')}) b GROUP BY 1) b USING (mask_id)""",
 )
 def mask_boundary_metrics(t):
-    """Boundary agreement at one pixel, mean distance, HD95 and Hausdorff distance."""
-    p, r = checkpoint(masks.boundary(t("mask_pixels"))), checkpoint(masks.boundary(t("target_pixels")))
-    both = masks.boundary_distances(p, r).select("mask_id", "distance", F.lit("f").alias("side")).unionByName(
-        masks.boundary_distances(r, p).select("mask_id", "distance", F.lit("b").alias("side"))
-    )
-    mean = both.groupBy("mask_id", "side").agg(F.avg("distance").alias("mean"), F.avg((F.col("distance") <= 1).cast("int")).alias("near"))
-    tail = quantiles.group_quantiles(both, ["mask_id", "side"], "distance", {"q": 0.95})
-    rows = mean.join(tail, ["mask_id", "side"])
-    side = F.col("side") == "f"
-    rows = rows.groupBy("mask_id").agg(
-        F.max(F.when(side, F.col("near"))).alias("bp"), F.max(F.when(~side, F.col("near"))).alias("br"),
-        F.avg("mean").alias("assd"), F.max("maximum").alias("hausdorff"), F.max("q").alias("hd95"), F.count("*").alias("sides"),
-    ).where("sides = 2")
-    f1 = F.coalesce(F.try_divide(2 * F.col("bp") * F.col("br"), F.col("bp") + F.col("br")), F.lit(0.0))
-    return rows.select(
-        "mask_id", F.round("bp", 6).alias("boundary_precision"), F.round("br", 6).alias("boundary_recall"), F.round(f1, 6).alias("boundary_f1"),
-        F.round("assd", 6).alias("assd"), F.round("hausdorff", 6).alias("hausdorff"), F.round("hd95", 6).alias("hd95"),
-    )
-
-
-def reach_sql(cells, near):
-    return f"""SELECT mask_id, x, y, min(root) AS root FROM reach_{near} GROUP BY 1, 2, 3"""
+    """Boundary agreement at three pixels, mean distance, HD95 and Hausdorff distance, with the rules for empty masks."""
+    return masks.boundary_metrics(t("predicted_masks"), t("target_masks"), t("mask_dims"))
 
 
 GRID = "SELECT vec_id AS mask_id, x, y FROM (SELECT vec_id, unnest(range(-1, 9)) AS x FROM {embeddings}) a CROSS JOIN (SELECT unnest(range(-1, 9)) AS y) b"
