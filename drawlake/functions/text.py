@@ -21,35 +21,31 @@ MAX_MAGNITUDE = 1e6
 
 
 @lru_cache(maxsize=1)
-def _compatibility_pairs() -> tuple[str, str]:
-    """Characters whose NFKC form is one character of the grammar, from the Unicode tables."""
-    source, target = [], []
+def _compatibility() -> tuple[str, str, dict[str, str]]:
+    """Characters whose NFKC form the grammar can read, from the Unicode tables: one for one, and one for several."""
+    source, target, longer = [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        if 0xD800 <= code <= 0xDFFF or code > 0xFFFF:
+        if 0xD800 <= code <= 0xDFFF:
             continue
         folded = unicodedata.normalize("NFKC", char)
-        if len(folded) == 1 and folded != char and (" " <= folded <= "~" or folded in "ØøΦφδΔ±°×"):
+        if folded == char or not all(" " <= c <= "~" or c in "ØøΦφδΔ±°×" for c in folded):
+            continue
+        if len(folded) == 1:
             source.append(char)
             target.append(folded)
-    return "".join(source), "".join(target)
+        else:
+            longer[char] = folded
+    return "".join(source), "".join(target), longer
 
 
 def compatibility_form(text: Column) -> Column:
-    """NFKC of the single characters the grammar can use, on the JVM side; see also ``full_nfkc``."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, *_compatibility_pairs())).otherwise(text)
-
-
-def full_nfkc():
-    """Arrow function for texts with combining or multi-character compatibility forms."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
-
-    return nfkc
+    """NFKC of the characters the grammar can use, on the JVM side; texts without any pass through."""
+    source, target, longer = _compatibility()
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c <= "~", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    several = text.rlike("[" + "".join(longer) + "]")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(F.when(several, spread).otherwise(text), source, target)).otherwise(text)
 
 
 def is_profile_layer(layer: Column) -> Column:

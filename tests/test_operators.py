@@ -25,19 +25,19 @@ def test_nearest_segment_large_and_small_cases(spark):
             segments.append((case, x, y, x + rng.uniform(-3, 3), y + rng.uniform(-30, 3)))
         segments.append((case, -500.0, 0.0, 500.0, 1.0))
         points += [(case, i, rng.uniform(-900, 900), rng.uniform(-50, 50)) for i in range(60)]
+    points.append((3, 0, 1.0, 1.0))  # a case without segments keeps its points
     near = spatial.nearest_segment(
         spark.createDataFrame(points, "case_id int, pid int, px double, py double"),
         spark.createDataFrame(segments, "case_id int, sx double, sy double, ex double, ey double"), "case_id", ["pid"],
     ).collect()
     got = {(r["case_id"], r["pid"]): r["distance"] for r in near}
-    assert len(got) == 120
-    for case, pid, px, py in points:
+    assert len(got) == 121 and got.pop((3, 0)) is None
+    for case, pid, px, py in points[:-1]:
         want = min(brute_distance(px, py, s[1:]) for s in segments if s[0] == case)
         assert abs(got[case, pid] - want) < 1e-9
 
 
-def test_group_quantiles_large_group(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 50)
+def test_group_quantiles_of_a_hot_and_a_small_group(spark):
     values = np.random.default_rng(1).normal(size=30_000).round(3)
     rows = spark.range(30_000).selectExpr("id").toPandas()
     rows["v"], rows["k"] = values, np.where(np.arange(30_000) < 29_990, "hot", "small")
@@ -108,3 +108,33 @@ def test_filter_on_parsed_value_keeps_the_plan_small(spark):
     assert rows.count() == 1
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and len(plan) < 60_000
+
+
+def test_compatibility_forms_of_one_and_of_several_characters(spark):
+    from drawlake.functions import text
+
+    samples = ["⑩", "R⑩", "⑴", "⒈", "\U0001D7CF", "Ｒ１２", "25±0.1", "plain", "½", "㎜ ⌀５", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(samples)], "i long, t string")
+    got = [r.f for r in rows.select("i", text.compatibility_form(rows.t).alias("f")).orderBy("i").collect()]
+    import unicodedata
+
+    readable = lambda t: all(c <= "~" or c in "ØøΦφδΔ±°×" for c in t)
+    want = [t if t is None else "".join(f if readable(f := unicodedata.normalize("NFKC", c)) else c for c in t) for t in samples]
+    assert got == want and got[:5] == ["10", "R10", "(1)", "1.", "1"]
+
+
+def test_ranks_and_totals_of_groups_that_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from drawlake.operators import prefix
+
+    rng = random.Random(6)
+    rows = [("hot" if i % 10 else None, rng.randint(0, 50), i) for i in range(3000)]
+    got = prefix.running_total(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], [F.col("v").desc(), F.col("i").asc()], F.col("v")).collect()
+    assert len(got) == 3000
+    for group in ("hot", None):
+        total = 0
+        for r in sorted((r for r in got if r.g == group), key=lambda r: (-r.v, r.i)):
+            assert r._before == total
+            total += r.v
+        assert {r._total for r in got if r.g == group} == {total}
