@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from drawlake.operators.spatial import point_in_range
+from drawlake.session import checkpoint
 
 # Association windows in label heights, span factors and the 3% ratio rule.
 BELOW, ABOVE = 0.3, 1.3
@@ -82,12 +83,13 @@ def near_ties(options: DataFrame) -> DataFrame:
 
 
 def ratio_windows(witnesses: DataFrame) -> DataFrame:
-    """Every qualifying 3% window of a case.
+    """Every qualifying 3% window of a case; the witnesses are written once.
 
     Windows start at each distinct scale of the case.  Logarithmic bins as wide as the window put a
     member into its own and the previous bin, so a window only meets witnesses it can contain.
     """
-    usable = witnesses.where((F.col("pixels_per_mm") > 0) & (F.col("pixels_per_mm") < float("inf")))
+    usable = checkpoint(witnesses.where((F.col("pixels_per_mm") > 0) & (F.col("pixels_per_mm") < float("inf"))).select(
+        "case_id", "record_id", "axis", "nominal", "lo", "hi", "cross_at", "pixels_per_mm"))
     step = F.log(F.lit(SPREAD))
     placed = usable.withColumn("_bin", F.floor(F.log("pixels_per_mm") / step))
     seeds = placed.select("case_id", F.col("pixels_per_mm").alias("seed"), "_bin").distinct()
@@ -118,9 +120,13 @@ def scale_modes(windows: DataFrame) -> DataFrame:
         F.col("distinct_dimensions").alias("d"), F.col("distinct_lines").alias("l"),
         (-(F.col("high") / F.col("low") - 1)).alias("s"), (-F.col("seed")).alias("first"),
     )
-    best = windows.groupBy("case_id").agg(F.max_by(F.struct("pixels_per_mm", "low", "high", "distinct_dimensions", "distinct_lines"), order).alias("m"))
-    rival = F.greatest(F.col("high"), F.col("m.high")) / F.least(F.col("low"), F.col("m.low")) > SPREAD
-    status = windows.join(best, "case_id").groupBy("case_id").agg(F.first("m").alias("m"), F.count_if(rival).alias("rivals"))
+    best = windows.groupBy("case_id").agg(
+        F.max_by(F.struct("pixels_per_mm", "low", "high", "distinct_dimensions", "distinct_lines"), order).alias("m"),
+        F.max("high").alias("highest"), F.min("low").alias("lowest"),
+    )
+    # No window spans more than 3%, so a rival shows in the outermost ends.
+    rival = (F.col("highest") / F.col("m.low") > SPREAD) | (F.col("m.high") / F.col("lowest") > SPREAD)
+    status = best.withColumn("rivals", rival.cast("int"))
     return status.select(
         "case_id", F.when(F.col("rivals") > 0, "ambiguous").otherwise("resolved").alias("status"),
         F.when(F.col("rivals") == 0, F.col("m.pixels_per_mm")).alias("pixels_per_mm"),
