@@ -83,16 +83,31 @@ def refinement_gate(t):
     return rows.groupBy("mask_id").agg(changed.alias("changed_pixels"), reasons.alias("reasons"))
 
 
-@query(
-    "label_ray_entry",
-    f"""SELECT record_id, round(enter, 6) + 0.0 AS entry FROM (SELECT record_id, greatest(0, least((x0 - cx) / vx, (x1 - cx) / vx), least((y0 - cy) / vy, (y1 - cy) / vy)) AS enter,
-       least(2000, greatest((x0 - cx) / vx, (x1 - cx) / vx), greatest((y0 - cy) / vy, (y1 - cy) / vy)) AS leave FROM ({BOX}) b WHERE abs(vx) > 1e-10 AND abs(vy) > 1e-10) q WHERE leave >= enter""",
-)
-def label_ray_entry(t):
+def ray_sql(gap: float) -> str:
+    """Entry and exit per axis; an axis along which the shaft does not move only asks that it lies inside."""
+    near = " , ".join(f"CASE WHEN abs(v{a}) < 1e-10 THEN 0 ELSE least(({a}0 - c{a}) / v{a}, ({a}1 - c{a}) / v{a}) END" for a in "xy")
+    far = " , ".join(f"CASE WHEN abs(v{a}) < 1e-10 THEN {gap} ELSE greatest(({a}0 - c{a}) / v{a}, ({a}1 - c{a}) / v{a}) END" for a in "xy")
+    beside = " AND ".join(f"(abs(v{a}) >= 1e-10 OR c{a} BETWEEN {a}0 AND {a}1)" for a in "xy")
+    return f"""SELECT record_id, round(enter, 6) + 0.0 AS entry FROM (SELECT record_id, greatest(0, {near}) AS enter, least({gap}, {far}) AS leave
+       FROM ({BOX}) b WHERE {beside}) q WHERE leave >= enter"""
+
+
+def ray_entry(rows, gap: float):
+    """``entry``, the way along (vx, vy) from (cx, cy) until the box (x0, y0, x1, y1) within ``gap``; rows that miss it go."""
+    near, far = [], []
+    for axis in "xy":
+        at, speed, low, high = (F.col(c) for c in (f"c{axis}", f"v{axis}", f"{axis}0", f"{axis}1"))
+        still = F.abs(speed) < 1e-10
+        rows = rows.where(~still | at.between(low, high))
+        ends = [F.try_divide(low - at, speed), F.try_divide(high - at, speed)]
+        near.append(F.when(still, 0.0).otherwise(F.least(*ends)))
+        far.append(F.when(still, gap).otherwise(F.greatest(*ends)))
+    enter, leave = F.greatest(F.lit(0.0), *near), F.least(F.lit(gap), *far)
+    return rows.where(leave >= enter).withColumn("entry", enter)
+
+
+@query("label_ray_entry", ray_sql(2000.0))
+def label_ray_entry(t, maximum_gap: float = 2000.0):
     """Length along a shaft until it enters its label's box, where it enters at all."""
-    rows = boxes(t).withColumns({"vx": F.cos("angle"), "vy": F.sin("angle")}).where((F.abs("vx") > 1e-10) & (F.abs("vy") > 1e-10))
-    a, b = (F.col("x0") - F.col("cx")) / F.col("vx"), (F.col("x1") - F.col("cx")) / F.col("vx")
-    c, d = (F.col("y0") - F.col("cy")) / F.col("vy"), (F.col("y1") - F.col("cy")) / F.col("vy")
-    enter = F.greatest(F.lit(0.0), F.least(a, b), F.least(c, d))
-    leave = F.least(F.lit(2000.0), F.greatest(a, b), F.greatest(c, d))
-    return rows.where(leave >= enter).select("record_id", F.round(enter, 6).alias("entry"))
+    rows = boxes(t).withColumns({"vx": F.cos("angle"), "vy": F.sin("angle")})
+    return ray_entry(rows, maximum_gap).select("record_id", F.round("entry", 6).alias("entry"))
