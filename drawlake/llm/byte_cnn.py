@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents
+from drawlake.llm.common import documents, ship
 
 #: Filters, bytes that a filter sees, and bytes of a pooling block.
 FILTERS, WIDTH, BLOCK = 16, 5, 64
@@ -191,6 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def quality(text: Column, model: Broadcast) -> Column:
     """The probability that a text has label 1."""
+    ship(SparkSession.active())
+
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(model.value.scores([b"" if t is None else t.encode("utf-8", "replace") for t in texts.to_pylist()]), pa.float64())

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import drawlake
 from drawlake.session import ensure_checkpoint_dir
 
 #: A word is a run of characters other than the ASCII white space.
@@ -18,6 +23,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the session's Python workers, so that they need not find it themselves.
+
+    Spark serves the archive to every executor, also to those that join or restart later.
+    """
+    sc = spark.sparkContext
+    root = Path(drawlake.__file__).parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
@@ -30,6 +55,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Let Spark drop rows by a Bloom filter of the selective side before a join shuffles them, whatever the scan's size.
+
+    Holds for jobs that run inside; the filter's size limits stay those of the session.
+    """
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drawlake.llm.common import ship
+
 #: Rows in an index block and queries in a query block: the most that one task holds at once.
 INDEX_BLOCK, QUERY_BLOCK = 2048, 2048
 
@@ -96,6 +98,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     ``is_query`` may use the columns of ``vectors``.  Ranks start at 1; equal scores go to the smaller id.
     """
+    ship(vectors.sparkSession)
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col), scale).alias("ints"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))

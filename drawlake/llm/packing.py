@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents
+from drawlake.llm.common import documents, ship
 
 #: Tokens of a sequence, the id that ends a document, and documents to a block.
 CAPACITY, END_ID, BLOCK_DOCS = 2048, 0, 4096
@@ -203,6 +203,7 @@ def _pack_block(capacity: int):
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID,
          id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of every piece of ``docs``."""
+    ship(docs.sparkSession)
     blocks = max(1, -(-docs.count() // block_docs))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(path or tokenizer_path(), capacity, end_id), schema)
