@@ -9,8 +9,8 @@ A text is cut into windows of twice the template's length that overlap by half,
 stretch as long as the template lies whole in one.  A window is aligned only if it holds enough of the
 template's words for the coverage asked for, which rules out no match.  Texts are read whole.
 
-Defined results: null and word-less texts have no license; each template is reported once per place, and
-overlapping places of one template keep the best; repeated rows are scanned each; an empty table gives no
+Defined results: null and word-less texts have no license; of overlapping places the one with most aligned
+words is reported, whatever its template; repeated rows are scanned each; an empty table gives no
 rows; columns other than the text are never read.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents
+from drawlake.llm.common import documents, ship
 
 #: Least share of a template's words that must be aligned.
 MIN_COVERAGE = 0.8
@@ -133,26 +133,24 @@ class Templates:
         if not likely:
             return []
         own, places = words(text)
-        found = []
+        best: list[tuple[int, float, int, int, str, str]] = []
         for name, kind, template, counts in likely:
             size = len(template)
             hit = np.fromiter((w in counts for w in own), np.int64, len(own))
             total = np.concatenate([[0], np.cumsum(hit)])
-            best: list[tuple[float, int, int]] = []
             for at in range(0, max(1, len(own) - size), size):
                 end = min(len(own), at + 2 * size)
                 if total[end] - total[at] < self.coverage * size:
                     continue
                 pairs = align(own[at:end], template)
-                share = len(pairs) / size
-                if share >= self.coverage:
-                    best.append((share, at + pairs[0][0], at + pairs[-1][0] + 1))
-            taken: list[tuple[int, int]] = []
-            for share, a, b in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-                if all(b <= s or e <= a for s, e in taken):
-                    taken.append((a, b))
-                    found.append({"license": name, "kind": kind, "coverage": share, "start": places[a][0], "end": places[b - 1][1]})
-        return sorted(found, key=lambda x: (x["start"], x["license"]))
+                if len(pairs) >= self.coverage * size:
+                    best.append((len(pairs), len(pairs) / size, at + pairs[0][0], at + pairs[-1][0] + 1, name, kind))
+        found, taken = [], []
+        for _, share, a, b, name, kind in sorted(best, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4])):
+            if all(b <= s or e <= a for s, e in taken):
+                taken.append((a, b))
+                found.append({"license": name, "kind": kind, "coverage": share, "start": places[a][0], "end": places[b - 1][1]})
+        return sorted(found, key=lambda x: x["start"])
 
 
 _RESULT = pa.list_(pa.struct([("license", pa.string()), ("kind", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -160,6 +158,8 @@ _RESULT = pa.list_(pa.struct([("license", pa.string()), ("kind", pa.string()), (
 
 def licenses(text: Column, templates: dict[str, tuple[str, str]] = TEMPLATES, coverage: float = MIN_COVERAGE) -> Column:
     """The license notices of a text column."""
+    ship(SparkSession.active())
+
     @F.arrow_udf("array<struct<license:string,kind:string,coverage:double,start:bigint,end:bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         scan = Templates(templates, coverage)

@@ -179,10 +179,10 @@ def test_licenses_are_found_whole_and_changed(spark, docs, rows, empty):
     words = mit.split()
     words[5:9] = ["something", "else"]
     texts = ["Before. " * 500 + mit + " after." * 500, "Start " + " ".join(words) + " end", "Released under the\nMIT license. x Released under the MIT License.", "no license here", None, "",
-             " ".join(words[::3])]
+             " ".join(words[::3]), "Licensed under CC BY-NC 4.0."]
     got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", license_scan.licenses("text").alias("f")).orderBy("i").collect()]
     names = [[x.license for x in f] for f in got]
-    assert "mit-text" in names[0] and "mit-text" in names[1] and names[2] == ["mit", "mit"] and names[3:] == [[], [], [], []]
+    assert "mit-text" in names[0] and "mit-text" in names[1] and names[2] == ["mit", "mit"] and names[3:] == [[], [], [], [], ["cc-by-nc-4.0"]]
     place = next(x for x in got[0] if x.license == "mit-text")
     assert texts[0][place.start: place.end] == mit[:-1] and place.coverage == 1.0
     assert docs.select(license_scan.licenses("text")).count() == len(rows)
