@@ -51,3 +51,9 @@ def inside(actual: Column, minimum: Column, maximum: Column) -> Column:
 def residual(actual: Column, minimum: Column, maximum: Column) -> Column:
     """Signed distance of the magnitude to the interval, zero inside."""
     return F.abs(actual) - F.least(F.greatest(F.abs(actual), minimum), maximum)
+
+
+def directed_residual(actual: Column, value: Column, below: float, above: float) -> Column:
+    """Signed distance to the interval around a value whose sign is a direction: a span the other way does not pass."""
+    along = F.signum(value) * actual
+    return along - F.least(F.greatest(along, F.abs(value) - below), F.abs(value) + above)

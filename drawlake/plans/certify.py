@@ -26,7 +26,7 @@ def r6(value, alias):
 MEASURED = """SELECT k.*, a.radius, a.cx, a.cy, a.sx, a.sy, a.ex, a.ey, CASE kind WHEN 'radius' THEN radius WHEN 'distance_x' THEN ex - sx WHEN 'distance_y' THEN ey - sy
   WHEN 'distance' THEN sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)) ELSE degrees(atan2(ey - sy, ex - sx)) END AS actual FROM {constraints} k JOIN (
   SELECT *, cx + radius * cos(angle) AS sx, cy + radius * sin(angle) AS sy, cx + radius * cos(angle + sweep) AS ex, cy + radius * sin(angle + sweep) AS ey FROM {arcs}) a USING (entity_id)"""
-RESIDUAL = """CASE WHEN kind = 'angle' THEN (actual - value + 180) - floor((actual - value + 180) / 360) * 360 - 180 WHEN banded THEN abs(actual) - least(greatest(abs(actual), value - 1), value + 2) ELSE actual - value END"""
+RESIDUAL = """CASE WHEN kind = 'angle' THEN (actual - value + 180) - floor((actual - value + 180) / 360) * 360 - 180 WHEN banded THEN sign(value) * actual - least(greatest(sign(value) * actual, abs(value) - 1), abs(value) + 2) ELSE actual - value END"""
 
 
 def arcs_with_ends(t):
@@ -49,7 +49,7 @@ def measured(t):
     gap = F.col("actual") - F.col("value")
     residual = (
         F.when(kind == "angle", F.pmod(gap + 180, F.lit(360.0)) - 180)
-        .when(F.col("banded"), tolerance.residual(F.col("actual"), F.col("value") - 1, F.col("value") + 2)).otherwise(gap)
+        .when(F.col("banded"), tolerance.directed_residual(F.col("actual"), F.col("value"), 1, 2)).otherwise(gap)
     )
     return rows.withColumn("residual", residual)
 

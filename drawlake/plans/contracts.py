@@ -7,20 +7,25 @@ from drawlake.plans.certify import BOX, boxes
 from drawlake.plans.geometry import GATE, NEXT
 from drawlake.plans.registry import query
 
-COSINE = "((ex - sx) * (nex - nsx) + (ey - sy) * (ney - nsy)) / (sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)) * sqrt(pow(nex - nsx, 2) + pow(ney - nsy, 2)))"
+# How far a certified tangent may turn, in degrees, and how far its ends may lie apart.
+TANGENT_DEGREES, ENDPOINT_GAP = 1e-7, 1e-7
+TURN = "degrees(atan2((ex - sx) * (ney - nsy) - (ey - sy) * (nex - nsx), (ex - sx) * (nex - nsx) + (ey - sy) * (ney - nsy)))"
+JOINED = f"sqrt(pow(nsx - ex, 2) + pow(nsy - ey, 2)) <= {ENDPOINT_GAP}"
 
 
 @query(
     "tangent_checks",
-    f"SELECT case_id, count(*) AS joints, count(*) FILTER ({COSINE} > 0) AS forward, count(*) FILTER ({COSINE} >= cos(radians(12))) AS smooth, bool_and({COSINE} >= cos(radians(12))) AS passed FROM ({NEXT}) q GROUP BY case_id",
+    f"""SELECT case_id, count(*) AS joints, count(*) FILTER (abs({TURN}) < 90) AS forward, count(*) FILTER ({JOINED}) AS joined, count(*) FILTER ({JOINED} AND abs({TURN}) <= {TANGENT_DEGREES}) AS smooth,
+       bool_and({JOINED} AND abs({TURN}) <= {TANGENT_DEGREES}) AS passed FROM ({NEXT}) q GROUP BY case_id""",
 )
 def tangent_checks(t):
-    """Joints of a ring that continue forward and within 12 degrees."""
+    """Joints of a ring whose ends meet and whose directions agree; a case passes when all its joints do."""
     dx, dy, nx, ny = F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"), F.col("n_ex") - F.col("n_sx"), F.col("n_ey") - F.col("n_sy")
-    cosine = (dx * nx + dy * ny) / (F.hypot(dx, dy) * F.hypot(nx, ny))
-    smooth = cosine >= F.cos(F.radians(F.lit(12.0)))
+    turn = F.abs(F.degrees(F.atan2(dx * ny - dy * nx, dx * nx + dy * ny)))
+    joined = F.hypot(F.col("n_sx") - F.col("ex"), F.col("n_sy") - F.col("ey")) <= ENDPOINT_GAP
+    smooth = joined & (turn <= TANGENT_DEGREES)
     return compare.ring_next(t("reference_lines")).groupBy("case_id").agg(
-        F.count("*").alias("joints"), F.count_if(cosine > 0).alias("forward"), F.count_if(smooth).alias("smooth"), F.bool_and(smooth).alias("passed")
+        F.count("*").alias("joints"), F.count_if(turn < 90).alias("forward"), F.count_if(joined).alias("joined"), F.count_if(smooth).alias("smooth"), F.bool_and(smooth).alias("passed")
     )
 
 
