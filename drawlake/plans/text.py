@@ -220,20 +220,22 @@ def reread_consensus(t):
     return rows.select("record_id", status.alias("status"))
 
 
+AGREE = " AND ".join(f"o.{name} IS NOT DISTINCT FROM p.{name}" for name in ("kind", "nominal", "upper", "lower", "unit", "is_reference"))
+
+
 @query(
     "dimension_agreement",
-    f"""SELECT o.record_id, o.kind IS NOT DISTINCT FROM p.kind AND o.nominal IS NOT DISTINCT FROM p.nominal AND o.upper IS NOT DISTINCT FROM p.upper
-       AND o.lower IS NOT DISTINCT FROM p.lower AS agrees FROM ({PARSED}) o LEFT JOIN (SELECT * FROM ({PARSED.replace('{ocr_records}', '{rereads}')}) z WHERE view = 1 AND text IS NOT NULL) p
-       ON o.record_id = p.record_id WHERE o.kind <> 'unknown' AND p.record_id IS NOT NULL""",
+    f"""SELECT o.record_id, CASE WHEN p.record_id IS NOT NULL THEN {AGREE} END AS agrees FROM ({PARSED}) o
+       LEFT JOIN (SELECT * FROM ({PARSED.replace('{ocr_records}', '{rereads}')}) z WHERE view = 1 AND text IS NOT NULL) p ON o.record_id = p.record_id WHERE o.kind <> 'unknown'""",
 )
 def dimension_agreement(t):
+    """Whether an outside reading has all fields of the local one; null where it gave none."""
     local = parsed(t).select("record_id", F.col("dimension").alias("a")).where("a.kind <> 'unknown'")
-    other = text.with_dimension(t("rereads").where("view = 1 and text is not null")).select("record_id", F.col("dimension").alias("b"))
-    fields = ("kind", "nominal", "upper", "lower")
+    other = text.with_dimension(t("rereads").where("view = 1 and text is not null")).select("record_id", F.col("dimension").alias("b"), F.lit(True).alias("answered"))
     agrees = F.lit(True)
-    for name in fields:
+    for name in ("kind", "nominal", "upper", "lower", "unit", "is_reference"):
         agrees = agrees & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-    return local.join(other, "record_id").select("record_id", agrees.alias("agrees"))
+    return local.join(other, "record_id", "left").select("record_id", F.when(F.col("answered"), agrees).alias("agrees"))
 
 
 @query(
