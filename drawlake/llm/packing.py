@@ -18,7 +18,6 @@ import zlib
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,10 +191,11 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack_block(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        number, offset = best_two_fit(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=pdf["block"].astype("int64") * 2**32 + number, offset=offset).drop(columns="block")
+    def pack(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by([(name, "ascending") for name in ("doc_id", "piece", "ids_crc32")])
+        number, offset = best_two_fit(pieces["length"].to_numpy(), capacity)
+        sequence = pieces["block"].to_numpy().astype(np.int64) * 2**32 + number
+        return pieces.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return pack
 
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(path or tokenizer_path(), capacity, end_id), schema)
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(_pack_block(capacity), f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("block").applyInArrow(_pack_block(capacity), f"{schema}, sequence_id long, offset long")
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

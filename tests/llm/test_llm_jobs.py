@@ -56,6 +56,13 @@ def test_packing_round_trip(docs, rows, empty, tokenizer):
     assert packing.pack(empty).collect() == []
 
 
+def test_large_ids_beside_a_null_id(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, "some text"), (None, "other text")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(df).collect()} == {big, None}
+    assert {r.doc_id for r in jaccard_join.join_documents(df).collect()} == {big, None}
+
+
 def test_encoder_equals_the_tokenizer(tokenizer):
     code = packing.Encoder(packing.tokenizer_path(), limit=50)
     texts = ["", " ", "  ", "a  b", " a", "a ", "a\n b \n", "don't  stop\n\n\nnow", "a\x00 b", "<|endoftext|> hi", "\t\t x", " " * 50 + "z", "é à　ü", "a b \x1c c", "x  y"]
@@ -167,14 +174,13 @@ def test_join_against_brute_force(docs, rows, empty):
     assert jaccard_join.join_documents(empty).collect() == []
 
 
-def test_join_of_families_split_into_buckets(spark, monkeypatch):
+def test_join_of_families_split_into_buckets(spark):
     rows = family(1, 120, 60, 6) + family(2, 40, 30, 2, 100) + family(3, 12, 20, 1, 200) + family(4, 300, 25, 14, 300)
     rows += [(i + 400, t + " " + " ".join(f"tail{j}" for j in range(i % 40)), "en", "s") for i, (_, t, *_) in enumerate(rows[:60])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     want = sorted(join_by_force(rows))
     for bucket, chunk in ((1500, 1500), (7, 5)):
-        monkeypatch.setattr(jaccard_join.links, "__defaults__", (85, bucket, chunk))
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_documents(df).collect())
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_documents(df, bucket=bucket, chunk=chunk).collect())
         assert got == want
     assert len({c for *_, c in want}) > 5
 
