@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import WORD, documents, let, staged
+from drawlake.llm.common import WORD, documents, let, runtime_filters, staged
 
 #: Least length of a line for the near comparison, and the parts that its edit is narrowed to.
 MIN_NEAR, PARTS = 20, 8
@@ -91,7 +91,8 @@ def near_removed(docs: DataFrame, lines: DataFrame, firsts: DataFrame, id_col: s
     """``(h, n)`` of the lines that have an earlier line within one edit."""
     halves = lines.select("h", "n", F.explode("halves").alias("key"))
     wanted = halves.join(_shared(halves, "key"), "key", "left_semi").select("h", "n").distinct().join(firsts.select("h", "n", "first"), ["h", "n"])
-    near = staged(_fetch(docs, wanted, id_col, text_col), "near-lines")
+    with runtime_filters(docs.sparkSession):
+        near = staged(_fetch(docs, wanted, id_col, text_col), "near-lines")
     parts = _part_keys(near)
     parts = parts.join(_shared(parts.select("h", "key"), "key"), "key", "left_semi")
     variants = staged(_variants(parts), "variants")
