@@ -24,10 +24,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents
+from drawlake.llm.common import documents, ship
 
 #: Training documents of one language, training documents in all, and hash buckets of trigrams.
 PER_LANGUAGE, SAMPLE, BUCKETS = 1500, 60_000, 1 << 15
+#: Cells over which the training documents of a language are chosen evenly.
+CELLS = 50
 #: Cost of a switch and of a script that a language does not use, in nats; a script is used from this share of letters.
 SWITCH, FOREIGN, SCRIPT_SHARE = 14.0, 30.0, 0.01
 UNKNOWN = "und"
@@ -167,11 +169,14 @@ def _count(batches):
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """A model from the rows that ``learn`` selects, by hash at most ``per_language`` of each language."""
+    ship(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
-    ids = ids.orderBy("k", "lang").limit(sample).select("id").distinct()
+    cells = max(1, min(CELLS, per_language))  # a language's rows are ranked in cells of their hash, not in one place
+    own = Window.partitionBy("lang", F.pmod("h", F.lit(cells))).orderBy("h", "id")
+    ids = ids.withColumn("k", F.row_number().over(own)).where(F.col("k") <= per_language // cells)
+    ids = ids.orderBy("k", "lang", "h").limit(sample).select("id").distinct()
     chosen = rows.join(F.broadcast(ids), "id").select("lang", "text")
     cells = chosen.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(cells["lang"].unique())
@@ -187,6 +192,8 @@ _RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("span
 
 def identify(text: Column, model: Broadcast, switch: float = SWITCH) -> Column:
     """struct(lang_pred, score, spans) of a text column."""
+    ship(SparkSession.active())
+
     @F.arrow_udf("struct<lang_pred:string,score:double,spans:array<struct<start:bigint,end:bigint,lang:string>>>")
     def run(texts: pa.Array) -> pa.Array:
         found = [predict(t.as_py(), model.value, switch) for t in texts]
