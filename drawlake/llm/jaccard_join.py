@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents, staged
+from drawlake.llm.common import documents, runtime_filters, ship, staged
 
 PERCENT, WORDS = 85, 4
 #: Expected sets of a bucket, expected queries of a chunk, and bytes of text hashed at once.
@@ -152,9 +152,14 @@ def _least_col(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / 100).cast("int")
 
 
+#: Marks of the rows that carry a shingle of several sets of a batch, and of documents (less their size).
+_LOCAL, _DOC = 1 << 30, -2
+
+
 def _digest(percent: int, width: int):
     """Rows ``(k, v, w)``: documents (id, set, -2 - size), set totals (set, set, 1 + shingles that recur in the
-    batch), shingles seen in one set (hash, set, 0) and shingles seen in several (hash, 0, -1)."""
+    batch), shingles seen in one set (hash, set, 0), and of those seen in several one witness (hash, 0, -1) and
+    every pair (set, hash, _LOCAL), which is dealt by the set."""
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -166,7 +171,7 @@ def _digest(percent: int, width: int):
                     sizes.append(len(tokens))
                     if len(tokens):
                         sets.setdefault(names[-1], tokens[: zone(len(tokens), percent)].copy())
-            out = [(ids, pa.array(names, pa.int64()), pa.array(-2 - np.array(sizes, np.int64), pa.int64()))]
+            out = [(ids, pa.array(names, pa.int64()), pa.array(_DOC - np.array(sizes, np.int64), pa.int64()))]
             if sets:
                 owner = np.array(list(sets), np.int64)
                 tokens = np.concatenate(list(sets.values())).view(np.int64)
@@ -177,7 +182,8 @@ def _digest(percent: int, width: int):
                 alone = first & np.concatenate([first[1:], [True]])
                 again = np.bincount(who[~alone], minlength=len(owner))
                 many = tokens[first & ~alone]
-                for k, v, w in ((owner, owner, again + 1), (tokens[alone], owner[who[alone]], np.zeros(alone.sum())), (many, np.zeros(len(many)), np.full(len(many), -1))):
+                for k, v, w in ((owner, owner, again + 1), (tokens[alone], owner[who[alone]], np.zeros(alone.sum())), (many, np.zeros(len(many)), np.full(len(many), -1)),
+                                (owner[who[~alone]], tokens[~alone], np.full((~alone).sum(), _LOCAL))):
                     out.append(tuple(pa.array(x.astype(np.int64)) for x in (k, v, w)))
             for k, v, w in out:
                 yield pa.RecordBatch.from_arrays([k, v, w.cast(pa.int32())], names=["k", "v", "w"])
@@ -186,34 +192,44 @@ def _digest(percent: int, width: int):
 
 
 def _recurring(batches):
-    """Rows ``(doc_id, sid, n, recur, times)``: documents as they came (times 0), and per set the shingles that recur."""
+    """Rows ``(kind, a, sid, n)``: 0 documents (a is the id, n the size), 1 per set the shingles that recur (a) and how
+    often it was counted (n), 2 a set's recurring shingle (a)."""
     parts = [[c.to_numpy(zero_copy_only=False) for c in (b.column(1), b.column(2))] + [b.column(0)] for b in batches]
     if not parts:
         return
     v, w, k = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.chunked_array([p[2] for p in parts]))
-    docs = np.flatnonzero(w <= -2)
-    zeros = np.zeros(len(docs), np.int64)
-    schema = ["doc_id", "sid", "n", "recur", "times"]
-    row = lambda *x: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in x], names=schema)
-    yield row(k.take(pa.array(docs)).combine_chunks(), v[docs], -2 - w[docs].astype(np.int64), zeros, zeros)
-    totals = w > 0
+
+    def row(kind: int, a, sid, n):
+        a, sid, n = (c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64)) for c in (a, sid, n))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, sid, n], names=["kind", "a", "sid", "n"])
+
+    def keys(mask: np.ndarray) -> pa.Array:
+        taken = k.take(pa.array(np.flatnonzero(mask)))
+        return pa.concat_arrays(taken.chunks) if taken.num_chunks else pa.array([], pa.int64())
+
+    docs = w <= _DOC
+    yield row(0, keys(docs), v[docs], _DOC - w[docs].astype(np.int64))
+    totals = (w > 0) & (w < _LOCAL)
     sids, at = np.unique(v[totals], return_inverse=True)
-    yield row(sids, sids, np.zeros(len(sids)), np.bincount(at, weights=w[totals] - 1, minlength=len(sids)), np.bincount(at, minlength=len(sids)))
-    tokens = np.flatnonzero((w == 0) | (w == -1))
-    key = k.take(pa.array(tokens)).to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, name, witness = key[order], v[tokens][order], w[tokens][order] == -1
+    yield row(1, np.bincount(at, weights=w[totals] - 1, minlength=len(sids)), sids, np.bincount(at, minlength=len(sids)))
+    local = w == _LOCAL
+    yield row(2, v[local], keys(local), np.zeros(local.sum()))
+    tokens = (w == 0) | (w == -1)
+    key = keys(tokens).to_numpy()
     if not len(key):
         return
+    order = np.argsort(key, kind="stable")
+    key, name, witness = key[order], v[tokens][order], w[tokens][order] == -1
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     shared = np.logical_or.reduceat(witness, start) | (np.minimum.reduceat(name, start) != np.maximum.reduceat(name, start))
-    own = name[np.repeat(shared, np.diff(np.append(start, len(key)))) & ~witness]
-    sids, recur = np.unique(own, return_counts=True)
-    zero = np.zeros(len(sids), np.int64)
-    yield row(sids, sids, zero, recur, zero)
+    own = np.repeat(shared, np.diff(np.append(start, len(key)))) & ~witness
+    yield row(2, key[own], name[own], np.zeros(own.sum()))
+    sids, recur = np.unique(name[own], return_counts=True)
+    yield row(1, recur, sids, np.zeros(len(sids)))
 
 
 def _sets(width: int):
+    """Adds the shingles of a set to its row ``(sid, text, n, ...)``; texts that share an id but not the set are left out."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -222,8 +238,8 @@ def _sets(width: int):
                 named = [(i, s) for i, (sid, s) in enumerate(zip(part.column(0).to_pylist(), found)) if len(s) and identity(s) == sid]
                 if named:
                     tokens = pa.array([s.view(np.int64) for _, s in named], pa.list_(pa.int64()))
-                    sids = part.column(0).take(pa.array([i for i, _ in named]))
-                    yield pa.RecordBatch.from_arrays([sids, pa.array([len(s) for _, s in named], pa.int32()), tokens], names=["sid", "n", "tokens"])
+                    kept = part.take(pa.array([i for i, _ in named]))
+                    yield pa.RecordBatch.from_arrays([kept.column(0), tokens, *kept.columns[2:]], names=[kept.schema.names[0], "tokens", *kept.schema.names[2:]])
 
     return run
 
@@ -331,33 +347,36 @@ def _search_bucket(percent: int, among: bool):
     return run
 
 
-def _candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges that tie candidate groups, and ``(sid, central)``: how often a set's shingles recur."""
-    n = F.col("n")
-    size = F.least(n, n - _least_col(n, percent) + 1 + F.floor(n / 10).cast("int"))
-    first = sets.select("sid", "n", F.explode(F.slice("tokens", F.lit(1), size)).alias("token"))
-    often = first.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    both = staged(first.join(often, "token"), "recurring")
-    central = both.groupBy("sid").agg(F.sum("df").alias("central"))
+def candidates(shared: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """``(sid, rep, n, grp, band, central, bucket)`` of the sets that may have a partner.
+
+    ``shared(token, sid, n, rep)`` are the compared shingles that recur.  A set's rarest ones, as many as leave
+    fewer than the least overlap, tie candidate groups; ``central`` tells how often its shingles recur.
+    """
+    often = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    both = staged(shared.join(often, "token"), "recurring")
     own = Window.partitionBy("sid")
-    ranked = both.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("all", F.count("*").over(own))
-    rare = ranked.where(F.col("rank") <= F.col("all") - F.floor(_least_col(n, percent) / 10)).select("token", "sid")
+    ranked = both.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("all", F.count("*").over(own)).withColumn("central", F.sum("df").over(own))
+    rare = staged(ranked.where(F.col("rank") <= F.col("all") - F.floor(_least_col(F.col("n"), percent) / 10)).select("token", "sid", "n", "rep", "central"), "rare")
     hub = rare.groupBy("token").agg(F.min("sid").alias("b"), F.count("*").alias("many")).where("many > 1")
-    return rare.join(hub, "token").select(F.col("sid").alias("a"), "b"), central
+    groups = components(rare.join(hub, "token").select(F.col("sid").alias("a"), "b")).select(F.col("node").alias("sid"), F.col("label").alias("grp"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1000.0 / (10 * percent - 1)))).cast("int")
+    members = staged(rare.select("sid", "n", "rep", "central").distinct().join(groups, "sid"), "members")
+    # A group that fits a bucket needs no bands.
+    sizes = members.groupBy("grp").agg((F.count("*") > bucket).alias("wide"))
+    members = members.join(sizes, "grp").withColumn("band", F.when(F.col("wide"), band).otherwise(0)).drop("wide")
+    buckets = members.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("buckets"))
+    return members.join(buckets, ["grp", "band"]).withColumn("bucket", F.pmod("sid", F.col("buckets")).cast("int"))
 
 
-def links(sets: DataFrame, percent: int = PERCENT, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
-    """``(a, b)``: links that join the sets of ``sets(sid, n, tokens)`` to their components."""
-    edges, central = _candidates(sets, percent)
-    groups = components(edges).select(F.col("node").alias("sid"), F.col("label").alias("grp"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1000.0 / (10 * percent - 1)))).cast("int")
-    members = staged(sets.join(groups, "sid").join(central, "sid").select("sid", "n", "tokens", "grp", "central", band.alias("band")), "members")
-    bands = staged(members.groupBy("grp", "band").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("buckets"), F.max_by("sid", F.struct("central", "sid")).alias("pivot")), "bands")
-    dealt = members.join(bands, ["grp", "band"]).withColumn("bucket", F.pmod("sid", F.col("buckets")).cast("int"))
+def links(members: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """``(a, b)``: links that join the sets of ``members`` (candidates with their ``tokens``) to their components."""
+    bands = staged(members.groupBy("grp", "band").agg(F.max("buckets").alias("buckets"), F.max_by("sid", F.struct("central", "sid")).alias("pivot")), "bands")
+    dealt = members.drop("buckets")
 
     def near(rows: DataFrame) -> DataFrame:
         """Every row once for every bucket of its group's bands that are its own or next to it."""
-        side = rows.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        side = rows.drop("bucket").withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
         there = bands.select("grp", F.col("band").alias("to"), "buckets")
         return side.join(there, ["grp", "to"]).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("band", "buckets").withColumnRenamed("to", "band")
 
@@ -367,32 +386,39 @@ def links(sets: DataFrame, percent: int = PERCENT, bucket: int = BUCKET, chunk:
         return fresh(index, "sid", "label", "central", "tokens").cogroup(fresh(asks, "sid", "label", "tokens")).applyInArrow(_search_bucket(percent, among), "a long, b long")
 
     plain = lambda rows: rows.withColumn("label", F.col("sid")).withColumn("chunk", F.lit(0))
-    pivots = members.join(bands.select("pivot"), F.col("sid") == F.col("pivot"), "left_semi")
+    pivots = dealt.join(bands.select("pivot"), F.col("sid") == F.col("pivot"), "left_semi")
     found = staged(search(plain(dealt), plain(near(pivots)), True), "links")
     label = components(found).select(F.col("node").alias("sid"), "label")
     labelled = members.select("sid", "grp", "band").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     labelled = staged(labelled, "labelled")
+    split = bands.groupBy("grp").agg(F.sum("buckets").alias("cells")).where("cells > 1").select("grp")
+    labelled = labelled.join(split, "grp", "left_semi")  # elsewhere all pairs have met
     top = labelled.groupBy("grp", "label").agg(F.count("*").alias("many")).groupBy("grp").agg(F.max_by("label", F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     rest = labelled.join(top, "grp").where("label <> top").select("sid", "label")
     chunks = labelled.join(top, "grp").groupBy("grp").agg(F.ceil(F.count_if(F.col("label") != F.col("top")) / F.lit(chunk)).cast("int").alias("chunks"))
-    asks = near(members.join(rest, "sid")).join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    asks = near(dealt.join(rest, "sid")).join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
     index = dealt.join(labelled.select("sid", "label"), "sid").join(chunks, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return found.union(search(index, asks, False))
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS,
+                   bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spread = rows.mapInArrow(_digest(percent, width), "k long, v long, w int").repartition("k")
-    digest = staged(spread.mapInArrow(_recurring, "doc_id long, sid long, n long, recur long, times long"), "digest")
-    named = digest.where("recur = 0 and times = 0")
+    digest = staged(spread.mapInArrow(_recurring, "kind int, a long, sid long, n long"), "digest")
+    named = digest.where("kind = 0").select(F.col("a").alias("doc_id"), "sid", "n")
     classes = staged(named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    recur = digest.where("recur > 0 or times > 0").groupBy("sid").agg(F.sum("recur").alias("recur"), F.sum("times").alias("times"))
+    recur = digest.where("kind = 1").groupBy("sid").agg(F.sum("a").alias("recur"), F.sum("n").alias("times"))
     at_least = 1 + F.floor(_least_col(F.col("n"), percent) / 10)
-    left = classes.join(recur, "sid").where(F.col("recur") >= at_least * F.col("times")).select("sid", "rep")
-    texts = rows.join(left, F.col("doc_id") == F.col("rep")).select("sid", "text")
-    sets = staged(texts.mapInArrow(_sets(width), "sid long, n int, tokens array<bigint>").dropDuplicates(["sid"]), "sets")
-    labels = staged(components(links(sets, percent)).select(F.col("node").alias("sid"), "label"), "labels")
+    left = classes.join(recur, "sid").where(F.col("recur") >= at_least * F.col("times")).select("sid", "n", "rep")
+    pairs = digest.where("kind = 2").select(F.col("a").alias("token"), "sid").join(left, "sid").dropDuplicates(["token", "sid"])
+    found = staged(candidates(pairs, percent, bucket), "found").where("n > 0")
+    texts = rows.hint("merge").join(found, F.col("doc_id") == F.col("rep")).select("sid", "text", "n", "grp", "band", "central", "buckets", "bucket")
+    with runtime_filters(docs.sparkSession):
+        members = staged(texts.mapInArrow(_sets(width), "sid long, tokens array<bigint>, n long, grp long, band int, central long, buckets int, bucket int"), "sets")
+    labels = staged(components(links(members, percent, chunk)).select(F.col("node").alias("sid"), "label"), "labels")
     least_doc = classes.join(labels, "sid").groupBy("label").agg(F.min("rep").alias("least"))
     known = labels.join(least_doc, "label").select("sid", "least")
     by_class = classes.join(known, "sid", "left").select("sid", "n", F.coalesce("least", "rep").alias("component_id"))
