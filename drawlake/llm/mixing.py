@@ -146,5 +146,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not chosen.where("rows > 1 and doc_id is not null").isEmpty():
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
     chosen = chosen.where("__mix_copies > 0 and doc_id is not null").select(F.col("doc_id").alias("__mix_id"), "__mix_copies")
-    return (docs.join(chosen, docs.doc_id == chosen["__mix_id"]).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+    return (docs.hint("merge").join(chosen, docs.doc_id == chosen["__mix_id"]).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
             .select(*docs.columns))
