@@ -2,9 +2,9 @@ r"""Secret scan with corpus-wide ownership frequency, in built-in functions only
 
 Base patterns find assignments, access keys and long hexadecimal runs.  A wider pattern proposes
 further candidates: long runs that mix letters and digits.  Every candidate's hash is counted by
-distinct repositories and owners over the whole corpus.  A value that several owners hold is a widely
-copied example; one that a single owner holds and that looks random is live.  Live candidates of the
-wider pattern become spans of kind ``owned``; base spans always stay.
+distinct repositories and owners over the whole corpus.  A value that several owners or many repositories
+hold is a widely copied example; any other that looks random is live.  Live candidates of the wider
+pattern become spans of kind ``owned``; base spans always stay.  A repository is an id under its owner.
 
 The scan of the texts is written once (ids, spans and hashes, never texts); counting and verdicts work
 on that.  The counts by hash combine before the shuffle, and the join back is one that Spark splits.
@@ -29,8 +29,8 @@ ACCESS, HEX, WIDE = r"AKIA[A-Z0-9]+", r"[0-9a-f]{32,}", r"[A-Za-z0-9+/_-]{20,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "owned")
-#: Owners from which a value is an example; digits, letters and different characters of a random-looking value.
-EXAMPLE_OWNERS, LIVE_DIGITS, LIVE_LETTERS, LIVE_DISTINCT = 3, 4, 4, 10
+#: Owners, and repositories of whatever owners, from which a value is an example; digits, letters and different characters of a random-looking value.
+EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_DIGITS, LIVE_LETTERS, LIVE_DISTINCT = 3, 10, 4, 4, 10
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -106,20 +106,21 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, base, owned, n_example, n_live)`` for every row of ``docs``.
+    """``(doc_id, base, spans)`` for every row of ``docs``.
 
-    ``base`` and ``owned`` are arrays of spans with their hashes; the counts tell how many of the
-    spans of a row are widely copied examples and how many look live.
+    ``base`` holds the base spans with their hashes; ``spans`` holds these and the owned ones, each with
+    its verdicts and the owners and repositories that hold its value.
     """
     rows = scan(docs, id_col, text_col, owner_col, repo_col)
     spans = rows.select("doc_id", "row", F.explode(F.concat("base", "wide")).alias("span")).withColumn("hash", F.col("span.hash"))
     judged = spans.join(ownership(rows), "hash")
-    live = (F.col("n_owners") == 1) & F.col("span.random")
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+    live = ~example & F.col("span.random")
     verdicts = judged.groupBy("doc_id", "row").agg(
-        F.collect_set(F.when((F.col("span.kind") < 3) | live, F.struct("span.start", "span.kind", "span.end", (F.col("n_owners") >= EXAMPLE_OWNERS).alias("example"), live.alias("live")))).alias("spans"))
+        F.collect_set(F.when((F.col("span.kind") < 3) | live, F.struct("span.start", "span.kind", "span.end", example.alias("example"), live.alias("live"), "n_owners", "n_repos"))).alias("spans"))
     verdicts = verdicts.withColumnsRenamed({"doc_id": "d", "row": "r"})
     whole = rows.join(verdicts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean,live:boolean,n_owners:bigint,n_repos:bigint>>")
     return whole.select("doc_id", "base", F.coalesce("spans", none).alias("spans"))
 
 

@@ -54,6 +54,18 @@ def test_failing_assignments_consume_what_they_match(spark):
         assert [(s.start, s.kind, s.end) for s in sorted(r.base)] == [s[:3] for s in base_spans(texts[r.doc_id])]
 
 
+def test_verdicts_read_repositories_and_owners(spark):
+    copied, shared, wide = "sk_Ab1Cd2Ef3Gh4Ij5Kl6Mn7", "pk_Zy9Xw8Vu7Ts6Rq5Po4Nm3", "tk_Qa1Ws2Ed3Rf4Tg5Yh6Uj7"
+    held = [(copied, "s0")] * secret_scan.EXAMPLE_REPOS + [(shared, "s0"), (shared, "s1")] + [(wide, f"s{k}") for k in range(secret_scan.EXAMPLE_OWNERS)]
+    df = spark.createDataFrame([(i, f"see {v} here", s) for i, (v, s) in enumerate(held)], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.start, s.end, s.example, s.live, s.n_owners, s.n_repos) for s in r.spans] for r in secret_scan.find(df).collect()}
+    assert got == {i: [(4, 4 + len(v), False, True, 2, 2)] if v == shared else [] for i, (v, _) in enumerate(held)}
+    keyed = df.selectExpr("doc_id", "replace(text, 'see ', 'token = ') AS text", "source")
+    got = {r.doc_id: [(s.example, s.live, s.n_owners, s.n_repos) for s in r.spans] for r in secret_scan.find(keyed).collect()}
+    want = {copied: (True, False, 1, len(held) - 5), shared: (False, True, 2, 2), wide: (True, False, 3, 3)}
+    assert got == {i: [want[v]] for i, (v, _) in enumerate(held)}
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secret_scan.find(empty).collect() == []
 
