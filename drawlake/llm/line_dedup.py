@@ -7,11 +7,11 @@ a line and a line that is one longer, prove one edit, which is then verified on
 
 Emitting every variant of every line is not needed: one edit leaves either half of a line unchanged, and
 seven of its eight parts.  So only lines that share a half with another line are fetched, and only the
-part in which two lines can differ gets its deletions.  No case is lost by that.  Groups are never
-listed: a key keeps the earliest line on either side, by an aggregate that combines before the shuffle.
+part in which two lines can differ gets its deletions.  No case is lost by that.  Lines shorter than
+``MIN_NEAR`` characters, and those of just that length that may be one longer, are not narrowed: their text
+is kept beside their hash and all of it gets its deletions.  Groups are never listed: a key keeps the earliest line on either side, by an aggregate that combines before the shuffle.
 
-Defined results: null text stays null; blank lines are never removed; lines shorter than ``MIN_NEAR``
-characters are compared for equality only; a null id comes last in the order; rows that share id and text
+Defined results: null text stays null; blank lines are never removed; a null id comes last in the order; rows that share id and text
 share their result; an empty table gives no rows; all columns pass through.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from drawlake.llm.common import WORD, documents, let, runtime_filters, staged
 
-#: Least length of a line for the near comparison, and the parts that its edit is narrowed to.
+#: Least length of a line whose edit is narrowed to halves and parts, and the number of parts.
 MIN_NEAR, PARTS = 20, 8
 _LAST = 2**63 - 1
 
@@ -37,12 +37,13 @@ def _half_keys(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(place, h, n, halves)`` of every line with a word, written once; ``place`` orders the lines of the corpus."""
+    """``(place, h, n, halves, short)`` of every line with a word, written once; ``place`` orders the lines of the corpus."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"),
                                                           F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     rows = rows.where(F.col("line").rlike(WORD))
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "row", "pos")
-    return staged(rows.select(place.alias("place"), F.xxhash64("line").alias("h"), F.length("line").alias("n"), _half_keys(F.col("line")).alias("halves")), "lines")
+    short = F.when(F.length("line") <= MIN_NEAR, F.col("line"))
+    return staged(rows.select(place.alias("place"), F.xxhash64("line").alias("h"), F.length("line").alias("n"), _half_keys(F.col("line")).alias("halves"), short.alias("short")), "lines")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -71,6 +72,12 @@ def _part_keys(near: DataFrame) -> DataFrame:
     return rows.select("h", "place", "d", "low", key.alias("key"), F.substring(F.col("line"), F.col("low") + 1, F.col("n") - F.col("low") - F.col("tail")).alias("part"))
 
 
+def _whole_keys(short: DataFrame) -> DataFrame:
+    """Every short line as one part, for its own length and for the length of a line that is one shorter."""
+    rows = short.select("h", "n", "place", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
+    return rows.select("h", "place", "d", F.lit(0).alias("low"), F.xxhash64(F.col("n") - F.col("d"), F.lit("whole")).alias("key"), F.col("line").alias("part"))
+
+
 def _variants(rows: DataFrame) -> DataFrame:
     """``(variant, side, h, place)``: the deletion neighbourhood of the part in which lines under one key differ.
 
@@ -95,7 +102,9 @@ def near_removed(docs: DataFrame, lines: DataFrame, firsts: DataFrame, id_col: s
         near = staged(_fetch(docs, wanted, id_col, text_col), "near-lines")
     parts = _part_keys(near)
     parts = parts.join(_shared(parts.select("h", "key"), "key"), "key", "left_semi")
-    variants = staged(_variants(parts), "variants")
+    short = staged(lines.where("short is not null").groupBy("h", "n", F.col("short").alias("line")).agg(F.min("place").alias("place")), "short-lines")
+    near = near.where(F.col("n") > MIN_NEAR).unionByName(short)
+    variants = staged(_variants(parts).unionByName(_variants(_whole_keys(short))), "variants")
     earliest = variants.groupBy("variant").agg(F.min(F.when(F.col("own"), F.struct("place", "h"))).alias("x"), F.min(F.when(~F.col("own"), F.struct("place", "h"))).alias("y"),
                                                F.count("*").alias("many")).where("many > 1").drop("many")
     keeper = F.when(F.col("own") & (F.col("pair") == "shift"), F.col("y")).otherwise(F.col("x"))

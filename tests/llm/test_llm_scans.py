@@ -1,6 +1,7 @@
 """Secret scan, license scan, line-first cleaning and line de-duplication against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -155,6 +156,18 @@ def test_every_place_of_an_edit_is_found(spark, edit):
     assert {r.doc_id: r.text for r in got if r.text} == {0: line}
 
 
+def test_short_lines_within_one_edit_go(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab ü") for _ in range(rng.randint(1, 7))) for _ in range(150)] + ["Contact us today 12", "Contact us today 123", "Contact us today 1x3", "Contact us today 1234"]
+    rng.shuffle(texts)
+    seen, want = [], {}
+    for k, text in enumerate(texts):
+        want[k] = text if not WORD.search(text) or not any(one_edit(x, text) for x in seen) else ""
+        seen += [text] if WORD.search(text) else []
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_lines_two_edits_apart_stay(spark, empty):
     rows = [(0, "The quick brown fox jumps over"), (1, "The quiXk brown fXx jumps over"), (2, "he quick brown fox jumps overr")]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
