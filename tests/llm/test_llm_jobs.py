@@ -238,6 +238,21 @@ def test_viterbi_equals_every_path():
         assert value(language_id.label(s, 2.5)) == pytest.approx(max(map(value, product(range(3), repeat=6))))
 
 
+def test_scores_small_against_the_switch():
+    assert language_id.label(np.array([[0.0, 10, -11], [0, -11, 10]]), 14.0).tolist() == [1, 2]
+    rng = np.random.default_rng(7)
+    from itertools import product
+
+    mixed = 0
+    for _ in range(200):
+        s = rng.normal(0, 1, (5, 3))
+        value = lambda path: sum(s[t, k] for t, k in enumerate(path)) - 2.5 * sum(a != b for a, b in zip(path, path[1:]))
+        labels = language_id.label(s, 2.5)
+        assert value(labels) == pytest.approx(max(map(value, product(range(3), repeat=5))))
+        mixed += len(set(labels.tolist())) > 1
+    assert 0 < mixed < 200
+
+
 def test_quality_on_held_out_texts(spark, docs, rows, empty):
     rng = random.Random(9)
     made = []
