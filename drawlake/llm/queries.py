@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, periodic_runs, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_exact_topk": exact_topk.op10_exact_topk,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,
