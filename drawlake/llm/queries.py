@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, periodic_runs, secret_scan
+from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, periodic_runs, secret_scan, warc_bundles
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_exact_topk": exact_topk.op10_exact_topk,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_warc_bundles": warc_bundles.op12_warc_bundles,
 }
 ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_divide_skip": jaccard_join.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_exact_topk": exact_topk.ORACLE,
+    "op12_warc_bundles": warc_bundles.ORACLE,
 }
