@@ -40,65 +40,80 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Token ids of texts as little-endian 32-bit integers.
 
-    Pre-tokens of the byte-level vocabulary never cross a single space that stands between two
-    other characters, so a text is cut before such spaces and the ids of its parts are looked up.
-    Parts met for the first time are encoded by the tokenizer, many in one string: the ids that open
-    with a space tell them apart again.  Two generations of parts are kept, each of about ``limit``
-    entries, which bounds the memory.
+    Pre-tokens of the byte-level vocabulary never cross a single space or line end that stands between two
+    other characters, so a text is cut before those and the ids of its parts are looked up.  Parts met for the
+    first time are encoded by the tokenizer, many in one string: the ids that open with a space or line end
+    tell them apart again.  Two generations of parts are kept, each of at most about ``limit`` bytes; long
+    parts are not kept.  With ``plain``, literals of special tokens are ordinary text.
     """
 
-    #: White space beside a space, where a cut is not certain; and the places that are.
-    ODD, CUT = re.compile(r" \s|\s |\x00"), re.compile(r"(?<=\S)(?= \S)")
+    #: The places where a cut is certain; texts without these pairs and other white space have no other spaces and line ends.
+    CUT, PAIRS = re.compile(r"(?<=\S)(?=[ \n]\S)"), ("  ", " \n", "\n ", "\n\n")
+    #: Characters of the longest part that is kept; bytes that an entry takes beside its contents.
+    LONGEST, ENTRY = 64, 200
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 48 << 20, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        space = self.tokenizer.id_to_token(self._ids(" ")[0])
-        self.opens[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-        self.limit = limit
+        leads = tuple(self.tokenizer.id_to_token(self._ids(c)[0]) for c in " \n")
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(leads)]] = True
+        self.limit, self.size = limit, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.young) + len(missing) > self.limit:
-            self.old, self.young = self.young, {}
-        joint = [p for p in missing if len(p) > 1 and p.rfind(" ") == 0 and not p[1].isspace() and not p[-1].isspace()]
+    def split(self, text: str) -> list[str]:
+        """The parts of a text whose ids do not depend on each other."""
+        if text[-1:] in (" ", "\n") or any(pair in text for pair in self.PAIRS) or not text.replace("\n", "").isprintable():
+            return self.CUT.split(text)
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+
+    def fresh(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of distinct parts, by the tokenizer."""
+        found = {}
+        joint = [p for p in parts if p[:1] in (" ", "\n") and (rest := p[1:]) and rest.isprintable() and " " not in rest]
         for at in range(0, len(joint), 64):
-            parts = joint[at: at + 64]
-            ids = np.asarray(self._ids("".join(parts)), dtype="<u4")
+            some = joint[at: at + 64]
+            ids = np.asarray(self._ids("".join(some)), dtype="<u4")
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(parts):
+            if len(starts) == len(some):
                 raw, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                for k, part in enumerate(parts):
-                    self.young[part] = raw[ends[k]: ends[k + 1]]
-        for part in missing:
-            if part not in self.young:
-                self.young[part] = np.asarray(self._ids(part), dtype="<u4").tobytes()
+                for k, part in enumerate(some):
+                    found[part] = raw[ends[k]: ends[k + 1]]
+        for part in parts:
+            if part not in found:
+                found[part] = np.asarray(self._ids(part), dtype="<u4").tobytes()
+        return found
+
+    def lookup(self, needed: set[str]) -> dict[str, bytes]:
+        """A table that holds at least the parts ``needed``."""
+        for part in self.passing:
+            self.young.pop(part, None)
+        missing = needed.difference(self.young)
+        self.passing = [p for p in missing if len(p) > self.LONGEST]
+        known = {p: self.old[p] for p in missing if p in self.old}
+        known |= self.fresh([p for p in missing if p not in known])
+        added = sum(map(len, known)) + sum(map(len, known.values())) + self.ENTRY * len(known)
+        if self.size + added > self.limit:
+            kept = {p: self.young[p] for p in needed if p in self.young}
+            self.old, self.young, self.size = self.young, kept, added
+        else:
+            self.size += added
+        self.young |= known
+        return self.young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
-        cut = [self.CUT.split(t) if self.ODD.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        missing = []
-        for parts in cut:
-            new = [p for p in parts if p not in self.young]
-            for p in new:
-                if p in self.old:
-                    self.young[p] = self.old[p]
-            missing += [p for p in new if p not in self.young]
-        if missing:
-            self._learn(list(dict.fromkeys(missing)))
-        young, old = self.young, self.old
-        try:
-            return [b"".join(map(young.__getitem__, parts)) for parts in cut]
-        except KeyError:  # a generation ended meanwhile
-            return [b"".join([young[p] if p in young else old[p] for p in parts]) for parts in cut]
+        cut = [self.split(t) for t in texts]
+        table = self.lookup(set().union(*cut))
+        return [b"".join(map(table.__getitem__, parts)) for parts in cut]
 
 
 def encoder(path: str) -> Encoder:

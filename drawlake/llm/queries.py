@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, periodic_runs, secret_scan, warc_bundles
+from drawlake.llm import byte_cnn, exact_topk, jaccard_join, language_id, license_scan, line_dedup, line_quality, mixing, packing, periodic_runs, secret_scan, token_alignment, warc_bundles
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_topk": exact_topk.op10_exact_topk,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_warc_bundles": warc_bundles.op12_warc_bundles,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLES = {
     "op1_secret_ownership": secret_scan.ORACLE,

@@ -21,9 +21,7 @@ CAPACITY = 128
 
 @pytest.fixture(scope="session")
 def tokenizer():
-    found = Tokenizer.from_file(packing.tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def check_packing(got, rows, tokenizer, capacity):
@@ -64,11 +62,19 @@ def test_large_ids_beside_a_null_id(spark):
 
 
 def test_encoder_equals_the_tokenizer(tokenizer):
-    code = packing.Encoder(packing.tokenizer_path(), limit=50)
-    texts = ["", " ", "  ", "a  b", " a", "a ", "a\n b \n", "don't  stop\n\n\nnow", "a\x00 b", "<|endoftext|> hi", "\t\t x", " " * 50 + "z", "é à　ü", "a b \x1c c", "x  y"]
+    texts = ["", " ", "  ", "a  b", " a", "a ", "a\n b \n", "don't  stop\n\n\nnow", "a\x00 b", "<|endoftext|> hi", "a <|endoftext|>\nb<|endoftext|>", "\t\t x", " " * 50 + "z",
+             "é à　ü", "a b \x1c c", "x\xa0 y", "end\n", "\nstart of\nlines here", "a\r\nb", "x" * 300 + " y " + "z" * 300, "a\u200bb c\u2028d e"]
     texts += [prose(random.Random(k), "fr", 200) for k in range(5)]
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in code.encode(texts)] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    plain = Tokenizer.from_file(packing.tokenizer_path())
+    plain.encode_special_tokens = True
+    for theirs, ours in ((tokenizer, {}), (plain, {"plain": True})):
+        code = packing.Encoder(packing.tokenizer_path(), limit=20_000, **ours)
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in code.encode(texts)] == [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
+            for text in texts:
+                assert np.frombuffer(code.encode([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+            assert sum(map(len, code.young)) < 20_000 and max(map(len, code.old)) <= code.LONGEST
+    assert 50256 in tokenizer.encode(texts[9]).ids and 50256 not in plain.encode(texts[9]).ids
 
 
 def test_two_documents_replace_the_smallest():
