@@ -5,56 +5,42 @@ are anchors; their longest increasing subsequence is aligned, and the gaps betwe
 anchors are aligned the same way.  A gap without anchors aligns its common head and tail, and what is left
 of it a word at a time in order.  Coverage is the share of the template's words that are aligned.
 
-A text is cut into windows of twice the template's length that overlap by half, so that any
-stretch as long as the template lies whole in one.  A window is aligned only if it holds enough of the
-template's words for the coverage asked for, which rules out no match.  Texts are read whole.
+Every template has marks, words without which a place is not this license (``license_texts``).  Each place of a
+template's first mark in the text is an anchor; the text before and behind it, as far as the template reaches
+with as many foreign words on either side as it has words, is aligned with the template's.  A place counts if
+
+* at least ``MIN_COVERAGE`` of the template's words are aligned, all of them if the template is not longer than ``SHORT``,
+* all marks are aligned,
+* no other word that names a license stands between its aligned words (in a long template, next to its marks).
+
+So a notice is found wherever it stands and whatever up to its own length of foreign words is written into
+it, and a license that no template describes gets no name.  Texts are read whole, of any length; a place costs
+its template's length.
 
 Defined results: null and word-less texts have no license; of overlapping places the one with most aligned
-words is reported, whatever its template; repeated rows are scanned each; an empty table gives no
-rows; columns other than the text are never read.
+words is reported, then the better covered, shorter, earlier one, then by name; repeated rows are scanned
+each; an empty table gives no rows; columns other than the text are never read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlake.llm.common import documents, ship
+from drawlake.llm.license_texts import NAMES, TEMPLATES, Template
 
-#: Least share of a template's words that must be aligned.
-MIN_COVERAGE = 0.8
+#: Least share of a long template's words that must be aligned, words of a template that must be aligned whole,
+#: and how near to a mark another license's name counts in a long template.
+MIN_COVERAGE, SHORT, NEAR = 0.8, 12, 2
 _WORD = re.compile(r"[^\W_]+")
 
-# Notices by license name, and what the license asks for.
-TEMPLATES = {
-    "apache-2.0": ("permissive", "Licensed under the Apache License, Version 2.0"),
-    "apache-2.0-header": ("permissive", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-                          "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
-                          "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
-                          "See the License for the specific language governing permissions and limitations under the License."),
-    "mit": ("permissive", "Released under the MIT License"),
-    "mit-text": ("permissive", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-                 "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
-                 "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
-                 "permission notice shall be included in all copies or substantial portions of the Software."),
-    "gpl": ("copyleft", "This work is licensed under the GNU General Public License"),
-    "gpl-header": ("copyleft", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-                   "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "bsd-text": ("permissive", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "isc-text": ("permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-                 "copyright notice and this permission notice appear in all copies."),
-    "cc-by-nc-4.0": ("non-commercial", "Licensed under CC BY-NC 4.0"),
-    "cc-by-sa-4.0": ("share-alike", "Licensed under CC BY-SA 4.0"),
-    "cc-by-4.0": ("attribution", "Licensed under CC BY 4.0"),
-    "reserved": ("reserved", "All rights reserved"),
-}
-
 
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """The words of a text and their places in code points."""
@@ -117,52 +103,89 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class _Prepared:
+    """A template's words, its marks, and the place of the first one."""
+
+    def __init__(self, name: str, template: Template, coverage: float):
+        self.name, self.license, self.kind = name, template.license, template.kind
+        self.words = words(template.text)[0]
+        self.counts = Counter(self.words)
+        wrong = [m for m in template.marks if self.counts[m] != 1]
+        if wrong or not template.marks:
+            raise ValueError(f"marks of template {name} must stand in it once: {wrong}")
+        self.marks = [self.words.index(m) for m in template.marks]
+        self.need = len(self.words) if len(self.words) <= SHORT else math.ceil(coverage * len(self.words) - 1e-9)
+
+
 class Templates:
-    def __init__(self, templates: dict[str, tuple[str, str]] = TEMPLATES, coverage: float = MIN_COVERAGE):
-        self.coverage = coverage
-        self.rows = [(name, kind, own := words(text)[0], Counter(own)) for name, (kind, text) in templates.items()]
-        self.vocabulary = {w for _, _, own, _ in self.rows for w in own}
+    """Places of licenses in texts, for a set of templates."""
+
+    def __init__(self, templates: dict[str, Template] = TEMPLATES, coverage: float = MIN_COVERAGE, names: frozenset[str] = NAMES):
+        self.rows = [_Prepared(name, t, coverage) for name, t in templates.items()]
+        self.marks = {row.words[m] for row in self.rows for m in row.marks}
+        self.names = names
+
+    def _place(self, own: list[str], at: int, row: _Prepared) -> list[tuple[int, int]] | None:
+        """The alignment of a template whose first mark stands at ``at`` of the text, if it counts."""
+        mark, size = row.marks[0], len(row.words)
+        low, high = max(0, at - mark - size), min(len(own), at + size - mark + size)
+        window = Counter(own[low:high])
+        if sum(min(n, window[w]) for w, n in row.counts.items()) < row.need:
+            return None
+        before = [(low + i, j) for i, j in align(own[low:at], row.words[:mark])]
+        behind = [(at + 1 + i, mark + 1 + j) for i, j in align(own[at + 1:high], row.words[mark + 1:])]
+        pairs = [*before, (at, mark), *behind]
+        if len(pairs) < row.need or not {j for _, j in pairs}.issuperset(row.marks):
+            return None
+        aligned = {i for i, _ in pairs}
+        inside = range(pairs[0][0], pairs[-1][0])
+        if size > SHORT:
+            marked = [i for i, j in pairs if j in row.marks]
+            inside = [i for m in marked for i in range(m - NEAR, m + NEAR + 1) if i in inside]
+        return None if any(own[i] in self.names and i not in aligned for i in inside) else pairs
 
     def find(self, text: str | None) -> list[dict]:
-        """Places of license notices: ``license, kind, coverage, start, end`` in code points."""
+        """Places of license notices: ``license, template, kind, coverage, start, end`` in code points."""
         if not text:
             return []
-        lower = _WORD.findall(text.lower())
-        present = self.vocabulary.intersection(lower)
-        likely = [r for r in self.rows if sum(n for w, n in r[3].items() if w in present) >= self.coverage * len(r[2])]
-        if not likely:
+        own = _WORD.findall(text.lower())
+        present = self.marks.intersection(own)
+        if not present:
             return []
         own, places = words(text)
-        best: list[tuple[int, float, int, int, str, str]] = []
-        for name, kind, template, counts in likely:
-            size = len(template)
-            hit = np.fromiter((w in counts for w in own), np.int64, len(own))
-            total = np.concatenate([[0], np.cumsum(hit)])
-            for at in range(0, max(1, len(own) - size), size):
-                end = min(len(own), at + 2 * size)
-                if total[end] - total[at] < self.coverage * size:
-                    continue
-                pairs = align(own[at:end], template)
-                if len(pairs) >= self.coverage * size:
-                    best.append((len(pairs), len(pairs) / size, at + pairs[0][0], at + pairs[-1][0] + 1, name, kind))
+        present = self.marks.intersection(own)
+        spots: dict[str, list[int]] = {}
+        for i, w in enumerate(own):
+            if w in present:
+                spots.setdefault(w, []).append(i)
+        best = []
+        for row in self.rows:
+            needed = [row.words[m] for m in row.marks]
+            if not present.issuperset(needed):
+                continue
+            for at in spots[needed[0]]:
+                if pairs := self._place(own, at, row):
+                    best.append((len(pairs), len(pairs) / len(row.words), pairs[0][0], pairs[-1][0] + 1, row))
         found, taken = [], []
-        for _, share, a, b, name, kind in sorted(best, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4])):
-            if all(b <= s or e <= a for s, e in taken):
-                taken.append((a, b))
-                found.append({"license": name, "kind": kind, "coverage": share, "start": places[a][0], "end": places[b - 1][1]})
+        for _, share, a, b, row in sorted(best, key=lambda x: (-x[0], -x[1], x[3] - x[2], x[2], x[4].name)):
+            at = bisect_left(taken, (a, b))
+            if (at == len(taken) or b <= taken[at][0]) and (not at or taken[at - 1][1] <= a):
+                taken.insert(at, (a, b))
+                found.append({"license": row.license, "template": row.name, "kind": row.kind, "coverage": share, "start": places[a][0], "end": places[b - 1][1]})
         return sorted(found, key=lambda x: x["start"])
 
 
-_RESULT = pa.list_(pa.struct([("license", pa.string()), ("kind", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
+_RESULT = pa.list_(pa.struct([("license", pa.string()), ("template", pa.string()), ("kind", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def licenses(text: Column, templates: dict[str, tuple[str, str]] = TEMPLATES, coverage: float = MIN_COVERAGE) -> Column:
+def licenses(text: Column, templates: dict[str, Template] = TEMPLATES, coverage: float = MIN_COVERAGE) -> Column:
     """The license notices of a text column."""
     ship(SparkSession.active())
 
-    @F.arrow_udf("array<struct<license:string,kind:string,coverage:double,start:bigint,end:bigint>>")
+    scan = Templates(templates, coverage)
+
+    @F.arrow_udf("array<struct<license:string,template:string,kind:string,coverage:double,start:bigint,end:bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        scan = Templates(templates, coverage)
         return pa.array([scan.find(t.as_py()) for t in texts], _RESULT)
 
     return run(text)

@@ -157,10 +157,16 @@ WITH d AS (
   SELECT line, n, min((doc_id, pos)) AS first FROM l GROUP BY line, n
 ), k AS (
   SELECT line, n, first, h, unnest(['head', 'tail']) AS side, unnest([left(line, h), right(line, h)]) AS part
-  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM f WHERE n >= {MIN_NEAR})
+  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM f)
+), pair AS (
+  SELECT DISTINCT b.line, a.line AS earlier, greatest(a.n, b.n) AS longer FROM k a JOIN k b ON a.h = b.h AND a.side = b.side AND a.part = b.part
+  WHERE a.line <> b.line AND abs(a.n - b.n) <= 1 AND a.first < b.first
+), same AS (
+  SELECT line, longer, list_transform(list_zip(x, y), lambda p: coalesce(p[1] = p[2], false)) AS head,
+    list_transform(list_zip(list_reverse(x), list_reverse(y)), lambda p: coalesce(p[1] = p[2], false)) AS tail
+  FROM (SELECT line, longer, string_split(line, '') AS x, string_split(earlier, '') AS y FROM pair)
 ), near AS (
-  SELECT DISTINCT b.line FROM k a JOIN k b ON a.h = b.h AND a.side = b.side AND a.part = b.part
-  WHERE a.line <> b.line AND abs(a.n - b.n) <= 1 AND a.first < b.first AND levenshtein(a.line, b.line) <= 1
+  SELECT DISTINCT line FROM same WHERE list_position(head, false) - 1 + list_position(tail, false) - 1 >= longer - 1
 ), gone AS (
   SELECT l.doc_id, l.pos, near.line IS NOT NULL AS is_near
   FROM l JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (l.doc_id, l.pos) > f.first

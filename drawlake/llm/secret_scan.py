@@ -154,9 +154,10 @@ WITH d AS (
   SELECT *, length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 4
     AND len(list_distinct(string_split(value, ''))) >= 10 AS random FROM (SELECT * FROM base UNION ALL SELECT * FROM wide)
 ), own AS (
-  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM cand JOIN d USING (r) WHERE kind < 3 OR random GROUP BY value
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners, count(DISTINCT (coalesce(source, chr(0)), doc_id)) AS n_repos FROM cand JOIN d USING (r) WHERE kind < 3 OR random GROUP BY value
 ), judged AS (
-  SELECT r, kind, st, en, n_owners >= 3 AS example, n_owners = 1 AND random AS live
+  SELECT r, kind, st, en, n_owners >= {EXAMPLE_OWNERS} OR n_repos >= {EXAMPLE_REPOS} AS example,
+    n_owners < {EXAMPLE_OWNERS} AND n_repos < {EXAMPLE_REPOS} AND random AS live
   FROM cand JOIN own USING (value) WHERE kind < 3 OR random
 ), named AS (
   SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || st || ':' || en AS s FROM judged WHERE kind < 3 OR live

@@ -200,20 +200,67 @@ def test_alignment_is_common_and_in_order():
 
 
 def test_licenses_are_found_whole_and_changed(spark, docs, rows, empty):
-    mit = license_scan.TEMPLATES["mit-text"][1]
+    mit = license_scan.TEMPLATES["mit-text"].text
     words = mit.split()
     words[5:9] = ["something", "else"]
     texts = ["Before. " * 500 + mit + " after." * 500, "Start " + " ".join(words) + " end", "Released under the\nMIT license. x Released under the MIT License.", "no license here", None, "",
              " ".join(words[::3]), "Licensed under CC BY-NC 4.0."]
     got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", license_scan.licenses("text").alias("f")).orderBy("i").collect()]
-    names = [[x.license for x in f] for f in got]
-    assert "mit-text" in names[0] and "mit-text" in names[1] and names[2] == ["mit", "mit"] and names[3:] == [[], [], [], [], ["cc-by-nc-4.0"]]
-    place = next(x for x in got[0] if x.license == "mit-text")
-    assert texts[0][place.start: place.end] == mit[:-1] and place.coverage == 1.0
+    assert [[x.template for x in f] for f in got] == [["mit-text"], ["mit-text"], ["mit", "mit"], [], [], [], [], ["cc-by-nc-4.0"]]
+    assert texts[0][got[0][0].start: got[0][0].end] == mit[:-1] and got[0][0].coverage == 1.0 and got[1][0].coverage < 1.0
     assert docs.select(license_scan.licenses("text")).count() == len(rows)
     assert empty.select(license_scan.licenses("text")).collect() == []
 
 
+NAMED = {
+    "Released under the BSD License.": ["bsd"], "released under the new license": [], "Mozilla Public License": [], "Eclipse General Public License": [],
+    "CC BY-ND 4.0": [], "Licensed under CC BY-ND 4.0": ["cc-by-nd-4.0"], "Licensed under CC BY 4.0": ["cc-by-4.0"], "Licensed under CC BY-NC-SA 4.0 here": ["cc-by-nc-sa-4.0"],
+    "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "licensed under the GNU Lesser General Public License": ["lgpl"],
+    "licensed under the GNU Library General Public License": [], "licensed under the GNU Affero General Public License": ["agpl"], "All rights reserved.": ["all rights reserved"],
+    "Mozilla Public License, Version 2.0": ["mpl-2.0"], "Released under the terms of the MIT License": ["mit"], "mit license": [], "all seats reserved": [], "MIT mit MIT " * 50: [],
+}
+
+
+def test_near_notices_are_not_named_wrongly():
+    scan = license_scan.Templates()
+    for text, want in NAMED.items():
+        assert [x["license"] for x in scan.find(text)] == want, text
+        assert [x["license"] for x in scan.find("filler words " * 300 + text + " more of them" * 300)] == want, text
+    for name, template in license_scan.TEMPLATES.items():
+        assert template.license in [x["license"] for x in scan.find(template.text)], name
+    for wrong in ("absent", "the"):
+        with pytest.raises(ValueError):
+            license_scan.Templates({"x": license_scan.Template("x", "x", (wrong,), "the words of the template")})
+
+
+def best_by_subsequence(text, templates):
+    """Licenses whose longest common subsequence with some stretch of the text covers enough, names and marks apart."""
+    own, found = license_scan.words(text)[0], set()
+    for template in templates.values():
+        words = license_scan.words(template.text)[0]
+        need = len(words) if len(words) <= license_scan.SHORT else 0.8 * len(words)
+        if set(template.marks) <= set(own) and lcs(own, words) >= need:
+            found.add(template.license)
+    return found
+
+
+def test_changed_notices_against_common_subsequences():
+    rng, scan = random.Random(6), license_scan.Templates()
+    for name in ("bsd-notice", "gpl-3.0-notice", "lgpl-2.1-notice", "apache-2.0-header", "isc-text", "cc0-1.0", "mpl-2.0-header", "bsd-3-text", "bsd-2-text"):
+        template = license_scan.TEMPLATES[name]
+        words = template.text.split()
+        marked = {i for i, w in enumerate(words) if set(license_scan.words(w)[0]) & {*template.marks, *license_scan.NAMES}}
+        for at in range(0, len(words) + 1, max(1, len(words) // 12)):
+            foreign = [f"foreign{k}" for k in range(12)]
+            text = " ".join(["x"] * rng.randint(0, 60) + words[:at] + foreign + words[at:] + ["y"] * rng.randint(0, 60))
+            assert template.license in [x["license"] for x in scan.find(text)], (name, at)
+        for share in (0.05, 0.1, 0.3, 0.5):
+            kept = [w if i in marked or rng.random() > share else f"other{i}" for i, w in enumerate(words)]
+            got = {x["license"] for x in scan.find(" ".join(kept))}
+            able = best_by_subsequence(" ".join(kept), license_scan.TEMPLATES)
+            assert got <= able and (share > 0.1 or template.license in got), (name, share, got, able)
+
+
 def test_digest_of_spans():
     text = "token = 'abcd1ef0123456789abcd'"
     assert hashlib.sha256(b"assign:0:30").hexdigest() == hashlib.sha256(",".join(f"assign:{s}:{e}" for s, _, e, _ in base_spans(text)).encode()).hexdigest()
