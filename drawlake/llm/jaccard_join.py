@@ -19,8 +19,8 @@ at least ``T = ceil(PERCENT * (|x| + |y|) / (100 + PERCENT))`` shingles.
 All of this loses no link between components; which of several links joins two components does not matter.
 
 Defined results: null or word-less text has an empty set and is its own component; a text of one to three
-words is one shingle; rows with equal ids get a row each; a null id is never the smallest of a component
-(null if all are); an empty table gives no rows.  Columns other than id and text are ignored.
+words is one shingle; rows with equal ids get a row each, whatever their texts; a null id links its text like any other
+and is never the smallest of a component (null if all are); very long texts are hashed piece by piece; an empty table gives no rows.  Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents, runtime_filters, ship, staged
+from drawlake.llm.common import WORD, documents, runtime_filters, settle, ship, staged
 
 PERCENT, WORDS = 85, 4
 #: Expected sets of a bucket, expected queries of a chunk, and bytes of text hashed at once.
@@ -154,15 +154,17 @@ def _least_col(n: Column, percent: int) -> Column:
 
 #: Marks of the rows that carry a shingle of several sets of a batch, and of documents (less their size).
 _LOCAL, _DOC = 1 << 30, -2
+#: Rows of a window over a sorted partition.
+WINDOW = 400_000
 
 
 def _digest(percent: int, width: int):
-    """Rows ``(k, v, w)``: documents (id, set, -2 - size), set totals (set, set, 1 + shingles that recur in the
-    batch), shingles seen in one set (hash, set, 0), and of those seen in several one witness (hash, 0, -1) and
-    every pair (set, hash, _LOCAL), which is dealt by the set."""
+    """Rows ``(k, v, x, w)``: documents (row, set, id, -2 - size), set totals (set, set, null, 1 + shingles that recur in
+    the batch), shingles seen in one set (hash, set, null, 0), and of those seen in several one witness (hash, 0, null, -1)
+    and every pair (a hash of set and shingle, set, shingle, _LOCAL).  ``row`` names a row of the table, id and text."""
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, row = batch.columns
             sets: dict[int, np.ndarray] = {}
             names, sizes = [], []
             for at in range(0, batch.num_rows, 512):
@@ -171,7 +173,7 @@ def _digest(percent: int, width: int):
                     sizes.append(len(tokens))
                     if len(tokens):
                         sets.setdefault(names[-1], tokens[: zone(len(tokens), percent)].copy())
-            out = [(ids, pa.array(names, pa.int64()), pa.array(_DOC - np.array(sizes, np.int64), pa.int64()))]
+            out = [(row, pa.array(names, pa.int64()), ids, pa.array(_DOC - np.array(sizes, np.int64), pa.int64()))]
             if sets:
                 owner = np.array(list(sets), np.int64)
                 tokens = np.concatenate(list(sets.values())).view(np.int64)
@@ -182,72 +184,113 @@ def _digest(percent: int, width: int):
                 alone = first & np.concatenate([first[1:], [True]])
                 again = np.bincount(who[~alone], minlength=len(owner))
                 many = tokens[first & ~alone]
-                for k, v, w in ((owner, owner, again + 1), (tokens[alone], owner[who[alone]], np.zeros(alone.sum())), (many, np.zeros(len(many)), np.full(len(many), -1)),
-                                (owner[who[~alone]], tokens[~alone], np.full((~alone).sum(), _LOCAL))):
-                    out.append(tuple(pa.array(x.astype(np.int64)) for x in (k, v, w)))
-            for k, v, w in out:
-                yield pa.RecordBatch.from_arrays([k, v, w.cast(pa.int32())], names=["k", "v", "w"])
+                sets_of, shared = owner[who[~alone]], tokens[~alone]
+                pair = _mix(_mix(sets_of.view(np.uint64)) ^ shared.view(np.uint64)).view(np.int64)
+                for k, v, x, w in ((owner, owner, None, again + 1), (tokens[alone], owner[who[alone]], None, np.zeros(alone.sum())),
+                                   (many, np.zeros(len(many)), None, np.full(len(many), -1)), (pair, sets_of, shared, np.full(len(shared), _LOCAL))):
+                    x = pa.nulls(len(k), pa.int64()) if x is None else pa.array(x)
+                    out.append((pa.array(k), pa.array(v.astype(np.int64)), x, pa.array(w.astype(np.int64))))
+            for k, v, x, w in out:
+                yield pa.RecordBatch.from_arrays([k, v, x, w.cast(pa.int32())], names=["k", "v", "x", "w"])
+        settle()
 
     return run
 
 
-def _recurring(batches):
-    """Rows ``(kind, a, sid, n)``: 0 documents (a is the id, n the size), 1 per set the shingles that recur (a) and how
-    often it was counted (n), 2 a set's recurring shingle (a)."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in (b.column(1), b.column(2))] + [b.column(0)] for b in batches]
-    if not parts:
-        return
-    v, w, k = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pa.chunked_array([p[2] for p in parts]))
-
-    def row(kind: int, a, sid, n):
-        a, sid, n = (c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64)) for c in (a, sid, n))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, sid, n], names=["kind", "a", "sid", "n"])
-
-    def keys(mask: np.ndarray) -> pa.Array:
-        taken = k.take(pa.array(np.flatnonzero(mask)))
-        return pa.concat_arrays(taken.chunks) if taken.num_chunks else pa.array([], pa.int64())
-
-    docs = w <= _DOC
-    yield row(0, keys(docs), v[docs], _DOC - w[docs].astype(np.int64))
-    totals = (w > 0) & (w < _LOCAL)
-    sids, at = np.unique(v[totals], return_inverse=True)
-    yield row(1, np.bincount(at, weights=w[totals] - 1, minlength=len(sids)), sids, np.bincount(at, minlength=len(sids)))
-    local = w == _LOCAL
-    yield row(2, v[local], keys(local), np.zeros(local.sum()))
-    tokens = (w == 0) | (w == -1)
-    key = keys(tokens).to_numpy()
+def _cut(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The whole groups of rows ``k, v, w, m`` that are sorted by ``k``, and what has to be carried on of the last group.
+
+    A group that spreads over windows is carried on as far as it matters: the one set that holds its shingle, ``m``
+    times, or a witness as soon as two do; the rows so far are then given with that witness.
+    """
+    k, v, w, m = columns
+    at = int(np.searchsorted(k, k[-1]))
+    whole, last = [c[:at] for c in columns], [c[at:] for c in columns]
+    k, v, w, m = last
+    if not (w == -1).any() and v.min() == v.max():
+        return whole, [k[:1], v[:1], w[:1], m.sum(keepdims=True)]
+    witness = [k[:1], np.zeros(1, np.int64), np.full(1, -1, w.dtype), np.ones(1, np.int64)]
+    return [np.concatenate(c) for c in zip(whole, last, witness)], witness
+
+
+def _shared(columns: list[np.ndarray]) -> list[tuple]:
+    """Arguments of the rows about shingles that more than one set holds."""
+    key, name, flag, times = columns
     if not len(key):
-        return
-    order = np.argsort(key, kind="stable")
-    key, name, witness = key[order], v[tokens][order], w[tokens][order] == -1
+        return []
+    witness = flag == -1
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     shared = np.logical_or.reduceat(witness, start) | (np.minimum.reduceat(name, start) != np.maximum.reduceat(name, start))
     own = np.repeat(shared, np.diff(np.append(start, len(key)))) & ~witness
-    yield row(2, key[own], name[own], np.zeros(own.sum()))
-    sids, recur = np.unique(name[own], return_counts=True)
-    yield row(1, recur, sids, np.zeros(len(sids)))
+    sids, at = np.unique(name[own], return_inverse=True)
+    return [(2, key[own], name[own], np.zeros(own.sum())), (1, np.bincount(at, weights=times[own], minlength=len(sids)), sids, np.zeros(len(sids)))]
+
+
+def _recurring(batches):
+    """Rows ``(kind, a, sid, n, row)``: 0 documents (a is the id, n the size), 1 per set the shingles that recur (a) and how
+    often it was counted (n), 2 a set's recurring shingle (a).  The partition is sorted by ``k`` and read in windows."""
+    def rows_of(kind: int, a, sid, n, row=None):
+        a, sid, n = (c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64)) for c in (a, sid, n))
+        row = pa.nulls(len(a), pa.int64()) if row is None else row
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, sid, n, row], names=["kind", "a", "sid", "n", "row"])
+
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        k, v, w = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        if (docs := w <= _DOC).any():
+            at = pa.array(np.flatnonzero(docs))
+            yield rows_of(0, batch.column(2).take(at), v[docs], _DOC - w[docs].astype(np.int64), batch.column(0).take(at))
+        if (totals := (w > 0) & (w < _LOCAL)).any():
+            yield rows_of(1, w[totals] - 1, v[totals], np.ones(totals.sum()))
+        if (local := w == _LOCAL).any():
+            # Copies of a set send the same pair from every batch; they follow each other.
+            name, token = v[local], batch.column(2).take(pa.array(np.flatnonzero(local))).to_numpy()
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (token[1:] != token[:-1])])
+            yield rows_of(2, token[new], name[new], np.zeros(new.sum()))
+        tokens = (w == 0) | (w == -1)
+        held.append([k[tokens], v[tokens], w[tokens], np.ones(tokens.sum(), np.int64)])
+        size += len(held[-1][0])
+        if size >= WINDOW:
+            window, rest = _cut([np.concatenate(c) for c in zip(*held)])
+            held, size = [rest], 1
+            for row in _shared(window):
+                yield rows_of(*row)
+    for row in _shared([np.concatenate(c) for c in zip(*held)]) if held else ():
+        yield rows_of(*row)
+    settle()
 
 
 def _sets(width: int):
-    """Adds the shingles of a set to its row ``(sid, text, n, ...)``; texts that share an id but not the set are left out."""
+    """Adds the shingles of a set to its row ``(row, sid, text, n, ...)``, once; texts that share a row's name but not the set are left out.
+
+    Rows of one name follow each other.
+    """
     def run(batches):
+        last, seen = None, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = shingle_sets(part.column(1).to_pylist(), width)
-                named = [(i, s) for i, (sid, s) in enumerate(zip(part.column(0).to_pylist(), found)) if len(s) and identity(s) == sid]
+                named = []
+                for i, (row, sid, tokens) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist(), width))):
+                    if row != last:
+                        last, seen = row, set()
+                    if sid not in seen and len(tokens) and identity(tokens) == sid:
+                        seen.add(sid)
+                        named.append((i, tokens))
                 if named:
                     tokens = pa.array([s.view(np.int64) for _, s in named], pa.list_(pa.int64()))
                     kept = part.take(pa.array([i for i, _ in named]))
-                    yield pa.RecordBatch.from_arrays([kept.column(0), tokens, *kept.columns[2:]], names=[kept.schema.names[0], "tokens", *kept.schema.names[2:]])
+                    yield pa.RecordBatch.from_arrays([kept.column(1), tokens, *kept.columns[3:]], names=["sid", "tokens", *kept.schema.names[3:]])
+        settle()
 
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, label)`` of the nodes of ``edges(a, b)``: alternating stars move every node to its smallest neighbour."""
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, label)`` of the nodes of ``edges(a, b)``: alternating stars move every node to its smallest neighbour, until none moves."""
     now, before = staged(edges.where("a <> b").distinct(), "edges"), None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -401,28 +444,39 @@ def links(members: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> Dat
     return found.union(search(index, asks, False))
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS,
-                   bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
+def row_name(id_col: str, text_col: str) -> Column:
+    """A hash of id and text, never null."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS,
+            bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, row, n, label, component_id)`` for every row of ``docs``; ``label`` names its component (null without words)."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spread = rows.mapInArrow(_digest(percent, width), "k long, v long, w int").repartition("k")
-    digest = staged(spread.mapInArrow(_recurring, "kind int, a long, sid long, n long"), "digest")
-    named = digest.where("kind = 0").select(F.col("a").alias("doc_id"), "sid", "n")
-    classes = staged(named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_name(id_col, text_col).alias("row"))
+    spread = rows.mapInArrow(_digest(percent, width), "k long, v long, x long, w int").repartition("k").sortWithinPartitions("k")
+    digest = staged(spread.mapInArrow(_recurring, "kind int, a long, sid long, n long, row long"), "digest")
+    named = digest.where("kind = 0").select(F.col("a").alias("doc_id"), "sid", "n", "row")
+    classes = staged(named.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")), "classes")
     recur = digest.where("kind = 1").groupBy("sid").agg(F.sum("a").alias("recur"), F.sum("n").alias("times"))
     at_least = 1 + F.floor(_least_col(F.col("n"), percent) / 10)
-    left = classes.join(recur, "sid").where(F.col("recur") >= at_least * F.col("times")).select("sid", "n", "rep")
+    left = classes.join(recur, "sid").where(F.col("recur") >= at_least * F.col("times")).select("sid", "n", F.col("row").alias("rep"))
     pairs = digest.where("kind = 2").select(F.col("a").alias("token"), "sid").join(left, "sid").dropDuplicates(["token", "sid"])
     found = staged(candidates(pairs, percent, bucket), "found").where("n > 0")
-    texts = rows.hint("merge").join(found, F.col("doc_id") == F.col("rep")).select("sid", "text", "n", "grp", "band", "central", "buckets", "bucket")
+    texts = rows.hint("merge").join(found, F.col("row") == F.col("rep")).select("row", "sid", "text", "n", "grp", "band", "central", "buckets", "bucket")
     with runtime_filters(docs.sparkSession):
         members = staged(texts.mapInArrow(_sets(width), "sid long, tokens array<bigint>, n long, grp long, band int, central long, buckets int, bucket int"), "sets")
     labels = staged(components(links(members, percent, chunk)).select(F.col("node").alias("sid"), "label"), "labels")
     least_doc = classes.join(labels, "sid").groupBy("label").agg(F.min("rep").alias("least"))
-    known = labels.join(least_doc, "label").select("sid", "least")
-    by_class = classes.join(known, "sid", "left").select("sid", "n", F.coalesce("least", "rep").alias("component_id"))
-    return named.join(by_class, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = labels.join(least_doc, "label").select("sid", "label", "least")
+    by_class = classes.join(known, "sid", "left").select("sid", "n", F.coalesce("label", "sid").alias("label"), F.coalesce("least", "rep").alias("component_id"))
+    return named.join(by_class, ["sid", "n"], "left").select("doc_id", "row", "n", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WORDS,
+                   bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``."""
+    return grouped(docs, id_col, text_col, percent, width, bucket, chunk).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op6_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,12 +484,23 @@ def op6_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component stays, and rows without an id."""
-    found = staged(join_documents(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = docs.join(found.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
-    if not found.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Pipeline stage: of each component one document stays, the one with the smallest id.
+
+    Where ids repeat, the smaller hash of id and text decides; where no document of a component has an id, one of
+    them stays.  Rows that repeat id and text are copies: one stays, the first by its columns.  Null, empty and
+    word-less texts are linked with nothing and all stay; an empty table stays empty.
+    """
+    rows = grouped(docs).where("n > 0").groupBy("label", "doc_id", "row").agg(F.count("*").alias("copies"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "copies")).alias("best"))
+    best = staged(best.select(F.col("best.doc_id").alias("__kept_id"), F.col("best.row").alias("__kept_row"), "best.copies"), "kept")
+    full = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    named = docs.where(full).withColumn("__row", row_name("doc_id", "text"))
+    same = (F.col("__row") == F.col("__kept_row")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    kept = named.join(best, same, "left_semi")
+    if not best.where("copies > 1").isEmpty():
+        first = Window.partitionBy("__row", "doc_id").orderBy(*docs.columns)
+        kept = kept.withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(~full))
 
 
 ORACLE = r"""

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -318,9 +320,8 @@ def test_pipeline_against_brute_force(spark, docs, rows, tokenizer):
     assert sorted(collect(two), key=str) == sorted((r for r in want if WORD.search(r[1])), key=str)
 
     three = join(spark, two, "").cache()
-    kept = {i for i, _, c in join_by_force(collect(two)) if i == c}
-    assert {r[0] for r in collect(three)} == kept | ({None} if any(r[0] is None for r in collect(two)) else set())
-    assert len([r for r in collect(three) if r[0] is not None]) == len({r[0] for r in collect(three)} - {None})
+    kept = {i for i, _, c in join_by_force(collect(two)) if i == c and i is not None}
+    assert sorted(collect(three), key=str) == sorted({r for r in collect(two) if r[0] in kept}, key=str)
 
     four = mix(spark, three, "").cache()
     assert four.columns == plain.columns
@@ -336,6 +337,67 @@ def test_pipeline_against_brute_force(spark, docs, rows, tokenizer):
         frame.unpersist()
 
 
+def test_nothing_is_lost_by_id(spark):
+    """Null and repeated ids: whole rows of the near-duplicate and the mixture stage."""
+    rng = random.Random(12)
+    base = [prose(rng, "en", 60) for _ in range(6)]
+    near = [t.split(" ") for t in base]
+    for words in near:
+        words[30] = "changed"
+    near = [" ".join(w) for w in near]
+    rows = [(1, base[0], "en", "a"), (None, near[0], "en", "a"), (2, near[0] + " more", "en", "b"),  # 1 and 2 meet through a text without an id
+            (3, base[1], "en", "a"), (3, base[2], "en", "a"), (3, base[2], "de", "b"), (3, near[1], "en", "a"),  # one id, two groups
+            (None, base[3], "en", "a"), (None, base[3], "de", None), (None, near[3], "en", "a"),  # a group without any id
+            (None, base[4], "en", "a"), (9, base[4], "en", "a"), (None, None, "en", "a"), (None, "", "en", "a"), (4, " ", None, None), (4, " ", None, None)]
+    rows = [(*r, len(r[1] or "")) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    component = {(i, t): c for i, t, c in ((r.doc_id, r.text, r.component_id) for r in docs.join(
+        jaccard_join.grouped(docs).select("row", "component_id").distinct(), jaccard_join.row_name("doc_id", "text") == F.col("row")).collect())}
+    assert component[1, base[0]] == component[None, near[0]] == component[2, near[0] + " more"] == 1
+    assert component[3, base[1]] == 3 and component[None, base[3]] is None and component[None, base[4]] == 9
+    got = Counter(map(tuple, jaccard_join.stage(spark, docs, "").collect()))
+    texts = Counter(r[1] for r in got.elements())
+    assert not got - Counter(rows) and got[rows[0]] == 1 and got[rows[11]] == 1
+    one_of = lambda *options: sum(texts[t] for t in options) == 1
+    assert one_of(base[0], near[0], near[0] + " more") and one_of(base[1], near[1]) and one_of(base[2]) and one_of(base[3], near[3]) and one_of(base[4])
+    assert sum(n for r, n in got.items() if not (r[1] or "").strip()) == 4 and sum(got.values()) == 9
+
+    mixed = mixing.mix(docs).collect()
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id, r.row, r.source] += r.copies
+    hashed = {tuple(r)[:5]: r.h for r in docs.withColumn("h", F.xxhash64("text")).collect()}
+    out = [tuple(r) for r in mixing.stage(spark, docs, "").collect()]
+    assert set(out) <= set(rows)
+    assert Counter((r[0], hashed[r], r[3]) for r in out) == +want
+    assert sum(1 for r in out if r[0] is None) > 0
+
+
+def test_windows_over_a_sorted_partition(monkeypatch):
+    """Windows of a few rows give what one window gives, also where one shingle fills several."""
+    rng = np.random.default_rng(3)
+    k = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 17), np.full(90, 23)]))
+    v, w = rng.integers(1, 6, len(k)), np.where(rng.random(len(k)) < 0.05, -1, 0)
+    v[(k == 23)], w[k == 23] = 4, 0
+    v[w == -1] = 0
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[a:b]), pa.array(v[a:b]), pa.nulls(b - a, pa.int64()), pa.array(w[a:b].astype(np.int32))], names=list("kvxw"))
+               for a, b in zip(range(0, 590, 25), [*range(25, 590, 25), 590])]
+
+    def read():
+        found, recur = set(), Counter()
+        for batch in jaccard_join._recurring(iter(batches)):
+            for kind, a, sid, _, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 2:
+                    found.add((a, sid))
+                else:
+                    recur[sid] += a
+        return found, recur
+
+    whole = read()
+    monkeypatch.setattr(jaccard_join, "WINDOW", 40)
+    assert read() == whole and 23 not in {t for t, _ in whole[0]} and (17, 4) in whole[0]
+
+
 def test_stages_on_an_empty_table(spark, empty):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
