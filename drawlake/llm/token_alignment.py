@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,18 +77,41 @@ def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
 
 
 @dataclass
-class Part:
-    """What a document needs to know of one of its parts; ``codes`` is None if the tokens do not join to it."""
+class Aligned:
+    """What documents need to know of their parts, by part: tokens, groups and links, the links' codes, and the groups as text.
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    text: str
-    codes: np.ndarray | None
+    Parts whose tokens do not join to them are not ``right`` and have none of these.
+    """
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    right: np.ndarray
+    codes: np.ndarray
+    texts: list[str]
+
+    @classmethod
+    def none(cls) -> Aligned:
+        return cls(*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, bool), np.zeros(0, np.int64), [])
+
+    def joined(self, more: list[Aligned]) -> Aligned:
+        every = [self, *more]
+        arrays = (np.concatenate([getattr(x, name) for x in every]) for name in ("n_a", "n_b", "n_groups", "n_links", "right", "codes"))
+        return Aligned(*arrays, list(chain.from_iterable(x.texts for x in every)))
+
+    def taken(self, at: np.ndarray) -> Aligned:
+        many = self.n_links[at]
+        start = (np.cumsum(self.n_links) - self.n_links)[at]
+        links = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+        return Aligned(self.n_a[at], self.n_b[at], self.n_groups[at], many, self.right[at], self.codes[links], [self.texts[k] for k in at.tolist()])
 
 
 class Aligner:
-    """Tokenises and aligns the distinct parts of texts and keeps what it met lately."""
+    """Tokenises and aligns the distinct parts of texts; keeps those of earlier chunks, of about ``limit`` bytes."""
+
+    #: Bytes that a part takes beside its groups as text.
+    ENTRY = 300
 
     def __init__(self, a_path: str, b_path: str, limit: int = KEPT_BYTES):
         import sentencepiece
@@ -97,80 +121,87 @@ class Aligner:
         plain = {chr(b): b for span in ((33, 127), (161, 173), (174, 256)) for b in range(*span)}
         plain |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in plain)}
         vocabulary = self.a.tokenizer.get_vocab()
-        self.a_bytes = {i: bytes(plain[c] for c in token) for token, i in vocabulary.items() if all(c in plain for c in token)}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(plain[c] for c in token if c in plain)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes))
         # Parts are independent on side B if no piece goes on over a space or holds a line end.
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross spaces or line ends")
         self.lead = self.b.piece_to_id("▁")
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.limit, self.size = limit, 0
-        self.young: dict[str, Part] = {}
-        self.old: dict[str, Part] = {}
+        self.place: dict[str, int] = {}
+        self.kept = Aligned.none()
 
     def _b_ids(self, parts: list[str]) -> list[list[int]]:
         """Ids of parts; the model puts a space before each, which those that open with one must not get twice."""
         ids = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         return [i if p[0] == " " else i[1:] if i and i[0] == self.lead else [] for p, i in zip(parts, ids)]
 
-    def align(self, parts: list[str]) -> list[Part]:
+    @staticmethod
+    def _joined(whole: list[bytes], ids: np.ndarray, many: np.ndarray, tokens: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each part, ``many`` of them, join to its bytes."""
+        right = _sums(sizes[ids], many) == np.fromiter(map(len, whole), np.int64, len(whole))
+        own = [tokens[i] for i in ids.tolist()]
+        if right.all() and b"".join(own) == b"".join(whole):
+            return right
+        ends = np.cumsum(many)
+        for k in np.flatnonzero(right).tolist():
+            right[k] = b"".join(own[ends[k] - many[k]: ends[k]]) == whole[k]
+        return right
+
+    def align(self, parts: list[str]) -> Aligned:
         """Tokens, groups and links of distinct parts, each of which opens with a space or a line end."""
-        known = self.a.fresh(parts)
-        a_ids = [np.frombuffer(known[p], "<u4") for p in parts]
-        b_ids = self._b_ids(parts)
-        a_raw = [[self.a_bytes.get(i, b"\x00\x00") for i in ids.tolist()] for ids in a_ids]
-        b_raw = [[self.b_bytes[i] for i in ids] for ids in b_ids]
+        known, b_ids = self.a.fresh(parts), self._b_ids(parts)
+        a_ids = [known[p] for p in parts]
+        a_many, b_many = np.fromiter(map(len, a_ids), np.int64, len(parts)) >> 2, np.fromiter(map(len, b_ids), np.int64, len(parts))
+        a = np.frombuffer(b"".join(a_ids), "<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(b_many.sum()))
         whole = [p.encode("utf-8", "surrogatepass") for p in parts]
-        right = [b"".join(x) == w == b"".join(y) for x, y, w in zip(a_raw, b_raw, whole)]
-        good = [k for k, fine in enumerate(right) if fine]
-        out = [Part(0, 0, 0, "", None) for _ in parts]
-        if not good:
-            return out
-        a_len = np.array([len(t) for k in good for t in a_raw[k]], np.int64)
-        b_len = np.array([len(t) for k in good for t in b_raw[k]], np.int64)
-        a, b = np.concatenate([a_ids[k] for k in good]).astype(np.int64), np.array([i for k in good for i in b_ids[k]], np.int64)
+        right = self._joined(whole, a, a_many, self.a_bytes, self.a_sizes) & self._joined(whole, b, b_many, self.b_bytes, self.b_sizes)
+        a, b = a[np.repeat(right, a_many)], b[np.repeat(right, b_many)]
+        a_many, b_many = np.where(right, a_many, 0), np.where(right, b_many, 0)
+        if not len(a):
+            zero = np.zeros(len(parts), np.int64)
+            return Aligned(zero, zero, zero, zero, right, zero[:0], [""] * len(parts))
+        a_len, b_len = self.a_sizes[a], self.b_sizes[b]
         a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
         found = coalesce(a_end - a_len, a_end, b_end - b_len, b_end)
         linked = a_end[found.pair_a] == b_end[found.pair_b]
         link_a, link_b = found.pair_a[linked], found.pair_b[linked]
-        codes = a[link_a] << B_BITS | b[link_b]
-        a_cut = np.concatenate([[0], np.cumsum([len(a_ids[k]) for k in good])]).tolist()
-        b_cut = np.concatenate([[0], np.cumsum([len(b_ids[k]) for k in good])]).tolist()
-        link_cut = np.searchsorted(link_a, a_cut).tolist()
-        texts = _written(a, b, found)
-        first = found.a_group[a_cut[:-1]].tolist() + [len(texts)]
-        for n, k in enumerate(good):
-            groups = texts[first[n]: first[n + 1]]
-            out[k] = Part(a_cut[n + 1] - a_cut[n], b_cut[n + 1] - b_cut[n], len(groups), ";".join(groups), codes[link_cut[n]: link_cut[n + 1]].copy())
-        return out
-
-    def lookup(self, needed: list[str]) -> list[Part]:
-        """The distinct parts ``needed``, in order; short ones are kept."""
-        found = {p: self.young[p] for p in needed if p in self.young}
-        missing = [p for p in needed if p not in found]
-        back = {p: self.old[p] for p in missing if p in self.old}
-        new = [p for p in missing if p not in back]
-        for at in range(0, len(new), PARTS_AT_ONCE):
-            some = new[at: at + PARTS_AT_ONCE]
-            back |= zip(some, self.align(some))
-        kept = {p: part for p, part in back.items() if len(p) <= Encoder.LONGEST}
-        added = sum(2 * len(p) + len(part.text) + 8 * part.n_groups + 450 for p, part in kept.items())
-        if self.size + added > self.limit:
-            self.old, self.young, self.size = self.young, {}, 0
-        self.young |= kept
-        self.size += added
-        found |= back
-        return [found[p] for p in needed]
-
-
-def _written(a: np.ndarray, b: np.ndarray, found: Groups) -> list[str]:
-    """``a1,a2|b1`` of every group."""
-    sides = []
-    for ids, group in ((a, found.a_group), (b, found.b_group)):
-        text = list(map(str, ids.tolist()))
-        cut = np.searchsorted(group, np.arange(group[-1] + 2)).tolist()
-        sides.append([text[i] if j == i + 1 else ",".join(text[i:j]) for i, j in zip(cut, cut[1:])])
-    return [f"{x}|{y}" for x, y in zip(*sides)]
+        a_cut = np.concatenate([[0], np.cumsum(a_many)])
+        texts = self._written(a, b, found)
+        group_cut = np.concatenate([found.a_group, [len(texts)]])[a_cut]
+        cut = group_cut.tolist()
+        return Aligned(a_many, b_many, np.diff(group_cut), np.diff(np.searchsorted(link_a, a_cut)), right, a[link_a] << B_BITS | b[link_b],
+                       [";".join(texts[i:j]) for i, j in zip(cut, cut[1:])])
+
+    def _written(self, a: np.ndarray, b: np.ndarray, found: Groups) -> list[str]:
+        """``a1,a2|b1`` of every group."""
+        sides = []
+        for ids, group in ((a, found.a_group), (b, found.b_group)):
+            text = [self.names[i] for i in ids.tolist()]
+            cut = np.searchsorted(group, np.arange(group[-1] + 2)).tolist()
+            sides.append([text[i] if j == i + 1 else ",".join(text[i:j]) for i, j in zip(cut, cut[1:])])
+        return [f"{x}|{y}" for x, y in zip(*sides)]
+
+    def lookup(self, needed: list[str]) -> Aligned:
+        """The distinct parts ``needed``, in order.  Beyond the limit only these are kept for the next chunk."""
+        new = [p for p in needed if p not in self.place]
+        fresh = [self.align(new[at: at + PARTS_AT_ONCE]) for at in range(0, len(new), PARTS_AT_ONCE)]
+        self.place |= zip(new, range(len(self.place), len(self.place) + len(new)))
+        self.kept = self.kept.joined(fresh)
+        self.size += sum(sum(map(len, x.texts)) + 8 * len(x.codes) + self.ENTRY * len(x.texts) for x in fresh)
+        found = self.kept.taken(np.fromiter(map(self.place.__getitem__, needed), np.int64, len(needed)))
+        if self.size > self.limit:
+            few = [k for k, p in enumerate(needed) if len(p) <= Encoder.LONGEST]
+            self.kept = found.taken(np.array(few, np.int64))
+            self.place = {needed[k]: n for n, k in enumerate(few)}
+            self.size = sum(map(len, self.kept.texts)) + 8 * len(self.kept.codes) + self.ENTRY * len(few)
+        return found
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -188,28 +219,22 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def chunk_row(code: Aligner, number: int, docs: list[tuple[int | None, str]]) -> dict:
     """The written row of one chunk of documents."""
-    place: dict[str, int] = {}
-    held = []
-    for _, text in docs:
-        parts = [p for p in code.a.split(" " + text) if p] if text else []
-        held.append([place.setdefault(p, len(place)) for p in parts])
+    held = [code.a.split(" " + text) if text else [] for _, text in docs]
+    held = [own if not own or own[0] else own[1:] for own in held]
+    place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(held)))}
+    held = [list(map(place.__getitem__, own)) for own in held]
     parts = code.lookup(list(place))
-    fine = np.array([p.codes is not None for p in parts], bool)
-    held = [own if fine[own].all() else [] for own in held] if not fine.all() else held
+    if not parts.right.all():
+        held = [own if parts.right[own].all() else [] for own in held]
     sizes = np.array([len(own) for own in held], np.int64)
-    flat = np.fromiter((k for own in held for k in own), np.int64, int(sizes.sum()))
-    columns = []
-    for values in ([p.n_a for p in parts], [p.n_b for p in parts], [p.n_groups for p in parts], [0 if p.codes is None else len(p.codes) for p in parts]):
-        columns.append(_sums(np.array(values, np.int64)[flat], sizes).tolist())
-    texts = [p.text for p in parts]
-    digests = [sha256(";".join([texts[k] for k in own]).encode()).hexdigest() if own else "" for own in held]
+    flat = np.fromiter(chain.from_iterable(held), np.int64, int(sizes.sum()))
+    columns = [_sums(values[flat], sizes).tolist() for values in (parts.n_a, parts.n_b, parts.n_groups, parts.n_links)]
+    digests = [sha256(";".join(map(parts.texts.__getitem__, own)).encode()).hexdigest() if own else "" for own in held]
     names = [c.split()[0] for c in _DOC.split(", ")]
     rows = [dict(zip(names, row)) for row in zip([d for d, _ in docs], *columns, digests)]
-    links = [p.codes if p.codes is not None else np.zeros(0, np.int64) for p in parts]
-    every = np.concatenate([np.zeros(0, np.int64), *links])
-    many = np.array([len(x) for x in links], np.int64)
-    used = np.repeat(np.bincount(flat, minlength=len(parts)), many)
-    codes, where = np.unique(every, return_inverse=True)
+    many = parts.n_links
+    used = np.repeat(np.bincount(flat, minlength=len(many)), many)
+    codes, where = np.unique(parts.codes, return_inverse=True)
     counts = np.bincount(where, weights=used, minlength=len(codes)).astype(np.int64)
     return {"chunk": number, "docs": rows, "codes": codes, "counts": counts, "sizes": sizes.astype("<u4").tobytes(), "parts": flat.astype("<u4").tobytes(),
             "ends": many.astype("<u4").tobytes(), "links": where.astype("<u4").tobytes()}
