@@ -1,7 +1,7 @@
 """Collects the registered queries of every family."""
 
 from drawlake.plans import inputs  # noqa: F401
-from drawlake.plans import certify, contracts, corpus, evidence, geometry, ledgers, masks, report, scale, text  # noqa: F401
+from drawlake.plans import certify, contours, contracts, corpus, evidence, geometry, ledgers, masks, report, scale, text  # noqa: F401
 from drawlake.plans import registry
 
 
