@@ -44,7 +44,8 @@ def compatibility_form(text: Column) -> Column:
     source, target, longer = _compatibility()
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
     spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c <= "~", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    several = text.rlike("[" + "".join(longer) + "]")
+    # Removing those characters and comparing lengths is far cheaper than a class of some hundred of them.
+    several = F.length(F.translate(text, "".join(longer), "")) < F.length(text)
     return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(F.when(several, spread).otherwise(text), source, target)).otherwise(text)
 
 
@@ -56,14 +57,23 @@ def is_assumed_layer(layer: Column) -> Column:
     return layer.rlike(ASSUMED_LAYER)
 
 
-def with_dimension(df: DataFrame, text: str = "text", out: str = "dimension") -> DataFrame:
+def with_form(df: DataFrame, text: str = "text") -> DataFrame:
+    """Attach ``_form``, the compatibility form of the text; what reads a text uses it where it is there already.
+
+    It ends in a one-element ``explode``, so that it is evaluated once for all that read it.
+    """
+    return df if "_form" in df.columns else df.select("*", F.explode(F.array(compatibility_form(F.col(text)))).alias("_form"))
+
+
+def with_dimension(df: DataFrame, text: str = "text", out: str = "dimension", keep_form: bool = False) -> DataFrame:
     """Attach ``struct(kind, nominal, upper, lower, unit, is_reference)`` parsed from the text.
 
     One regular expression splits a text into its parts.  Each stage ends in a one-element
     ``explode``: a filter on the parsed value would otherwise be pushed below the projections and
     the whole parser repeated inside it.
     """
-    plain = F.replace(F.replace(compatibility_form(F.col(text)), F.lit(" "), F.lit("")), F.lit("−"), F.lit("-"))
+    df = with_form(df, text)
+    plain = F.replace(F.replace(F.col("_form"), F.lit(" "), F.lit("")), F.lit("−"), F.lit("-"))
     df = df.select("*", F.explode(F.array(plain)).alias("_n"))
     wrapped = F.col("_n").startswith("(") & F.col("_n").endswith(")") & (F.length("_n") > 1)
     body = F.when(wrapped, F.expr("substring(_n, 2, length(_n) - 2)")).otherwise(F.col("_n"))
@@ -125,23 +135,24 @@ def with_dimension(df: DataFrame, text: str = "text", out: str = "dimension") ->
         F.when(good, F.when(angle, "deg").otherwise("mm")).alias("unit"),
         (F.col("_p.wrapped") & ~special).alias("is_reference"),
     )
-    return df.select("*", F.explode(F.array(parsed)).alias(out)).drop("_n", "_p", "_v", "_t", "_ok")
+    return df.select("*", F.explode(F.array(parsed)).alias(out)).drop("_n", "_p", "_v", "_t", "_ok", *([] if keep_form else ["_form"]))
 
 
 def compact_upper(text: Column) -> Column:
-    return F.upper(F.regexp_replace(compatibility_form(text), r"\s+", ""))
+    return F.upper(F.regexp_replace(text, r"\s+", ""))
 
 
-def with_inclination(df: DataFrame, text: str = "text", out: str = "ratio") -> DataFrame:
+def with_inclination(df: DataFrame, text: str = "text", out: str = "ratio", keep_form: bool = False) -> DataFrame:
     """Attach ``struct(numerator, denominator)`` of an ``n IN m`` taper note, else null."""
-    flat = F.upper(F.replace(compatibility_form(F.col(text)), F.lit(" "), F.lit("")))
+    df = with_form(df, text)
+    flat = F.upper(F.replace(F.col("_form"), F.lit(" "), F.lit("")))
     df = df.select("*", F.explode(F.array(flat)).alias("_flat"))
     pattern = r"\A(?:INCLINE|INCLINATION|SLOPE|TAPER)?(\d+(?:\.\d+)?)IN(\d+(?:\.\d+)?)\z"
     parts = [F.regexp_extract("_flat", pattern, i).try_cast("double").alias(n) for i, n in ((1, "numerator"), (2, "denominator"))]
     df = df.select("*", F.explode(F.array(F.struct(*parts))).alias("_r"))
     top, bottom = F.col("_r.numerator"), F.col("_r.denominator")
     inside = (top > 0) & (top <= MAX_MAGNITUDE) & (bottom > 0) & (bottom <= MAX_MAGNITUDE)
-    return df.withColumn(out, F.when(inside, F.col("_r"))).drop("_flat", "_r")
+    return df.withColumn(out, F.when(inside, F.col("_r"))).drop("_flat", "_r", *([] if keep_form else ["_form"]))
 
 
 def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension") -> DataFrame:
@@ -150,8 +161,8 @@ def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension")
     The folded text and the family end in one-element explodes for the reason given in
     :func:`with_dimension`.
     """
-    df = with_inclination(df, text, "_ratio")
-    folded = F.struct(compact_upper(F.col(text)).alias("flat"), F.col("_ratio").isNotNull().alias("ratio"))
+    df = with_inclination(df, text, "_ratio", keep_form=True)
+    folded = F.struct(compact_upper(F.col("_form")).alias("flat"), F.col("_ratio").isNotNull().alias("ratio"))
     df = df.select("*", F.explode(F.array(folded)).alias("_f"))
     flat, kind = F.col("_f.flat"), F.col(f"{dimension}.kind")
     family = (
@@ -164,7 +175,7 @@ def with_family(df: DataFrame, text: str = "text", dimension: str = "dimension")
         .when((kind == "unknown") & flat.rlike(r"R\d"), "unparsed_radius")
         .when((kind == "unknown") & flat.rlike(r"[⌀ØΦ∅]\d"), "compound_diameter")
     )
-    return df.select("*", F.explode(F.array(family)).alias("family")).drop("_f", "_ratio")
+    return df.select("*", F.explode(F.array(family)).alias("family")).drop("_f", "_ratio", "_form")
 
 
 def review_priority(text: Column, kind: Column, family: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.operators.curves import SHAPE, point_at
 from drawlake.operators.prefix import running_total
+from drawlake.session import checkpoint
 
 #: The eight signed axis permutations ``(a, b, c, d)``: x' = a x + b y, y' = c x + d y.
 TURNS = ((1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (0, 1, -1, 0), (-1, 0, 0, 1), (1, 0, 0, -1), (0, 1, 1, 0), (0, -1, -1, 0))
@@ -36,16 +37,20 @@ def _listed(points: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumns({f"{name}_{k}{c}": f(c) for k, f in (("c", middle), ("m", mean)) for c in "xy"})
 
 
-def _residuals(points: Column, targets: Column, dx: Column, dy: Column) -> Column:
-    """Means of the way from every moved point to its nearest target, and of its square: ``struct(x, y, d)``."""
-    def nearest(p: Column) -> Column:
-        return F.array_min(F.transform(targets, lambda q: F.struct(
-            ((q["x"] - p["x"] - dx) * (q["x"] - p["x"] - dx) + (q["y"] - p["y"] - dy) * (q["y"] - p["y"] - dy)).alias("d"),
-            (q["x"] - p["x"] - dx).alias("x"), (q["y"] - p["y"] - dy).alias("y"))))
+def _measured(state: DataFrame) -> DataFrame:
+    """``state`` with the mean ways to the nearest points in both directions (``px, py``, ``rx, ry``) and the loss.
 
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in "xyd"])
-    add = lambda s, n: F.struct(*[(s[c] + n[c]).alias(c) for c in "xyd"])
-    return F.aggregate(F.transform(points, nearest), zero, add, lambda s: F.struct(*[(s[c] / F.size(points)).alias(c) for c in "xyd"]))
+    The points of a job are paired inside its row, ``samples`` times ``samples`` of them, and leave the task as one row a
+    sample and direction.
+    """
+    job = ["case_id", "turn", "start"]
+    each = state.select(*job, "dx", "dy", "r", F.explode("p").alias("p")).select(*job, "dx", "dy", "p", F.explode("r").alias("r"))
+    x, y = F.col("r.x") - F.col("p.x") - F.col("dx"), F.col("r.y") - F.col("p.y") - F.col("dy")
+    pairs = each.select(*job, F.col("p.i").alias("pi"), F.col("r.i").alias("ri"), x.alias("x"), y.alias("y")).withColumn("d", F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    there = pairs.groupBy(*job, "pi").agg(F.min(F.struct("d", "x", "y")).alias("n"))
+    back = pairs.groupBy(*job, "ri").agg(F.min(F.struct("d", -F.col("x"), -F.col("y")).cast("struct<d:double,x:double,y:double>")).alias("n"))
+    means = [rows.groupBy(*job).agg(*[F.avg(f"n.{c}").alias(f"{side}{c}") for c in "xyd"]) for side, rows in (("p", there), ("r", back))]
+    return state.join(means[0], job).join(means[1], job).withColumn("loss", (F.col("pd") + F.col("rd")) / 2)
 
 
 def register(predicted: DataFrame, reference: DataFrame, samples: int = SAMPLES, rounds: int = ROUNDS, turns: tuple = TURNS) -> DataFrame:
@@ -54,28 +59,19 @@ def register(predicted: DataFrame, reference: DataFrame, samples: int = SAMPLES,
     Either contour is represented by ``samples`` points at equal steps of its length, whatever its number of curves.  Every
     orientation starts from the difference of box centres (start 0) and of centroids (start 1).  A round finds the nearest
     point on the other side for every sample, in either direction, and moves by the mean of both residuals, which is the
-    least-squares translation for those neighbours; the mean squared distance of both directions never rises.  The
-    points of a case are few, so a case's orientations and starts are rows and all rounds one expression over them: the
-    only shuffles are those that sample and gather.  The lowest loss after the last round wins, ties (to nine
-    decimals) by orientation and start.  Cases with a contour on one side only, or without length, give no row.
+    least-squares translation for those neighbours; the mean squared distance of both directions never rises.  All
+    orientations and starts of all cases take part in one keyed shuffle a round, whose offsets are written to the shared
+    checkpoint folder.  The lowest loss after the last round wins, ties (to nine decimals) by orientation and start.  Cases
+    with a contour on one side only, or without length, give no row.
     """
     moves = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), *[F.lit(float(v)).alias(n) for n, v in zip("abcd", m)]) for k, m in enumerate(turns)])).alias("m")
     turned = along(predicted, samples).select("case_id", "i", "x", "y", moves).select(
         "case_id", "m.turn", "i", (F.col("m.a") * F.col("x") + F.col("m.b") * F.col("y")).alias("x"), (F.col("m.c") * F.col("x") + F.col("m.d") * F.col("y")).alias("y"))
     both = _listed(turned, ["case_id", "turn"], "p").join(_listed(along(reference, samples), ["case_id"], "r"), "case_id")
     starts = [F.struct(F.lit(k).alias("start"), (F.col(f"r_{n}x") - F.col(f"p_{n}x")).alias("dx"), (F.col(f"r_{n}y") - F.col(f"p_{n}y")).alias("dy")) for k, n in enumerate("cm")]
-    jobs = both.select("case_id", "turn", "p", "r", F.explode(F.array(*starts)).alias("s"))
-
-    def step(at: Column, _: Column) -> Column:
-        there = _residuals(F.col("p"), F.col("r"), at["dx"], at["dy"])
-        back = _residuals(F.col("r"), F.col("p"), -at["dx"], -at["dy"])
-        moved = F.transform(F.array(F.struct(there.alias("t"), back.alias("b"))), lambda m: F.struct(
-            (at["dx"] + (m["t"]["x"] - m["b"]["x"]) / 2).alias("dx"), (at["dy"] + (m["t"]["y"] - m["b"]["y"]) / 2).alias("dy")))
-        return F.element_at(moved, 1)
-
-    begin = F.struct(F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"))
-    rows = jobs.select("case_id", "turn", "s.start", "p", "r", F.explode(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step))).alias("at"))
-    loss = (_residuals(F.col("p"), F.col("r"), F.col("at.dx"), F.col("at.dy"))["d"] + _residuals(F.col("r"), F.col("p"), -F.col("at.dx"), -F.col("at.dy"))["d"]) / 2
-    rows = rows.withColumn("loss", loss)
-    best = rows.groupBy("case_id").agg(F.min(F.struct(F.round("loss", 9).alias("order"), "turn", "start", "at.dx", "at.dy", "loss")).alias("b"))
+    state = checkpoint(both.select("case_id", "turn", "p", "r", F.explode(F.array(*starts)).alias("s")).select("case_id", "turn", "s.*", "p", "r"))
+    for _ in range(rounds):
+        now = _measured(state)
+        state = checkpoint(now.select("case_id", "turn", "start", (F.col("dx") + (F.col("px") - F.col("rx")) / 2).alias("dx"), (F.col("dy") + (F.col("py") - F.col("ry")) / 2).alias("dy"), "p", "r"))
+    best = _measured(state).groupBy("case_id").agg(F.min(F.struct(F.round("loss", 9).alias("order"), "turn", "start", "dx", "dy", "loss")).alias("b"))
     return best.select("case_id", "b.turn", "b.start", "b.dx", "b.dy", "b.loss")

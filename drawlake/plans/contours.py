@@ -152,6 +152,45 @@ def d4_transform_mixed(t):
     return curves.signed_area(rows).select("case_id", (F.round("area", 4) + F.lit(0.0)).alias("area")).join(spots, "case_id")
 
 
+def meeting_sql(source):
+    """Inner crossing points of all pairs of curves of a case, in SQL."""
+    shape = ["kind", "sx", "sy", "ex", "ey", "cx", "cy", "radius", "start_angle", "sweep"]
+    pairs = f"SELECT a.case_id, a.ord AS first, b.ord AS second, {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in shape)} FROM {source} a JOIN {source} b ON a.case_id = b.case_id AND a.ord < b.ord"
+    cross = "((a_ex - a_sx) * (b_ey - b_sy) - (a_ey - a_sy) * (b_ex - b_sx))"
+    t = f"(((b_sx - a_sx) * (b_ey - b_sy) - (b_sy - a_sy) * (b_ex - b_sx)) / nullif({cross}, 0))"
+    lines = f"SELECT *, a_sx + {t} * (a_ex - a_sx) AS x, a_sy + {t} * (a_ey - a_sy) AS y FROM pr WHERE a_kind = 'LINE' AND b_kind = 'LINE'"
+
+    def line_arc(p, q):
+        dx, dy, fx, fy = f"({p}_ex - {p}_sx)", f"({p}_ey - {p}_sy)", f"({p}_sx - {q}_cx)", f"({p}_sy - {q}_cy)"
+        A, B, C = f"({dx} * {dx} + {dy} * {dy})", f"({fx} * {dx} + {fy} * {dy})", f"({fx} * {fx} + {fy} * {fy} - {q}_radius * {q}_radius)"
+        at = f"((-{B} + s * sqrt({B} * {B} - {A} * {C})) / {A})"
+        return f"SELECT * EXCLUDE (s), {p}_sx + {at} * {dx} AS x, {p}_sy + {at} * {dy} AS y FROM pr JOIN sg ON s <> 0 WHERE {p}_kind = 'LINE' AND {q}_kind = 'ARC' AND {B} * {B} - {A} * {C} >= 0"
+
+    d2 = "(pow(b_cx - a_cx, 2) + pow(b_cy - a_cy, 2))"
+    al = f"(({d2} + a_radius * a_radius - b_radius * b_radius) / (2 * {d2}))"
+    h2 = f"(a_radius * a_radius / {d2} - {al} * {al})"
+    arcs = f"""SELECT * EXCLUDE (s), a_cx + {al} * (b_cx - a_cx) - s * sqrt({h2}) * (b_cy - a_cy) AS x, a_cy + {al} * (b_cy - a_cy) + s * sqrt({h2}) * (b_cx - a_cx) AS y
+      FROM pr JOIN sg ON s <> 0 WHERE a_kind = 'ARC' AND b_kind = 'ARC' AND {d2} > 0 AND CASE WHEN {d2} > 0 THEN {h2} >= 0 END"""
+
+    def on(p):
+        turn = f"((CASE WHEN {p}_sweep >= 0 THEN 1 ELSE -1 END) * (atan2(y - {p}_cy, x - {p}_cx) - {p}_start_angle))"
+        turn = f"({turn} - 2 * pi() * floor({turn} / (2 * pi())))"
+        dx, dy = f"({p}_ex - {p}_sx)", f"({p}_ey - {p}_sy)"
+        share = f"(((x - {p}_sx) * {dx} + (y - {p}_sy) * {dy}) / ({dx} * {dx} + {dy} * {dy}))"
+        return f"CASE WHEN {p}_kind = 'ARC' THEN {turn} <= abs({p}_sweep) + 1e-9 OR {turn} >= 2 * pi() - 1e-9 ELSE {share} BETWEEN -1e-9 AND 1 + 1e-9 END"
+
+    end = lambda p: f"least(sqrt(pow(x - {p}_sx, 2) + pow(y - {p}_sy, 2)), sqrt(pow(x - {p}_ex, 2) + pow(y - {p}_ey, 2))) <= 1e-6"
+    return f"""WITH pr AS ({pairs}), sg AS (SELECT 1 AS s UNION ALL SELECT -1), sp AS ({lines} UNION ALL {line_arc('a', 'b')} UNION ALL {line_arc('b', 'a')} UNION ALL {arcs})
+      SELECT case_id, first, second, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM sp WHERE x IS NOT NULL AND {on('a')} AND {on('b')} AND NOT ({end('a')} AND {end('b')})"""
+
+
+@query("self_intersection_mixed", meeting_sql("{reference_curves}"))
+def self_intersection_mixed(t):
+    """Crossings of lines and arcs of a ring with themselves and each other."""
+    rows = curves.crossings(t("reference_curves"), 25.0)
+    return rows.select("case_id", "first", "second", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("x", "y")])
+
+
 def along(source, samples):
     """Points at equal steps along all curves of a case in order."""
     share = "((i * gap - before) / length)"

@@ -43,7 +43,7 @@ def parsed(t):
 
 
 def families(t):
-    rows = text.with_family(parsed(t))
+    rows = text.with_family(text.with_dimension(t("ocr_records"), keep_form=True))
     return rows.withColumn("priority", text.review_priority(F.col("text"), F.col("dimension.kind"), F.col("family")))
 
 
