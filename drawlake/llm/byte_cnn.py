@@ -130,7 +130,9 @@ class Network:
         of_text = np.repeat(np.arange(len(texts)), per)
         g_chunk = down[of_text, :FILTERS] / per[of_text, None]
         is_top = chunk == features[of_text, FILTERS:]
-        g_chunk = g_chunk + np.where(is_top, down[of_text, FILTERS:], 0)
+        # Chunks overlap, so the place of the maximum lies in several; together they count once.
+        tops = np.add.reduceat(is_top.astype(np.float32), np.cumsum(per) - per, axis=0)
+        g_chunk = g_chunk + np.where(is_top, (down[:, FILTERS:] / tops)[of_text], 0)
         g_block = np.zeros_like(pooled)
         block = start[:, None] + own.argmax(axis=1)
         filters = np.broadcast_to(np.arange(FILTERS), block.shape)
