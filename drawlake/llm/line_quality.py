@@ -3,7 +3,7 @@
 Every line is judged on its own: by its share of punctuation, as navigation, or as boilerplate.
 Failing lines are removed, and a document that loses too much of its text is rejected.
 
-Defined results: null text counts as empty; a text without words fails the base rule; repeated rows
+Defined results: texts of any length are judged whole; null text counts as empty; a text without words fails the base rule; repeated rows
 are judged each; an empty table gives no rows.  Columns other than the text pass through unread,
 except that those named like a result (base, clean, base_failed, kept) are replaced.
 """
@@ -68,7 +68,7 @@ def base_statistics(text: Column) -> Column:
 def line_rule(line: Column) -> Column:
     """The first rule that a line fails, numbered from 1 as in RULES; 0 for a line that stays or is blank."""
     chars = F.length(F.replace(line, F.lit(" "), F.lit("")))
-    words = F.length(line) - chars + 1
+    words = F.regexp_count(line, F.lit(WORD))
     punctuation = F.regexp_count(line, F.lit(PUNCTUATION)) * 100 > chars * MAX_PUNCTUATION
     navigation = (F.regexp_count(line, F.lit(SEPARATORS)) * 100 >= words * MIN_SEPARATORS) | ((words < MENU_WORDS) & ~line.rlike(CLOSING))
     phrase = let(F.lower(line), lambda t: functools.reduce(operator.or_, [t.contains(p) for p in PHRASES]))
@@ -119,7 +119,7 @@ WITH d AS (
 ), lines AS (
   SELECT r, unnest(string_split(text, chr(10))) AS line FROM d
 ), judged AS (
-  SELECT r, line, length(replace(line, ' ', '')) AS chars, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+  SELECT r, line, length(replace(line, ' ', '')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM lines
 ), ruled AS (
   SELECT r, line, chars, has_word, CASE WHEN NOT has_word THEN 0
