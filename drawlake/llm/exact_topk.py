@@ -7,7 +7,8 @@ partition selection keeps its k best.  The blocks' selections are merged with a
 
 Defined results: vectors that are null, hold null or a non-finite component take no part; an empty
 vector scores 0 against everything; vectors of unequal length meet on their common dimensions;
-repeated rows of one id are separate candidates and one query; an empty table gives no rows.
+repeated rows of one id are separate candidates; those of equal vectors are one query, those of different
+vectors are queries of their own, ranked apart under the same id; an empty table gives no rows.
 Scores are exact while they fit a 64-bit integer.  Columns other than the two named are ignored.
 """
 
@@ -77,17 +78,18 @@ def _search(k: int):
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         index = postings([np.array(vectors[i], dtype=np.int64) for i in order])
-        out_q, out_v, out_s = [], [], []
+        out_q, out_a, out_v, out_s = [], [], [], []
         scores = np.zeros(len(ids), dtype=np.int64)
-        for qid, query in zip(right["vec_id"].to_pylist(), right["ints"].to_pylist()):
+        for qid, ask, query in zip(right["vec_id"].to_pylist(), right["ask"].to_pylist(), right["ints"].to_pylist()):
             scores[:] = 0
             accumulate(np.array(query, dtype=np.int64), index, scores)
             best = select(scores, ids != qid, k)
             out_q.append(np.full(len(best), qid, dtype=np.int64))
+            out_a.append(np.full(len(best), ask, dtype=np.int64))
             out_v.append(ids[best])
             out_s.append(scores[best])
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), type=pa.int64())
-        return pa.table({"query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)})
+        return pa.table({"query_id": join(out_q), "ask": join(out_a), "vec_id": join(out_v), "score": join(out_s)})
 
     return search
 
@@ -107,9 +109,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     mixed = lambda n, seed: F.pmod(F.xxhash64("vec_id", "ints", F.lit(seed)), F.lit(n)).cast("int")
     index = rows.select("vec_id", "ints", mixed(n_index, 1).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"))
     asks = rows.where("asks").select("vec_id", "ints").dropDuplicates()
-    asks = asks.select("vec_id", "ints", mixed(n_query, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("ib"))
-    found = index.groupBy("ib", "qb").cogroup(asks.groupBy("ib", "qb")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asks = asks.select("vec_id", "ints", F.xxhash64("ints").alias("ask"), mixed(n_query, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("ib"))
+    found = index.groupBy("ib", "qb").cogroup(asks.groupBy("ib", "qb")).applyInArrow(_search(k), "query_id long, ask long, vec_id long, score long")
+    ranked = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
