@@ -9,7 +9,8 @@ The model counts trigrams by language in Spark over a bounded sample of training
 language reaches the driver, and its logarithms are broadcast.
 
 Defined results: null text and text without a letter are ``und`` with score 0, and so is every text if
-nothing could be learned; repeated rows are labelled each; an empty table gives no rows; a null doc_id
+nothing could be learned; texts of any length are scored whole; of labels or languages that tie the first by name
+wins; repeated rows are labelled each and learned from once; an empty table gives no rows; a null doc_id
 is neither learned from nor held out.  Columns other than the text are never read for a prediction.
 """
 
@@ -33,6 +34,8 @@ CELLS = 50
 #: Cost of a switch and of a script that a language does not use, in nats; a script is used from this share of letters.
 SWITCH, FOREIGN, SCRIPT_SHARE = 14.0, 30.0, 0.01
 UNKNOWN = "und"
+#: Letters that are scored at once.
+SLICE = 1 << 18
 #: Least score of a document that the pipeline keeps.
 KEEP_SCORE = 0.3
 
@@ -99,8 +102,13 @@ class Model:
         low, high = np.searchsorted(at, starts), np.searchsorted(at, ends)
         own = high > low
         starts, ends, low, high = starts[own], ends[own], low[own], high[own]
-        total = np.cumsum(self.table[bucket], axis=0, dtype=np.float64)
-        scores = total[high - 1] - total[low] + self.table[bucket[low]]
+        # A word's letters follow each other; the table is read for SLICE letters at a time.
+        scores, first = np.empty((len(low), len(self.languages))), 0
+        while first < len(low):
+            stop = max(first + 1, int(np.searchsorted(low, low[first] + SLICE)))
+            own = self.table[bucket[low[first]: high[stop - 1]]]
+            scores[first:stop] = np.add.reduceat(own, low[first:stop] - low[first], axis=0, dtype=np.float64)
+            first = stop
         scores += self.foreign[script[code[at[low]]]]
         return starts - 1, ends - 1, high - low, scores
 
@@ -175,12 +183,13 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    ids = rows.select("id", "row", "lang", F.xxhash64("id").alias("h"))
     cells = max(1, min(CELLS, per_language))  # a language's rows are ranked in cells of their hash, not in one place
-    own = Window.partitionBy("lang", F.pmod("h", F.lit(cells))).orderBy("h", "id")
+    own = Window.partitionBy("lang", F.pmod("h", F.lit(cells))).orderBy("h", "id", "row")
     ids = ids.withColumn("k", F.row_number().over(own)).where(F.col("k") <= per_language // cells)
-    ids = ids.orderBy("k", "lang", "h").limit(sample).select("id").distinct()
-    chosen = rows.join(F.broadcast(ids), "id").select("lang", "text")
+    ids = ids.orderBy("k", "lang", "h").limit(sample).select("id", "row").distinct()
+    chosen = rows.join(F.broadcast(ids), ["id", "row"]).dropDuplicates(["id", "row"]).select("lang", "text")
     cells = chosen.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(cells["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS + len(SCRIPTS) + 1))
@@ -221,7 +230,11 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents in no learned language and those that no language leads."""
+    """Pipeline stage: drops documents in no learned language and those that no language leads.
+
+    Null, empty and letterless texts are in no language and go; repeated rows and rows without an id stay or go by
+    their text; an empty table stays empty.
+    """
     model = spark.sparkContext.broadcast(fit(docs, learnable()))
     found = identify(F.col("text"), model)
     return docs.withColumn("__language", found).where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= KEEP_SCORE)).select(*docs.columns)
