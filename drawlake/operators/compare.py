@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.operators import curves
 from drawlake.operators.spatial import cells_of_box, grid_join, nearest_segment
+from drawlake.session import checkpoint
 
 
 def sample_lines(lines: DataFrame, step: float) -> DataFrame:
@@ -88,3 +90,44 @@ def crossings(lines: DataFrame, cell: float) -> DataFrame:
     on = (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a._cell") == F.col("b._cell")) & (F.col("a.ord") < F.col("b.ord"))
     hit = (d1 * d2 < 0) & (d3 * d4 < 0) & (F.col("a._cell.cx") == low_x) & (F.col("a._cell.cy") == low_y)
     return a.join(b, on).where(hit).select(F.col("a.case_id").alias("case_id"), F.col("a.ord").alias("first"), F.col("b.ord").alias("second"))
+
+
+def hausdorff_bounds(a: DataFrame, b: DataFrame, spacing: float) -> DataFrame:
+    """``(case_id, sampled, lower, upper, a_max, b_max)``: certified bounds of the Hausdorff distance of two contours.
+
+    Both are sampled with at most ``spacing`` along their length and samples are compared with samples.  Every point of a
+    curve lies within half a spacing of a sample, and the distance to a set changes by no more than the way moved, so
+    the true distance differs from the sampled one by half a spacing at most.  Cases with one side only give no row.
+    """
+    points = [curves.sample(c, spacing).select("case_id", F.struct("ord", "sample").alias("i"), "px", "py") for c in (a, b)]
+    spots = [p.select("case_id", F.col("px").alias("sx"), F.col("py").alias("sy"), F.col("px").alias("ex"), F.col("py").alias("ey")) for p in points]
+    sides = [nearest_segment(p, s, "case_id", ["i"]).groupBy("case_id").agg(F.max("distance").alias(name)) for p, s, name in ((points[0], spots[1], "a_max"), (points[1], spots[0], "b_max"))]
+    rows = sides[0].join(sides[1], "case_id").where("a_max is not null and b_max is not null").withColumn("sampled", F.greatest("a_max", "b_max"))
+    return rows.select("case_id", "sampled", F.greatest(F.lit(0.0), F.col("sampled") - spacing / 2).alias("lower"), (F.col("sampled") + spacing / 2).alias("upper"), "a_max", "b_max")
+
+
+def affine_fit(pairs: DataFrame, gate: float = 1e-5, least: float = 1e-9) -> DataFrame:
+    """``(case_id, n, a, b, c, d, tx, ty, det, error, accepted)``: least-squares map (x, y) -> (u, v) of each case.
+
+    u = a x + b y + tx and v = c x + d y + ty, shear and rotation included.  The moments are sums that combine before the shuffle,
+    taken around each case's mean so that far origins cost no digits, and the two equations are solved in columns.  Fewer
+    than three points, or points (or images) on one line, have no map: their coefficients are null.  ``error`` is the
+    largest residual; a map is accepted if it is at most ``gate``.
+    """
+    mean = pairs.groupBy("case_id").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyuv"])
+    near = pairs.join(mean, "case_id").select("case_id", "n", *[f"m{c}" for c in "xyuv"], *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyuv"])
+    product = lambda p, q: F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}")
+    sums = near.groupBy("case_id", "n", *[f"m{c}" for c in "xyuv"]).agg(*[product(p, q) for p, q in ("xx", "xy", "yy", "xu", "yu", "xv", "yv", "uu", "uv", "vv")])
+    c = F.col
+    whole = c("sxx") * c("syy") - c("sxy") * c("sxy")
+    flat = lambda p, q: c(f"s{p}{p}") * c(f"s{q}{q}") - c(f"s{p}{q}") * c(f"s{p}{q}") <= least * (c(f"s{p}{p}") + c(f"s{q}{q}")) * (c(f"s{p}{p}") + c(f"s{q}{q}"))
+    ranked = (c("n") >= 3) & ~flat("x", "y") & ~flat("u", "v")
+    solved = lambda top: F.when(ranked, top / whole)
+    maps = sums.select("case_id", "n", *[f"m{k}" for k in "xyuv"], *[e.alias(n) for n, e in (
+        ("a", solved(c("sxu") * c("syy") - c("syu") * c("sxy"))), ("b", solved(c("syu") * c("sxx") - c("sxu") * c("sxy"))),
+        ("c", solved(c("sxv") * c("syy") - c("syv") * c("sxy"))), ("d", solved(c("syv") * c("sxx") - c("sxv") * c("sxy"))))])
+    maps = checkpoint(maps.withColumns({"tx": c("mu") - c("a") * c("mx") - c("b") * c("my"), "ty": c("mv") - c("c") * c("mx") - c("d") * c("my")}).drop("mx", "my", "mu", "mv"))
+    off = F.hypot(c("a") * c("x") + c("b") * c("y") + c("tx") - c("u"), c("c") * c("x") + c("d") * c("y") + c("ty") - c("v"))
+    error = pairs.join(maps, "case_id").groupBy("case_id").agg(F.max(off).alias("error"))
+    rows = maps.join(error, "case_id")
+    return rows.select("case_id", "n", *"abcd", "tx", "ty", (c("a") * c("d") - c("b") * c("c")).alias("det"), "error", F.coalesce(c("error") <= gate, F.lit(False)).alias("accepted"))

@@ -58,3 +58,23 @@ def ring_digest(rings: DataFrame, forward: Column, backward: Column, keys: tuple
         now = checkpoint(now.join(other, [*keys, "_way", "_at"]).select(*keys, "_way", "_at", "_n", joined.alias("_digest")))
         reach *= 2
     return now.groupBy(*keys).agg(F.min("_digest").alias("digest"))
+
+
+def closed_rings(points: DataFrame, limit: float = 1e-10, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """``(*keys, ord, x, y, issue)``: contours ``(*keys, ord, x, y)`` with ``ord`` from 0 without repeated vertices, and what is wrong with them.
+
+    A vertex within ``limit`` of the one before it goes, and so does the last one that is left if it closes the ring onto the
+    first; predecessors are joined on their position.  ``issue`` names contours with a coordinate that is not finite, or
+    with fewer than three vertices left; it is null for good ones.
+    """
+    keys = list(keys)
+    before = points.select(*keys, (F.col("ord") + 1).alias("ord"), F.col("x").alias("_px"), F.col("y").alias("_py"))
+    left = points.join(before, [*keys, "ord"], "left").where(F.col("_px").isNull() | ~(F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")) <= limit)).drop("_px", "_py")
+    big = float("inf")
+    finite = F.coalesce((F.abs("x") < big) & (F.abs("y") < big), F.lit(False))
+    ends = left.groupBy(*keys).agg(F.min_by(F.struct("x", "y"), "ord").alias("_first"), F.max(F.struct("ord", "x", "y")).alias("_last"), F.count("*").alias("_n"), F.bool_and(finite).alias("_finite"))
+    closes = (F.col("_n") > 1) & (F.hypot(F.col("_first.x") - F.col("_last.x"), F.col("_first.y") - F.col("_last.y")) <= limit)
+    ends = ends.withColumn("_closes", F.coalesce(closes, F.lit(False)))
+    issue = F.when(~F.col("_finite"), "not_finite").when(F.col("_n") - F.col("_closes").cast("int") < 3, "fewer_than_three_vertices")
+    rows = left.join(ends.withColumn("issue", issue), keys).where(~F.col("_closes") | (F.col("ord") != F.col("_last.ord")))
+    return rows.select(*keys, "ord", "x", "y", "issue")

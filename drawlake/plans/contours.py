@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import curves, leaders, nesting, pages, paths, register
+from drawlake.functions import usage
+from drawlake.operators import compare, curves, leaders, nesting, pages, paths, register
 from drawlake.plans.registry import define_input, query
 
 STEP = 4.0
@@ -338,3 +339,81 @@ def geometry_fingerprint(t):
 def request_pages(t):
     """Reliable groups first; a customer is a case."""
     return pages.request_pages(t("candidate_groups"), [(~F.col("reliable")).asc()])
+
+
+@query(
+    "point_cloud_hausdorff",
+    f"""SELECT case_id, round(greatest(a, b), 5) + 0.0 AS sampled, round(greatest(0, greatest(a, b) - 4), 5) + 0.0 AS lower, round(greatest(a, b) + 4, 5) + 0.0 AS upper FROM (
+       SELECT p.case_id, max(d) AS a FROM (SELECT p.case_id, p.ord, p.sample, min(sqrt(pow(p.px - q.px, 2) + pow(p.py - q.py, 2))) AS d FROM ({sampled('{predicted_curves}', '8.0')}) p
+         JOIN ({sampled('{reference_curves}', '8.0')}) q ON q.case_id = p.case_id GROUP BY 1, 2, 3) p GROUP BY 1) x JOIN (
+       SELECT p.case_id, max(d) AS b FROM (SELECT p.case_id, p.ord, p.sample, min(sqrt(pow(p.px - q.px, 2) + pow(p.py - q.py, 2))) AS d FROM ({sampled('{reference_curves}', '8.0')}) p
+         JOIN ({sampled('{predicted_curves}', '8.0')}) q ON q.case_id = p.case_id GROUP BY 1, 2, 3) p GROUP BY 1) y USING (case_id)""",
+)
+def point_cloud_hausdorff(t):
+    rows = compare.hausdorff_bounds(t("predicted_curves"), t("reference_curves"), 8.0)
+    return rows.select("case_id", r5("sampled"), r5("lower"), r5("upper"))
+
+
+# Turned starts of a contour; some cases are bent out of an affine map, some have all points in one place of an axis.
+define_input(
+    "affine_pairs",
+    """SELECT r.case_id, r.sx AS x, CASE WHEN r.case_id % 11 = 0 THEN 2 * r.sx + 1 ELSE r.sy END AS y,
+       1.5e0 * p.sx + 0.25e0 * p.sy + (CASE WHEN r.case_id % 7 = 0 THEN 0.001e0 * r.ord * r.ord ELSE 0 END) AS u, p.sy AS v
+       FROM {reference_curves} AS r JOIN {turned_curves} AS p ON p.case_id = r.case_id AND p.ord = r.ord""",
+)
+
+
+@query(
+    "affine_fit_full",
+    """WITH s AS (SELECT case_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(x) AS xx, covar_pop(x, y) AS xy, var_pop(y) AS yy, covar_pop(x, u) AS xu, covar_pop(y, u) AS yu,
+         covar_pop(x, v) AS xv, covar_pop(y, v) AS yv, var_pop(u) AS uu, covar_pop(u, v) AS uv, var_pop(v) AS vv FROM {affine_pairs} GROUP BY 1),
+       m AS (SELECT *, xx * yy - xy * xy AS w, xx * yy - xy * xy > 1e-9 * (xx + yy) * (xx + yy) AND uu * vv - uv * uv > 1e-9 * (uu + vv) * (uu + vv) AND n >= 3 AS ok FROM s),
+       f AS (SELECT case_id, n, mx, my, mu, mv, CASE WHEN ok THEN (xu * yy - yu * xy) / w END AS a, CASE WHEN ok THEN (yu * xx - xu * xy) / w END AS b,
+         CASE WHEN ok THEN (xv * yy - yv * xy) / w END AS c, CASE WHEN ok THEN (yv * xx - xv * xy) / w END AS d FROM m),
+       g AS (SELECT *, mu - a * mx - b * my AS tx, mv - c * mx - d * my AS ty FROM f),
+       e AS (SELECT case_id, max(sqrt(pow(a * x + b * y + tx - u, 2) + pow(c * x + d * y + ty - v, 2))) AS error FROM {affine_pairs} JOIN g USING (case_id) GROUP BY 1)
+       SELECT case_id, n, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, round(d, 6) + 0.0 AS d, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty, round(a * d - b * c, 5) + 0.0 AS det,
+         coalesce(error <= 1e-5, false) AS accepted FROM g JOIN e USING (case_id)""",
+)
+def affine_fit_full(t):
+    """Rotated, sheared and degenerate point pairs, with the rank test and the gate on the residual."""
+    rows = compare.affine_fit(t("affine_pairs"))
+    r = lambda name, k: (F.round(name, k) + F.lit(0.0)).alias(name)
+    return rows.select("case_id", "n", *[r(c, 6) for c in "abcd"], r("tx", 4), r("ty", 4), r("det", 5), "accepted")
+
+
+# Usage documents with whole, negative, broken, textual and nested counters.
+define_input(
+    "usage_documents",
+    """SELECT event_id, k, concat('{{"input_tokens": ', k, ', "output_tokens": ', k - 500, ', "total_tokens": ', k, '.5, "prompt_tokens": "', k, '", "completion_tokens": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE '7' END,
+       ', "secret_text": "x", "output_tokens_details": ', CASE WHEN k % 3 = 0 THEN concat('{{"reasoning_tokens": ', k % 10, '}}') ELSE '5' END, ', "input_tokens_details": {{"cached_tokens": -1, "other": 3}}',
+       CASE WHEN k % 5 = 0 THEN '' ELSE '}}' END) AS document FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) AS e""",
+)
+
+
+@query(
+    "token_usage_counters",
+    """SELECT event_id, CASE WHEN k % 5 <> 0 THEN k END AS input_tokens, CASE WHEN k % 5 <> 0 AND k >= 500 THEN k - 500 END AS output_tokens, NULL::BIGINT AS total_tokens, NULL::BIGINT AS prompt_tokens,
+       CASE WHEN k % 5 <> 0 AND k % 2 <> 0 THEN 7::BIGINT END AS completion_tokens, NULL::BIGINT AS cache_creation_input_tokens, NULL::BIGINT AS cache_read_input_tokens,
+       CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN k % 10 END AS output_tokens_details__reasoning_tokens, NULL::BIGINT AS completion_tokens_details__reasoning_tokens,
+       NULL::BIGINT AS input_tokens_details__cached_tokens, NULL::BIGINT AS prompt_tokens_details__cached_tokens FROM {usage_documents}""",
+)
+def token_usage_counters(t):
+    """All eleven counters; documents that do not parse have none."""
+    return t("usage_documents").select("event_id", *[value.alias(name) for name, value in usage.counters(F.col("document")).items()])
+
+
+@query(
+    "closed_ring",
+    """WITH p AS (SELECT case_id, ord, CASE WHEN ord % 6 = 1 THEN sx ELSE x END AS x, CASE WHEN ord % 6 = 1 THEN sy ELSE y END AS y FROM (
+         SELECT case_id, ord, sx AS x, sy AS y, lag(sx, 1, sx) OVER w AS sx, lag(sy, 1, sy) OVER w AS sy FROM {reference_lines} WINDOW w AS (PARTITION BY case_id ORDER BY ord)) q),
+       l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY case_id ORDER BY ord))
+       SELECT case_id, ord, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, NULL::VARCHAR AS issue FROM l WHERE px IS NULL OR sqrt(pow(x - px, 2) + pow(y - py, 2)) > 1e-10""",
+)
+def closed_ring(t):
+    """Rings in which every sixth vertex repeats the one before it."""
+    rows = t("reference_lines").select("case_id", "ord", F.col("sx").alias("x"), F.col("sy").alias("y"))
+    before = rows.select("case_id", (F.col("ord") + 1).alias("ord"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    again = F.col("ord") % 6 == 1
+    made = rows.join(before, ["case_id", "ord"], "left").select("case_id", "ord", F.when(again, F.col("bx")).otherwise(F.col("x")).alias("x"), F.when(again, F.col("by")).otherwise(F.col("y")).alias("y"))
+    return paths.closed_rings(made).select("case_id", "ord", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("x", "y")], "issue")
