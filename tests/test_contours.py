@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from drawlake.operators import curves, leaders, nesting, pages, paths, register
+from drawlake.functions import usage
+from drawlake.operators import compare, curves, leaders, nesting, pages, paths, register
 
 CURVE = "case_id int, ord int, kind string, sx double, sy double, ex double, ey double, cx double, cy double, radius double, start_angle double, sweep double, length double"
 
@@ -211,3 +212,53 @@ def test_pages_first_fit_in_order(spark):
     assert {got[1, r[1]][1] for r in rows if r[0] == 1 and not r[2]} == {"unsupported_or_unresolved_source_dimension"}
     few = pages.request_pages(table, [F.col("reliable").asc()], pages=2).collect()
     assert max(r.page for r in few if r.page) == 2 and any(r.reason == "page_count_limit" for r in few)
+
+
+def test_hausdorff_bounds_hold_the_distance(spark):
+    rng = random.Random(7)
+    first, second, want = [], [], {}
+    for case in range(6):
+        a = [line(case, k, rng.uniform(0, 50), rng.uniform(0, 50), rng.uniform(0, 50), rng.uniform(0, 50)) for k in range(3)]
+        b = [arc(case, k, rng.uniform(0, 50), rng.uniform(0, 50), rng.uniform(2, 20), rng.uniform(-3, 3), rng.uniform(0.5, 5)) for k in range(2)]
+        first, second = first + a, second + b
+        spots = lambda c: [(c[3] + t / 400 * (c[5] - c[3]), c[4] + t / 400 * (c[6] - c[4])) if c[2] == "LINE" else (c[7] + c[9] * math.cos(c[10] + c[11] * t / 400), c[8] + c[9] * math.sin(c[10] + c[11] * t / 400)) for t in range(401)]
+        want[case] = max(max(min(far(x, y, o) for o in other) for c in own for x, y in spots(c)[::20]) for own, other in ((a, b), (b, a)))
+    second.append(line(99, 0, 0.0, 0.0, 1.0, 0.0))
+    rows = compare.hausdorff_bounds(spark.createDataFrame(first, CURVE), spark.createDataFrame(second, CURVE), 1.0).collect()
+    assert {r.case_id for r in rows} == set(want)
+    for r in rows:
+        assert r.upper == pytest.approx(r.sampled + 0.5) and r.lower <= want[r.case_id] + 1e-6 and want[r.case_id] <= r.upper + 1e-6
+
+
+def test_affine_fit_gates_and_ranks(spark):
+    rng = random.Random(3)
+    rows = []
+    for case, far_off in ((1, 0.0), (2, 1e6)):
+        for _ in range(20):
+            x, y = far_off + rng.uniform(-5, 5), rng.uniform(-5, 5)
+            rows.append((case, x, y, 2 * x - 3 * y + 7, 0.5 * x + y - 1))
+    rows += [(3, float(k), 2.0 * k, 1.0 * k, 3.0) for k in range(5)] + [(4, 0.0, 0.0, 0.0, 0.0), (4, 1.0, 0.0, 1.0, 0.0)]
+    rows += [(5, float(k % 3), float(k // 3), k % 3 + 1e-3 * (k == 4), float(k // 3)) for k in range(9)]
+    got = {r.case_id: r for r in compare.affine_fit(spark.createDataFrame(rows, "case_id int, x double, y double, u double, v double")).collect()}
+    assert [got[1][c] for c in ("a", "b", "c", "d", "tx", "ty", "det")] == pytest.approx([2, -3, 0.5, 1, 7, -1, 3.5]) and got[1].accepted
+    assert [got[2][c] for c in "abcd"] == pytest.approx([2, -3, 0.5, 1]) and got[2].accepted
+    assert got[3].a is None and got[4].a is None and not got[3].accepted and not got[4].accepted
+    assert got[5].a == pytest.approx(1, abs=1e-2) and got[5].error > 1e-5 and not got[5].accepted
+
+
+def test_closed_rings_and_their_issues(spark):
+    rings = {1: [(0, 0), (0, 0), (4, 0), (4, 4), (0, 0)], 2: [(0, 0), (1, 0), (0, 0)], 3: [(0, 0), (float("nan"), 1), (2, 2), (3, 0)], 4: [(0, 0)], 5: [(0, 0), (1, 0), (1, 1), (1, 1)]}
+    rows = [(case, k, float(x), float(y)) for case, ring in rings.items() for k, (x, y) in enumerate(ring)]
+    got = {}
+    for r in paths.closed_rings(spark.createDataFrame(rows, "case_id int, ord int, x double, y double")).collect():
+        got.setdefault(r.case_id, []).append((r.ord, r.issue))
+    assert {c: sorted(o for o, _ in v) for c, v in got.items()} == {1: [0, 2, 3], 2: [0, 1], 3: [0, 1, 2, 3], 4: [0], 5: [0, 1, 2]}
+    assert {c: v[0][1] for c, v in got.items()} == {1: None, 2: "fewer_than_three_vertices", 3: "not_finite", 4: "fewer_than_three_vertices", 5: None}
+
+
+def test_token_counters_take_whole_numbers_only(spark):
+    documents = ['{"input_tokens": 5, "output_tokens": -1, "total_tokens": 1.0, "prompt_tokens": "3", "completion_tokens": true, "prompt_tokens_details": {"cached_tokens": 0}}', "not json", None, "[]", '{"input_tokens_details": 4}']
+    table = spark.createDataFrame([(d,) for d in documents], "document string")
+    rows = table.select(*[v.alias(k) for k, v in usage.counters(F.col("document")).items()]).collect()
+    assert {k: v for k, v in rows[0].asDict().items() if v is not None} == {"input_tokens": 5, "prompt_tokens_details__cached_tokens": 0}
+    assert len(rows[0]) == 11 and all(v is None for r in rows[1:] for v in r)
