@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import masks
-from drawlake.plans.registry import query
+from drawlake.operators import labellings, masks
+from drawlake.plans.registry import define_input, query
 
 COUNTS = """SELECT mask_id, coalesce(predicted, 0) AS predicted, coalesce(target, 0) AS target, coalesce(shared, 0) AS shared FROM {mask_dims} LEFT JOIN (
   SELECT mask_id, sum(p) AS predicted, sum(t) AS target, sum(p * t) AS shared FROM (SELECT mask_id, x, y, max(p) AS p, max(t) AS t FROM (
@@ -78,3 +78,68 @@ def pixel_center_map(t):
     return t("mask_pixels").select(
         "mask_id", "x", "y", F.round((F.col("x") + 0.5) * 850 / 24 - 0.5, 6).alias("image_x"), F.round((F.col("y") + 0.5) * 1150 / 24 - 0.5, 6).alias("image_y")
     )
+
+
+# Cells as pixels, and a proposal that drops some and adds others.
+define_input("cells_before", "SELECT mask_id, CAST(cx AS BIGINT) AS x, CAST(cy AS BIGINT) AS y FROM {mask_cells} WHERE mask_id % 10 <> 9")
+define_input(
+    "cells_after",
+    """SELECT mask_id, CAST(cx AS BIGINT) AS x, CAST(cy AS BIGINT) AS y FROM {mask_cells} WHERE mask_id % 4 = 0 OR (cx * 3 + cy * 5 + mask_id) % 11 <> 0 AND mask_id % 10 <> 3
+       UNION SELECT mask_id, CAST((cx + 3) % 8 AS BIGINT) AS x, CAST(cy AS BIGINT) AS y FROM {mask_cells} WHERE mask_id % 3 = 0 AND (cx + cy) % 6 = 0""",
+)
+
+
+def grown(source, name, near, width="8"):
+    """Components by repeated growth: the smallest place that each cell is reached from."""
+    return f"""{name} AS (SELECT mask_id, x, y, y * 100 + x AS r FROM {source} UNION SELECT n.mask_id, n.x, n.y, f.r FROM {name} f JOIN {source} n ON n.mask_id = f.mask_id AND {near}),
+      {name}_l AS (SELECT mask_id, x, y, min(r) AS label FROM {name} GROUP BY 1, 2, 3)"""
+
+
+FOUR, EIGHT = "abs(n.x - f.x) + abs(n.y - f.y) = 1", "greatest(abs(n.x - f.x), abs(n.y - f.y)) = 1"
+SETS = f"""{grown('{cells_before}', 'ba', FOUR)}, {grown('{cells_after}', 'aa', FOUR)},
+  pr AS (SELECT DISTINCT b.mask_id, b.label AS a, q.label AS b FROM ba_l b JOIN aa_l q ON q.mask_id = b.mask_id AND q.x = b.x AND q.y = b.y),
+  bs AS (SELECT l.mask_id, count(*) AS before, count(*) FILTER (n > 1) AS split, count(*) FILTER (n IS NULL) AS deleted FROM (SELECT DISTINCT mask_id, label FROM ba_l) l
+    LEFT JOIN (SELECT mask_id, a, count(*) AS n FROM pr GROUP BY 1, 2) p ON p.mask_id = l.mask_id AND p.a = l.label GROUP BY 1),
+  cs AS (SELECT l.mask_id, count(*) AS after, count(*) FILTER (n > 1) AS joined, count(*) FILTER (n IS NULL) AS created FROM (SELECT DISTINCT mask_id, label FROM aa_l) l
+    LEFT JOIN (SELECT mask_id, b, count(*) AS n FROM pr GROUP BY 1, 2) p ON p.mask_id = l.mask_id AND p.b = l.label GROUP BY 1),
+  se AS (SELECT mask_id, coalesce(before, 0) AS before, coalesce(after, 0) AS after, coalesce(before, 0) - coalesce(deleted, 0) AS survived, coalesce(deleted, 0) AS deleted, coalesce(split, 0) AS split,
+    coalesce(joined, 0) AS joined, coalesce(created, 0) AS created FROM bs FULL JOIN cs USING (mask_id))"""
+
+
+@query("component_sets", f"WITH RECURSIVE {SETS} SELECT * FROM se")
+def component_sets(t):
+    """Components of a proposal against those of the material it replaces."""
+    return labellings.component_sets(t("cells_before"), t("cells_after"))
+
+
+@query(
+    "thin_neck_cores",
+    f"""WITH RECURSIVE cl AS (SELECT mask_id, CAST(cx AS BIGINT) AS x, CAST(cy AS BIGINT) AS y FROM {{mask_cells}}), {grown('cl', 'f4', FOUR)}, {grown('cl', 'f8', EIGHT)},
+       p AS (SELECT f8_l.mask_id, f8_l.label, count(DISTINCT f4_l.label) AS n FROM f8_l JOIN f4_l USING (mask_id, x, y) GROUP BY 1, 2)
+       SELECT mask_id, CAST(sum(n) AS BIGINT) AS cores, count(*) FILTER (n > 1) AS candidates, CAST(sum(n - 1) AS BIGINT) AS extra FROM p GROUP BY 1""",
+)
+def thin_neck_cores(t):
+    """Cells of 3x3 pixels hang together by corners only, which erosion takes away: the oracle counts 4-components within 8-components."""
+    return labellings.thin_necks(t("mask_pixels"))
+
+
+@query(
+    "refinement_components",
+    f"""WITH RECURSIVE {SETS}, {grown('{cells_before}', 'be', EIGHT)}, {grown('{cells_after}', 'ae', EIGHT)},
+       gr AS (SELECT mask_id, x, y FROM (SELECT DISTINCT mask_id FROM {{mask_cells}}) m, (SELECT unnest(range(-1, 9)) AS x) a, (SELECT unnest(range(-1, 9)) AS y) b),
+       bb AS (SELECT * FROM gr WHERE mask_id IN (SELECT mask_id FROM {{cells_before}}) EXCEPT SELECT mask_id, x, y FROM {{cells_before}}),
+       ab AS (SELECT * FROM gr WHERE mask_id IN (SELECT mask_id FROM {{cells_after}}) EXCEPT SELECT mask_id, x, y FROM {{cells_after}}),
+       {grown('bb', 'bh', FOUR)}, {grown('ab', 'ah', FOUR)},
+       n AS (SELECT mask_id, max(v) FILTER (k = 1) AS b8, max(v) FILTER (k = 2) AS a8, max(v) FILTER (k = 3) AS bh, max(v) FILTER (k = 4) AS ah FROM (
+         SELECT mask_id, 1 AS k, count(DISTINCT label) AS v FROM be_l GROUP BY 1 UNION ALL SELECT mask_id, 2, count(DISTINCT label) FROM ae_l GROUP BY 1
+         UNION ALL SELECT mask_id, 3, count(DISTINCT label) - 1 FROM bh_l GROUP BY 1 UNION ALL SELECT mask_id, 4, count(DISTINCT label) - 1 FROM ah_l GROUP BY 1) u GROUP BY 1),
+       px AS (SELECT mask_id, count(*) FILTER (p <> q) AS changed, sum(p) AS raw, sum(q) AS fresh FROM (SELECT mask_id, x, y, max(p) AS p, max(q) AS q FROM (
+         SELECT mask_id, x, y, 1 AS p, 0 AS q FROM {{cells_before}} UNION ALL SELECT mask_id, x, y, 0, 1 FROM {{cells_after}}) w GROUP BY 1, 2, 3) v GROUP BY 1)
+       SELECT px.mask_id, changed, nullif(concat_ws(',', CASE WHEN deleted > 0 THEN 'deletes_components' END, CASE WHEN changed > 0.04 * greatest(1, raw) THEN 'changes_too_much' END,
+         CASE WHEN after > before OR coalesce(a8, 0) > coalesce(b8, 0) THEN 'introduces_disconnected_regions' END, CASE WHEN coalesce(ah, 0) <> coalesce(bh, 0) THEN 'changes_holes' END,
+         CASE WHEN fresh = 0 THEN 'erases_material' END, CASE WHEN split > 0 THEN 'splits_components' END, CASE WHEN joined > 0 THEN 'joins_components' END), '') AS reasons
+       FROM px LEFT JOIN se USING (mask_id) LEFT JOIN n USING (mask_id)""",
+)
+def refinement_components(t):
+    """The component rules of the refinement gate."""
+    return labellings.refinement_reasons(t("cells_before"), t("cells_after"), 8, 8)

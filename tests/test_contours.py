@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawlake.functions import usage
-from drawlake.operators import compare, curves, leaders, nesting, pages, paths, register
+from drawlake.operators import compare, curves, labellings, leaders, nesting, pages, paths, register
 
 CURVE = "case_id int, ord int, kind string, sx double, sy double, ex double, ey double, cx double, cy double, radius double, start_angle double, sweep double, length double"
 
@@ -262,3 +262,20 @@ def test_token_counters_take_whole_numbers_only(spark):
     rows = table.select(*[v.alias(k) for k, v in usage.counters(F.col("document")).items()]).collect()
     assert {k: v for k, v in rows[0].asDict().items() if v is not None} == {"input_tokens": 5, "prompt_tokens_details__cached_tokens": 0}
     assert len(rows[0]) == 11 and all(v is None for r in rows[1:] for v in r)
+
+
+def test_components_of_two_labellings(spark):
+    before = ["XX..X.XX", "XX..X.X.", "....X.X.", "X.X.....", "X.XX...."]
+    after = ["X.XXX..X", "........", "....X...", "..XXXX..", "..X....."]
+    pixels = lambda rows, mask: [(mask, x, y) for y, row in enumerate(rows) for x, c in enumerate(row) if c == "X"]
+    wide = [(3, x, 0) for x in range(1000) if x % 100]  # runs over many stretches of one row
+    schema = "mask_id int, x int, y int"
+    a = spark.createDataFrame(pixels(before, 1) + [(2, 0, 0)] + wide, schema)
+    b = spark.createDataFrame(pixels(after, 1) + [(3, x, 0) for x in range(1000)], schema)
+    got = {r.mask_id: tuple(r)[1:] for r in labellings.component_sets(a, b).collect()}
+    # (before, after, survived, deleted, split, joined, created)
+    assert got == {1: (5, 4, 4, 1, 1, 1, 0), 2: (1, 0, 0, 1, 0, 0, 0), 3: (10, 1, 10, 0, 0, 1, 0)}
+    bar = [(1, x, y) for x in range(3) for y in range(3)] + [(1, x, 1) for x in range(3, 6)] + [(1, x, y) for x in range(6, 10) for y in range(4)] + [(2, x, y) for x in range(5) for y in range(5)] + [(3, 0, 0)]
+    necks = {r.mask_id: tuple(r)[1:] for r in labellings.thin_necks(spark.createDataFrame(bar, schema)).collect()}
+    assert necks == {1: (2, 1, 1), 2: (1, 0, 0), 3: (0, 0, 0)}
+    assert {r.mask_id: tuple(r)[1:] for r in labellings.thin_necks(spark.createDataFrame(bar, schema), least=2).collect()}[1] == (1, 0, 0)
