@@ -12,6 +12,7 @@ NAMES = [
     "evaluation_summary", "version_compare", "transport_summary", "distribution", "candidate_priority", "preflight_order",
     "parse_dimension", "reread_consensus", "label_stroke_join", "chain_split_asof", "scale_modes", "primitive_correspondence",
     "self_intersection", "constraint_residual", "interval_union", "mask_region_metrics", "near_duplicate_pairs", "job_sessions",
+    "ring_containment", "leader_visibility", "request_pages", "geometry_fingerprint", "self_intersection_mixed", "affine_fit_full", "token_usage_counters",
 ]
 
 
