@@ -16,16 +16,20 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import documents, ship
+from drawlake.llm.common import documents, settle, ship
 
 #: Tokens of a sequence, the id that ends a document, and documents to a block.
 CAPACITY, END_ID, BLOCK_DOCS = 2048, 0, 4096
+#: Documents and bytes that are encoded at once; a longer document is encoded alone.
+ROWS, BYTES = 2500, 4 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 _encoders: dict[str, Encoder] = {}
@@ -47,8 +51,10 @@ class Encoder:
     parts are not kept.  With ``plain``, literals of special tokens are ordinary text.
     """
 
-    #: The places where a cut is certain; texts without these pairs and other white space have no other spaces and line ends.
-    CUT, PAIRS = re.compile(r"(?<=\S)(?=[ \n]\S)"), ("  ", " \n", "\n ", "\n\n")
+    #: The places where a cut is certain.
+    CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    #: Texts without these have no other spaces and line ends: pairs of white space, white space at the end and of other kinds.
+    ODD = r"[ \n][ \n]|[ \n]$|[\x00-\x09\x0B-\x1F\x7F-\xA0]|\x{1680}|[\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}]"
     #: Characters of the longest part that is kept; bytes that an entry takes beside its contents.
     LONGEST, ENTRY = 64, 200
 
@@ -64,16 +70,36 @@ class Encoder:
         self.limit, self.size = limit, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.passing: list[str] = []
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def split(self, text: str) -> list[str]:
-        """The parts of a text whose ids do not depend on each other."""
-        if text[-1:] in (" ", "\n") or any(pair in text for pair in self.PAIRS) or not text.replace("\n", "").isprintable():
-            return self.CUT.split(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+    def split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct parts of texts without nulls, the parts of all texts by number, and how many each text has.
+
+        Parts are written as ``raw`` reads them.
+        """
+        odd = pc.match_substring_regex(texts, self.ODD)
+        plain = pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x01", texts.type), plain, pa.scalar("", texts.type)), " ")
+        coded = lists.flatten().dictionary_encode()
+        names, flat, many = coded.dictionary.to_pylist(), coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        if pc.any(odd).as_py():
+            known = {p: k for k, p in enumerate(names)}
+            own = [[known.setdefault("\x01" + p, len(known)) for p in self.CUT.split(t)] for t in texts.filter(odd).to_pylist()]
+            mask = odd.to_numpy(zero_copy_only=False)
+            every = np.empty(len(texts), np.int64)
+            every[~mask], every[mask] = many, [len(x) for x in own]
+            mixed = np.empty(every.sum(), np.int64)
+            at_odd = np.repeat(mask, every)
+            mixed[~at_odd], mixed[at_odd] = flat, np.fromiter(chain.from_iterable(own), np.int64)
+            names, flat, many = list(known), mixed, every
+        return names, flat, many
+
+    @staticmethod
+    def raw(name: str) -> str:
+        """The text of a part: one that opens with a line end and one that is marked stand for themselves, others lost their space."""
+        return name[1:] if name[:1] == "\x01" else name if name[:1] == "\n" else " " + name
 
     def fresh(self, parts: list[str]) -> dict[str, bytes]:
         """The ids of distinct parts, by the tokenizer."""
@@ -92,28 +118,38 @@ class Encoder:
                 found[part] = np.asarray(self._ids(part), dtype="<u4").tobytes()
         return found
 
-    def lookup(self, needed: set[str]) -> dict[str, bytes]:
-        """A table that holds at least the parts ``needed``."""
-        for part in self.passing:
-            self.young.pop(part, None)
-        missing = needed.difference(self.young)
-        self.passing = [p for p in missing if len(p) > self.LONGEST]
-        known = {p: self.old[p] for p in missing if p in self.old}
-        known |= self.fresh([p for p in missing if p not in known])
-        added = sum(map(len, known)) + sum(map(len, known.values())) + self.ENTRY * len(known)
+    def lookup(self, needed: list[str]) -> list[bytes]:
+        """The ids of distinct parts as ``split`` writes them; short ones are kept."""
+        found = list(map(self.young.get, needed))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in missing:
+            found[k] = self.old.get(needed[k])
+            if found[k] is None:
+                new.append(k)
+        raw = [self.raw(needed[k]) for k in new]
+        known = self.fresh(list(dict.fromkeys(raw)))
+        for k, part in zip(new, raw):
+            found[k] = known[part]
+        kept = {needed[k]: found[k] for k in missing if len(needed[k]) <= self.LONGEST}
+        added = sum(map(len, kept)) + sum(map(len, kept.values())) + self.ENTRY * len(kept)
         if self.size + added > self.limit:
-            kept = {p: self.young[p] for p in needed if p in self.young}
-            self.old, self.young, self.size = self.young, kept, added
-        else:
-            self.size += added
-        self.young |= known
-        return self.young
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young |= kept
+        self.size += added
+        return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text."""
-        cut = [self.split(t) for t in texts]
-        table = self.lookup(set().union(*cut))
-        return [b"".join(map(table.__getitem__, parts)) for parts in cut]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where those of each text end."""
+        parts, flat, many = self.split(texts)
+        ids = self.lookup(parts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(ids), "<u4")
+        own = sizes[flat]
+        after = np.cumsum(own)
+        places = np.arange(after[-1] if len(after) else 0) + np.repeat(starts[flat] - (after - own), own)
+        return table[places], np.concatenate([[0], after])[np.cumsum(many)]
 
 
 def encoder(path: str) -> Encoder:
@@ -136,18 +172,26 @@ def _pieces(path: str, capacity: int, end_id: int):
     def pieces(batches):
         code = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, ROWS)
+                while part.num_rows > 1 and part.nbytes > BYTES:
+                    part = part.slice(0, part.num_rows // 2)
+                at += part.num_rows
                 out = [[] for _ in range(5)]
-                for doc, ids in zip(part.column(0).to_pylist(), code.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids = memoryview(ids + end)
-                    for number, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                        row = (doc, number, start, length, zlib.crc32(ids[4 * start: 4 * (start + length)]))
+                ids, ends = code.encode(pc.fill_null(part.column(1), ""))
+                begin = 0
+                for doc, stop in zip(part.column(0).to_pylist(), ends.tolist()):
+                    own = memoryview(ids[begin:stop].tobytes() + end)
+                    begin = stop
+                    for number, (start, length) in enumerate(cuts(len(own) // 4, capacity)):
+                        row = (doc, number, start, length, zlib.crc32(own[4 * start: 4 * (start + length)]))
                         for column, value in zip(out, row):
                             column.append(value)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        settle()
 
     return pieces
 

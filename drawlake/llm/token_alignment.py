@@ -189,9 +189,9 @@ class Aligner:
         return [f"{x}|{y}" for x, y in zip(*sides)]
 
     def lookup(self, needed: list[str]) -> Aligned:
-        """The distinct parts ``needed``, in order.  Beyond the limit only these are kept for the next chunk."""
+        """The distinct parts ``needed``, as ``Encoder.split`` writes them, in order.  Beyond the limit only these are kept for the next chunk."""
         new = [p for p in needed if p not in self.place]
-        fresh = [self.align(new[at: at + PARTS_AT_ONCE]) for at in range(0, len(new), PARTS_AT_ONCE)]
+        fresh = [self.align([Encoder.raw(p) for p in new[at: at + PARTS_AT_ONCE]]) for at in range(0, len(new), PARTS_AT_ONCE)]
         self.place |= zip(new, range(len(self.place), len(self.place) + len(new)))
         self.kept = self.kept.joined(fresh)
         self.size += sum(sum(map(len, x.texts)) + 8 * len(x.codes) + self.ENTRY * len(x.texts) for x in fresh)
@@ -219,17 +219,20 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def chunk_row(code: Aligner, number: int, docs: list[tuple[int | None, str]]) -> dict:
     """The written row of one chunk of documents."""
-    held = [code.a.split(" " + text) if text else [] for _, text in docs]
-    held = [own if not own or own[0] else own[1:] for own in held]
-    place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(held)))}
-    held = [list(map(place.__getitem__, own)) for own in held]
-    parts = code.lookup(list(place))
-    if not parts.right.all():
-        held = [own if parts.right[own].all() else [] for own in held]
-    sizes = np.array([len(own) for own in held], np.int64)
-    flat = np.fromiter(chain.from_iterable(held), np.int64, int(sizes.sum()))
+    full = [bool(text) for _, text in docs]
+    names, flat, many = code.a.split(pa.array([" " + text for _, text in docs if text], pa.large_string()))
+    blank = np.fromiter((p == "\x01" for p in names), bool, len(names))  # a plain text is cut in front of its opening space too
+    sizes = np.zeros(len(docs), np.int64)
+    sizes[full] = many - _sums(blank[flat].astype(np.int64), many)
+    flat = (np.cumsum(~blank) - 1)[flat[~blank[flat]]]
+    parts = code.lookup([p for p in names if p != "\x01"])
+    wrong = np.repeat(_sums(~parts.right[flat] if len(flat) else flat, sizes) > 0, sizes)
+    sizes[_sums(wrong.astype(np.int64), sizes) > 0] = 0
+    flat = flat[~wrong]
     columns = [_sums(values[flat], sizes).tolist() for values in (parts.n_a, parts.n_b, parts.n_groups, parts.n_links)]
-    digests = [sha256(";".join(map(parts.texts.__getitem__, own)).encode()).hexdigest() if own else "" for own in held]
+    ends = np.cumsum(sizes).tolist()
+    texts = [parts.texts[k] for k in flat.tolist()]
+    digests = [sha256(";".join(texts[end - n: end]).encode()).hexdigest() if n else "" for n, end in zip(sizes.tolist(), ends)]
     names = [c.split()[0] for c in _DOC.split(", ")]
     rows = [dict(zip(names, row)) for row in zip([d for d, _ in docs], *columns, digests)]
     many = parts.n_links
