@@ -71,11 +71,10 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     plain.encode_special_tokens = True
     for theirs, ours in ((tokenizer, {}), (plain, {"plain": True})):
         code = packing.Encoder(packing.tokenizer_path(), limit=20_000, **ours)
-        for _ in range(2):
-            assert [np.frombuffer(b, "<u4").tolist() for b in code.encode(texts)] == [x.ids for x in theirs.encode_batch(texts, add_special_tokens=False)]
-            for text in texts:
-                assert np.frombuffer(code.encode([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
-            assert sum(map(len, code.young)) < 20_000 and max(map(len, code.old)) <= code.LONGEST
+        for some in (texts, texts[:5], texts[-5:], [], *([t] for t in texts), texts):
+            ids, ends = code.encode(pa.array(some, pa.string()))
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [x.ids for x in theirs.encode_batch(some, add_special_tokens=False)]
+            assert code.size <= 20_000 + 200 * 900 and max(map(len, [*code.old, *code.young]), default=0) <= code.LONGEST
     assert 50256 in tokenizer.encode(texts[9]).ids and 50256 not in plain.encode(texts[9]).ids
 
 
@@ -88,6 +87,36 @@ def test_two_documents_replace_the_smallest():
     assert np.bincount(number, weights=lengths).max() <= 100 and number.max() + 1 <= lengths.sum() / 100 * 1.03 + 1
 
 
+def test_choice_of_two_against_every_pair():
+    """Greedy fill, then the smallest piece gives way to the best two, by trying all of them."""
+    rng = random.Random(6)
+    for _ in range(150):
+        capacity = rng.choice([20, 50, 100])
+        left, bins = sorted(rng.choices(range(1, capacity + 1), k=rng.randint(1, 30))), []
+        lengths = np.array(left)
+        while left:
+            own, gap = [], capacity
+            while fits := [x for x in left if x <= gap]:
+                own.append(fits[-1])
+                left.remove(fits[-1])
+                gap -= fits[-1]
+            while gap:
+                small = min(own)
+                pairs = [(left[i], left[j]) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap + small]
+                if not pairs or max(map(sum, pairs)) <= small:
+                    break
+                gap += small - max(map(sum, pairs))
+                best = max(pairs, key=lambda p: (sum(p), abs(p[0] - p[1])))
+                own.remove(small)
+                left = sorted([*left, small])
+                for x in best:
+                    left.remove(x)
+                    own.append(x)
+            bins.append(sum(own))
+        number, _ = packing.best_two_fit(lengths, capacity)
+        assert np.bincount(number, weights=lengths).astype(int).tolist() == bins, lengths
+
+
 def targets(sizes, weights=(1, 2, 3), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -129,6 +158,28 @@ def test_mixing_meets_its_targets(spark, docs, rows, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_rates_solve_the_dual(docs):
+    """Rates are exponential in size, and meet the target of their source, as bisection finds them."""
+    by = {}
+    for r in mixing.mix(docs).collect():
+        by.setdefault(r.source, []).append(r)
+    solved = 0
+    for rows in by.values():
+        total, target = rows[0].source_size, rows[0].target
+        full = [r for r in rows if r.size]
+        if not full or target >= 3 * total:
+            assert all(r.rate == (3.0 if r.size else 0.0) for r in rows)
+            continue
+        mean, low, high = total / len(full), -60.0, 60.0
+        rate = lambda lam, n: min(3.0, math.exp(min(50.0, lam * n / mean)))
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(rate(middle, r.size) * r.size for r in full) < target else (low, middle)
+        assert [r.rate for r in full] == pytest.approx([rate(low, r.size) for r in full], rel=1e-4)
+        solved += 1
+    assert solved >= 2
+
+
 def test_targets_stop_at_the_cap(spark):
     sizes = {"a": 1000, "b": 10, "c": 5, "d": 400, None: 70}
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
@@ -204,15 +255,13 @@ def test_long_texts_hash_like_short_ones(monkeypatch):
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6).round(1)]) for i in range(150)]
-    rows += [(150, None), (151, [1.0, None, 2.0]), (200, [float("nan")] * 6), (250, [float("inf")] * 6), (153, rows[3][1]), (154, rows[3][1]), (155, [0.0] * 6), (100, rows[100][1])]
+    rows += [(150, None), (151, [1.0, None, 2.0]), (200, [float("nan")] * 6), (250, [float("inf")] * 6), (153, rows[3][1]), (154, rows[3][1]), (155, [0.0] * 6), (100, rows[100][1]), (50, [1.5, -2.0, 0.5, 0.0, 1.0, 3.0])]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows], "vec_id long, embedding array<float>, score string, rank string")
     good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, v in {i: v for i, v in good if i % 50 == 0}.items():
+    for q, v in {(i, tuple(v)) for i, v in good if i % 50 == 0}:  # an id with two vectors asks twice
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    from pyspark.sql import functions as F
-
     for blocks in ((2048, 2048), (16, 2)):
         got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5, index_block=blocks[0], query_block=blocks[1]).collect()
         assert sorted(map(tuple, got)) == sorted(want)
@@ -302,6 +351,14 @@ def test_gradients_by_differences():
         down = loss()
         model.p[name][at] += 1e-2
         assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=3e-3)
+    largest = np.argsort(-np.abs(grads["taps"]).ravel())[:6]  # the filters themselves
+    for at in zip(*np.unravel_index(largest, grads["taps"].shape)):
+        model.p["taps"][at] += 1e-3
+        up = loss()
+        model.p["taps"][at] -= 2e-3
+        down = loss()
+        model.p["taps"][at] += 1e-3
+        assert grads["taps"][at] == pytest.approx((up - down) / 2e-3, rel=0.05) and abs(grads["taps"][at]) > 1e-3
 
 
 def test_pipeline_against_brute_force(spark, docs, rows, tokenizer):

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from drawlake.llm import license_scan, line_dedup, line_quality, secret_scan
 
@@ -73,7 +74,7 @@ def test_secrets_of_an_empty_table(empty):
 
 def line_rule(line):
     chars = len(line.replace(" ", ""))
-    words = line.count(" ") + 1
+    words = len(WORD.findall(line))
     if not WORD.search(line):
         return 0
     if len(re.findall(r"[!-/:-@\[-`{-~]", line)) * 100 > chars * 15:
@@ -103,6 +104,8 @@ def test_line_first_against_brute_force(docs, rows):
 def test_line_first_rules(spark, empty):
     prose = "This line is plain prose that ends with a mark, as lines of a page do.\n" * 2
     other = "\n".join(" ".join(f"word{k * 9 + i}" for i in range(9)) + "." for k in range(12))
+    indented = ["\t\t  Home", "        About", "        one\ttwo\tthree\tfour five."]  # words are counted, not spaces
+    assert [r.rule for r in spark.createDataFrame(list(enumerate(indented)), "i long, line string").orderBy("i").select(line_quality.line_rule(F.col("line")).alias("rule")).collect()] == [2, 2, 0]
     texts = [prose + other, other + "\nHome | News | Sport | About | Contact\nAll rights reserved.", "\n".join("LOUD!! WORDS!! %%% ### $$$" for _ in range(20))]
     got = line_quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.kept for r in got] == [True, True, False]
@@ -126,7 +129,7 @@ def deduplicated(rows):
             if not WORD.search(line):
                 left.append(line)
                 continue
-            near = len(line) >= line_dedup.MIN_NEAR and any(len(x) >= line_dedup.MIN_NEAR and one_edit(x, line) for x in seen)
+            near = any(one_edit(x, line) for x in seen)
             if line not in first and not near:
                 left.append(line)
             if line not in first:
