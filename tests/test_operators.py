@@ -37,6 +37,24 @@ def test_nearest_segment_large_and_small_cases(spark):
         assert abs(got[case, pid] - want) < 1e-9
 
 
+def test_nearest_segment_pairs_bounded_cases_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    segments = [(case, *[rng.uniform(0, 50) for _ in range(4)]) for case, n in ((1, 300), (2, 7), (4, 30)) for _ in range(n)]
+    points = [(case, i % 40, rng.uniform(-9, 60), rng.uniform(-9, 60)) for case in (1, 2, 3, 4) for i in range(50)] + [(None, 0, 1.0, 1.0)]
+    tables = spark.createDataFrame(points, "case_id int, pid int, px double, py double"), spark.createDataFrame(segments, "case_id int, sx double, sy double, ex double, ey double")
+    want = {}
+    for case, pid, px, py in points:  # ids may repeat
+        near = min((brute_distance(px, py, s[1:]) for s in segments if s[0] == case), default=None)
+        want[case, pid] = min((d for d in (near, want.get((case, pid))) if d is not None), default=None)
+    whole = spatial.nearest_segment(*tables, "case_id", ["pid"])
+    assert "Generate" not in whole._jdf.queryExecution().executedPlan().toString()  # nothing is copied into cells
+    monkeypatch.setattr(spatial, "MOST_SHAPES", 100)
+    for rows in (whole, spatial.nearest_segment(*tables, "case_id", ["pid"])):
+        got = {(r["case_id"], r["pid"]): r["distance"] for r in rows.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] is None if v is None else abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_group_quantiles_of_a_hot_and_a_small_group(spark):
     values = np.random.default_rng(1).normal(size=30_000).round(3)
     rows = spark.range(30_000).selectExpr("id").toPandas()
