@@ -7,21 +7,22 @@ sweep turns left, and the arc columns of a LINE are null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from drawlake.operators.spatial import cells_of_box, segment_distance
+from drawlake.operators.spatial import MOST_POINTS, MOST_SHAPES, cells_of_box, large_cases, segment_distance
 from drawlake.session import checkpoint
 
 SHAPE = ["kind", "sx", "sy", "ex", "ey", "cx", "cy", "radius", "start_angle", "sweep", "length"]
 TURN = 2 * math.pi
 
 
-def is_arc() -> Column:
-    return F.col("kind") == "ARC"
+def is_arc(of: Callable[[str], Column] = F.col) -> Column:
+    return of("kind") == "ARC"
 
 
 def point_at(share: Column) -> tuple[Column, Column]:
@@ -32,18 +33,18 @@ def point_at(share: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def on_sweep(angle: Column, slack: float = 1e-12) -> Column:
+def on_sweep(angle: Column, slack: float = 1e-12, of: Callable[[str], Column] = F.col) -> Column:
     """Whether a direction from the centre lies on the arc."""
-    offset = F.when(F.col("sweep") >= 0, angle - F.col("start_angle")).otherwise(F.col("start_angle") - angle)
-    return F.pmod(offset, F.lit(TURN)) <= F.abs("sweep") + slack
+    offset = F.when(of("sweep") >= 0, angle - of("start_angle")).otherwise(of("start_angle") - angle)
+    return F.pmod(offset, F.lit(TURN)) <= F.abs(of("sweep")) + slack
 
 
-def distance(px: Column, py: Column) -> Column:
-    """Distance of a point to a curve."""
-    line = segment_distance(px, py, F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
-    ends = F.least(F.hypot(px - F.col("sx"), py - F.col("sy")), F.hypot(px - F.col("ex"), py - F.col("ey")))
-    round_ = F.abs(F.hypot(px - F.col("cx"), py - F.col("cy")) - F.col("radius"))
-    return F.when(is_arc(), F.when(on_sweep(F.atan2(py - F.col("cy"), px - F.col("cx"))), round_).otherwise(ends)).otherwise(line)
+def distance(px: Column, py: Column, of: Callable[[str], Column] = F.col) -> Column:
+    """Distance of a point to a curve; ``of`` gives the curve's columns."""
+    line = segment_distance(px, py, of("sx"), of("sy"), of("ex"), of("ey"))
+    ends = F.least(F.hypot(px - of("sx"), py - of("sy")), F.hypot(px - of("ex"), py - of("ey")))
+    round_ = F.abs(F.hypot(px - of("cx"), py - of("cy")) - of("radius"))
+    return F.when(is_arc(of), F.when(on_sweep(F.atan2(py - of("cy"), px - of("cx")), of=of), round_).otherwise(ends)).otherwise(line)
 
 
 def sample(curves: DataFrame, step: Column | float) -> DataFrame:
@@ -64,15 +65,62 @@ def _boxes(curves: DataFrame, size: Column) -> DataFrame:
     return rows.withColumns({"_x0": F.least(ax, bx) - bulge, "_y0": F.least(ay, by) - bulge, "_x1": F.greatest(ax, bx) + bulge, "_y1": F.greatest(ay, by) + bulge}).drop("_k", "_i")
 
 
+def nearest(points: DataFrame, curves: DataFrame, point_id: list[str], case: str = "case_id") -> DataFrame:
+    """``(case, *point_id, distance)`` to the nearest curve; cases without curves give no rows.
+
+    In cases of bounded size each point meets all curves in the task that holds the case; larger ones go through ``nearest_k``.
+    """
+    points, curves = points.select(case, *point_id, "px", "py"), curves.select(case, "ord", *SHAPE)
+
+    def inside(points: DataFrame, curves: DataFrame) -> DataFrame:
+        return points.join(curves.drop("ord").hint("merge"), case).groupBy(case, *point_id).agg(F.min(distance(F.col("px"), F.col("py"))).alias("distance"))
+
+    large = large_cases([(points, MOST_POINTS), (curves, MOST_SHAPES)], case)
+    if large is None:
+        return inside(points, curves)
+    rest = inside(*[rows.join(large, case, "left_anti") for rows in (points, curves)])
+    return rest.unionByName(_nearest_by_cells(*[rows.join(large, case, "left_semi") for rows in (points, curves)], 1, point_id, "ord", case).select(*rest.columns))
+
+
 def nearest_k(points: DataFrame, curves: DataFrame, k: int, point_id: list[str], curve_id: str = "ord", case: str = "case_id") -> DataFrame:
     """``(case, *point_id, curve_id, distance, rank)``: the ``k`` nearest curves of every point; all of a case with fewer.
 
     Distances that agree to nine decimals tie, and ties go by id.
 
+    In cases of bounded size the curves are one list, which each point ranks in the task that holds the case; larger cases go
+    through cells.  Cases without curves give no rows.
+    """
+    points, curves = points.select(case, *point_id, "px", "py"), curves.select(case, curve_id, *SHAPE)
+    large = large_cases([(points, MOST_POINTS), (curves, MOST_SHAPES)], case)
+    if large is None:
+        return _nearest_in_list(points, curves, k, point_id, curve_id, case)
+    rest = _nearest_in_list(*[rows.join(large, case, "left_anti") for rows in (points, curves)], k, point_id, curve_id, case)
+    found = _nearest_by_cells(*[rows.join(large, case, "left_semi") for rows in (points, curves)], k, point_id, curve_id, case)
+    return rest.unionByName(found.select(*rest.columns))
+
+
+def _nearest_in_list(points: DataFrame, curves: DataFrame, k: int, point_id: list[str], curve_id: str, case: str) -> DataFrame:
+    lists = curves.groupBy(case).agg(F.collect_list(F.struct(curve_id, *SHAPE)).alias("_curves"))
+    ids = F.transform("_curves", lambda c: c[curve_id])
+    lists = lists.withColumn("_plain", F.size("_curves") == F.size(F.array_distinct(ids)))
+    far = lambda c: distance(F.col("px"), F.col("py"), lambda name: c[name])
+    ways = F.array_sort(F.transform("_curves", lambda c: F.struct(far(c).alias("distance"), c[curve_id].alias("id"))))
+    # All up to the k-th rounded distance stay, since ties go by id; all of them where an id has several curves.
+    last = F.when(F.col("_plain"), F.round(F.element_at("_ways", F.least(F.lit(k), F.size("_ways")))["distance"], 9)).otherwise(float("inf"))
+    near = points.join(lists.hint("merge"), case).withColumn("_ways", ways).withColumn("_last", last)
+    near = near.select(case, *point_id, F.explode(F.filter("_ways", lambda w: F.round(w["distance"], 9) <= F.col("_last"))).alias("_w"))
+    each = near.groupBy(case, *point_id, F.col("_w.id").alias(curve_id)).agg(F.min("_w.distance").alias("distance"))
+    order = Window.partitionBy(case, *point_id).orderBy(F.round("distance", 9), curve_id)
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest_by_cells(points: DataFrame, curves: DataFrame, k: int, point_id: list[str], curve_id: str, case: str) -> DataFrame:
+    """``nearest_k`` of cases of any size.
+
     A round looks for a point's curves in the 3x3 cells around it.  What lies outside them is further than a cell's size, so a
     point whose ``k`` nearest are within that is done; the others look again in cells of four times the size.  The
     first cells are sized by the case's number of curves, the last hold the whole case.  A round is one join on
-    (case, cell), written to the shared checkpoint folder.  Cases without curves give no rows.
+    (case, cell), written to the shared checkpoint folder.
     """
     # An arc lies within twice its radius of its ends.
     wide = F.when(is_arc(), 2 * F.col("radius")).otherwise(0.0)

@@ -94,7 +94,7 @@ def all_pairs(source, target):
 
 def mixed_distances(source, target):
     spots = curves.sample(source, STEP).select("case_id", "ord", "sample", "px", "py").withColumnRenamed("ord", "of")
-    found = curves.nearest_k(spots, target, 1, ["of", "sample"])
+    found = curves.nearest(spots, target, ["of", "sample"])
     return found.select("case_id", F.col("of").alias("ord"), "sample", "distance")
 
 

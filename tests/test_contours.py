@@ -67,6 +67,34 @@ def test_k_nearest_curves_equal_brute_force(spark, drawing):
     assert curves.nearest_k(points.limit(0), table, 2, ["point"]).collect() == []
 
 
+def test_nearest_curves_in_bounded_and_large_cases(spark, monkeypatch):
+    rng = random.Random(11)
+    shapes = []
+    for case, n in ((1, 40), (2, 6)):
+        for i in range(n):
+            x, y = rng.uniform(0, 60), rng.uniform(0, 60)
+            ids = (case, i // 2 if case == 2 else i)  # ids of case 2 repeat
+            shapes.append(line(*ids, x, y, x + 4, y - 3) if i % 3 else arc(*ids, x, y, 5.0, 0.5, 2.0))
+    spots = [(case, i % 25, rng.uniform(-20, 80), rng.uniform(-20, 80)) for case in (1, 2, 3) for i in range(30)]  # so do those of points
+    points, table = spark.createDataFrame(spots, "case_id int, point int, px double, py double"), spark.createDataFrame(shapes, CURVE)
+    ways = {}
+    for case, point, px, py in spots:
+        for c in (c for c in shapes if c[0] == case):
+            ways.setdefault((case, point), {}).setdefault(c[1], []).append(far(px, py, c))
+    want = {k: sorted((min(d), i) for i, d in v.items())[:4] for k, v in ways.items()}
+    lists, single = curves.nearest_k(points, table, 4, ["point"]), curves.nearest(points, table, ["point"])
+    assert "_cell" not in lists._jdf.queryExecution().toString() + single._jdf.queryExecution().toString()
+    monkeypatch.setattr(curves, "MOST_SHAPES", 20)
+    for rows, one in ((lists, single), (curves.nearest_k(points, table, 4, ["point"]), curves.nearest(points, table, ["point"]))):
+        got = {}
+        for r in rows.orderBy("rank").collect():
+            got.setdefault((r.case_id, r.point), []).append((r.distance, r.ord))
+        assert got.keys() == want.keys()
+        for key, near in want.items():
+            assert [i for _, i in got[key]] == [i for _, i in near] and [d for d, _ in got[key]] == pytest.approx([d for d, _ in near], abs=1e-6)
+        assert {(r.case_id, r.point): r.distance for r in one.collect()} == pytest.approx({k: v[0][0] for k, v in want.items()}, abs=1e-6)
+
+
 def test_crossings_of_lines_and_arcs(spark):
     shapes = [line(1, 0, -10.0, 0.5, 10.0, 0.5), arc(1, 1, 0.0, 0.0, 5.0, 0.0, math.pi), arc(1, 2, 4.0, 0.0, 5.0, 0.0, 2 * math.pi - 1e-6), line(1, 3, 0.0, -8.0, 0.0, 8.0), line(1, 4, 0.0, 8.0, 3.0, 8.0)]
     got = Counter((r.first, r.second) for r in curves.crossings(spark.createDataFrame(shapes, CURVE), 2.0).select(F.col("first"), F.col("second")).collect())
