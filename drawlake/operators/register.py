@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.operators.curves import SHAPE, point_at
 from drawlake.operators.prefix import running_total
-from drawlake.session import checkpoint
 
 #: The eight signed axis permutations ``(a, b, c, d)``: x' = a x + b y, y' = c x + d y.
 TURNS = ((1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (0, 1, -1, 0), (-1, 0, 0, 1), (1, 0, 0, -1), (0, 1, 1, 0), (0, -1, -1, 0))
 #: Samples of either contour, and rounds of alignment.
 SAMPLES, ROUNDS = 32, 5
+#: Cases that a task aligns at once.
+ROWS = 2
 
 
 def along(curves: DataFrame, samples: int) -> DataFrame:
@@ -29,28 +35,45 @@ def along(curves: DataFrame, samples: int) -> DataFrame:
     return rows.select("case_id", "i", x.alias("x"), y.alias("y"))
 
 
-def _listed(points: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _listed(points: DataFrame, name: str) -> DataFrame:
     """The points of a contour in one row; their number is bounded by ``samples``."""
-    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias(name))
-    middle = lambda c: (F.array_min(F.transform(name, lambda p: p[c])) + F.array_max(F.transform(name, lambda p: p[c]))) / 2
-    mean = lambda c: F.aggregate(name, F.lit(0.0), lambda s, p: s + p[c]) / F.size(name)
-    return rows.withColumns({f"{name}_{k}{c}": f(c) for k, f in (("c", middle), ("m", mean)) for c in "xy"})
+    return points.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias(name))
 
 
-def _measured(state: DataFrame) -> DataFrame:
-    """``state`` with the mean ways to the nearest points in both directions (``px, py``, ``rx, ry``) and the loss.
+def _nearest_ways(x: np.ndarray, y: np.ndarray, d: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of the ways with the least ``d`` along an axis, ties by x, then by y, and of their ``d``."""
+    least = d.min(axis, keepdims=True)
+    wx = np.where(d == least, x, np.inf)
+    nx = wx.min(axis, keepdims=True)
+    ny = np.where(wx == nx, y, np.inf).min(axis)
+    return nx.squeeze(axis).mean(0), ny.mean(0), least.squeeze(axis).mean(0)
+
+
+def _aligned(p: np.ndarray, r: np.ndarray, rounds: int, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``dx, dy, loss`` by (case, turn, start) of points ``(case, sample, 2)`` after all rounds."""
+    p = np.einsum("kab,nsb->nksa", moves, p)
+    middle, mean = lambda v: (v.min(-2) + v.max(-2)) / 2, lambda v: v.mean(-2)
+    shift = [np.stack([f(r)[:, None, c] - f(p)[..., c] for f in (middle, mean)], axis=2) for c in (0, 1)]
+    # Samples of both sides come first and jobs are one axis, so minima run over long stretches of jobs.
+    shape = shift[0].shape
+    shift = [v.ravel() for v in shift]
+    gap = [np.repeat((r[..., c].T[None, :, :, None] - np.moveaxis(p[..., c], 2, 0)[:, None]).reshape(p.shape[2], r.shape[1], -1), 2, axis=2) for c in (0, 1)]
+    for left in range(rounds, -1, -1):
+        x, y = (gap[c] - shift[c] for c in (0, 1))
+        d = x * x + y * y
+        px, py, pd = _nearest_ways(x, y, d, 1)
+        rx, ry, rd = _nearest_ways(-x, -y, d, 0)
+        if left:
+            shift = [shift[0] + (px - rx) / 2, shift[1] + (py - ry) / 2]
+    return tuple(v.reshape(shape) for v in (*shift, (pd + rd) / 2))
 
-    The points of a job are paired inside its row, ``samples`` times ``samples`` of them, and leave the task as one row a
-    sample and direction.
-    """
-    job = ["case_id", "turn", "start"]
-    each = state.select(*job, "dx", "dy", "r", F.explode("p").alias("p")).select(*job, "dx", "dy", "p", F.explode("r").alias("r"))
-    x, y = F.col("r.x") - F.col("p.x") - F.col("dx"), F.col("r.y") - F.col("p.y") - F.col("dy")
-    pairs = each.select(*job, F.col("p.i").alias("pi"), F.col("r.i").alias("ri"), x.alias("x"), y.alias("y")).withColumn("d", F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    there = pairs.groupBy(*job, "pi").agg(F.min(F.struct("d", "x", "y")).alias("n"))
-    back = pairs.groupBy(*job, "ri").agg(F.min(F.struct("d", -F.col("x"), -F.col("y")).cast("struct<d:double,x:double,y:double>")).alias("n"))
-    means = [rows.groupBy(*job).agg(*[F.avg(f"n.{c}").alias(f"{side}{c}") for c in "xyd"]) for side, rows in (("p", there), ("r", back))]
-    return state.join(means[0], job).join(means[1], job).withColumn("loss", (F.col("pd") + F.col("rd")) / 2)
+
+def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First place of every list and all points."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    size = np.asarray(pc.list_value_length(column))
+    return np.concatenate([[0], np.cumsum(size)]), np.stack([np.asarray(flat.field(c)) for c in ("x", "y")], axis=1)
 
 
 def register(predicted: DataFrame, reference: DataFrame, samples: int = SAMPLES, rounds: int = ROUNDS, turns: tuple = TURNS) -> DataFrame:
@@ -59,19 +82,31 @@ def register(predicted: DataFrame, reference: DataFrame, samples: int = SAMPLES,
     Either contour is represented by ``samples`` points at equal steps of its length, whatever its number of curves.  Every
     orientation starts from the difference of box centres (start 0) and of centroids (start 1).  A round finds the nearest
     point on the other side for every sample, in either direction, and moves by the mean of both residuals, which is the
-    least-squares translation for those neighbours; the mean squared distance of both directions never rises.  All
-    orientations and starts of all cases take part in one keyed shuffle a round, whose offsets are written to the shared
-    checkpoint folder.  The lowest loss after the last round wins, ties (to nine decimals) by orientation and start.  Cases
+    least-squares translation for those neighbours; the mean squared distance of both directions never rises.  A case is one
+    row of at most ``samples`` points a side, so all its rounds run in the task that holds the row and only points are
+    shuffled.  The lowest loss after the last round wins, ties (to nine decimals) by orientation and start.  Cases
     with a contour on one side only, or without length, give no row.
     """
-    moves = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), *[F.lit(float(v)).alias(n) for n, v in zip("abcd", m)]) for k, m in enumerate(turns)])).alias("m")
-    turned = along(predicted, samples).select("case_id", "i", "x", "y", moves).select(
-        "case_id", "m.turn", "i", (F.col("m.a") * F.col("x") + F.col("m.b") * F.col("y")).alias("x"), (F.col("m.c") * F.col("x") + F.col("m.d") * F.col("y")).alias("y"))
-    both = _listed(turned, ["case_id", "turn"], "p").join(_listed(along(reference, samples), ["case_id"], "r"), "case_id")
-    starts = [F.struct(F.lit(k).alias("start"), (F.col(f"r_{n}x") - F.col(f"p_{n}x")).alias("dx"), (F.col(f"r_{n}y") - F.col(f"p_{n}y")).alias("dy")) for k, n in enumerate("cm")]
-    state = checkpoint(both.select("case_id", "turn", "p", "r", F.explode(F.array(*starts)).alias("s")).select("case_id", "turn", "s.*", "p", "r"))
-    for _ in range(rounds):
-        now = _measured(state)
-        state = checkpoint(now.select("case_id", "turn", "start", (F.col("dx") + (F.col("px") - F.col("rx")) / 2).alias("dx"), (F.col("dy") + (F.col("py") - F.col("ry")) / 2).alias("dy"), "p", "r"))
-    best = _measured(state).groupBy("case_id").agg(F.min(F.struct(F.round("loss", 9).alias("order"), "turn", "start", "dx", "dy", "loss")).alias("b"))
-    return best.select("case_id", "b.turn", "b.start", "b.dx", "b.dy", "b.loss")
+    both = _listed(along(predicted, samples), "p").join(_listed(along(reference, samples), "r"), "case_id")
+    moves = np.array(turns, dtype=float).reshape(-1, 2, 2)
+    jobs = len(moves) * 2
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                (pa0, ps), (ra0, rs) = _points(part.column("p")), _points(part.column("r"))
+                sizes = np.stack([np.diff(pa0), np.diff(ra0)], axis=1)
+                found = np.empty((3, part.num_rows, len(moves), 2))
+                for n, m in np.unique(sizes, axis=0):  # one pair of sizes, but for lengths that rounding moves
+                    rows = np.flatnonzero((sizes == (n, m)).all(1))
+                    found[:, rows] = _aligned(ps[pa0[rows, None] + np.arange(n)], rs[ra0[rows, None] + np.arange(m)], rounds, moves)
+                turn, first = np.divmod(np.arange(part.num_rows * jobs) % jobs, 2)
+                each = pa.StructArray.from_arrays([pa.array(turn.astype(np.int32)), pa.array(first.astype(np.int32)), *[pa.array(v.ravel()) for v in found]], ["turn", "start", "dx", "dy", "loss"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * np.int32(jobs)), each)
+                yield pa.RecordBatch.from_arrays([part.column("case_id"), lists], ["case_id", "jobs"])
+
+    kind = both.schema["case_id"].dataType.simpleString()
+    rows = both.select("case_id", "p", "r").mapInArrow(align, f"case_id {kind}, jobs array<struct<turn:int,start:int,dx:double,dy:double,loss:double>>")
+    best = F.array_min(F.transform("jobs", lambda j: F.struct(F.round(j["loss"], 9).alias("order"), *[j[c].alias(c) for c in ("turn", "start", "dx", "dy", "loss")])))
+    return rows.select("case_id", best.alias("b")).select("case_id", "b.turn", "b.start", "b.dx", "b.dy", "b.loss")

@@ -114,6 +114,14 @@ def test_area_and_reflection(spark):
             curves.turned(table, wrong)
 
 
+def test_registration_shuffles_points_only(spark):
+    ring = [line(case, k, x, y, x + dx, y + dy) for case in (1, 2) for k, (x, y, dx, dy) in enumerate(((0.0, 0.0, 9.0, 0.0), (9.0, 0.0, 0.0, 4.0), (9.0, 4.0, -9.0, -4.0)))]
+    table = spark.createDataFrame(ring, CURVE)
+    rows = register.register(curves.turned(table, (0, -1, 1, 0)), table)
+    assert "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString()  # the rounds write nothing
+    assert {(r.case_id, r.turn) for r in rows.collect()} == {(1, 3), (2, 3)}
+
+
 def test_registration_finds_the_planted_turn_and_shift(spark):
     rng = random.Random(2)
     reference, predicted = [], []
