@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.operators import masks
-from drawlake.operators.spatial import components
+from drawlake.operators.spatial import components, large_cases
 from drawlake.session import checkpoint
 
 #: Pixels of a stretch of an image row in which runs of two labellings meet.
@@ -14,8 +17,34 @@ STRETCH = 64
 
 
 def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
-    """``(mask_id, y, x0, x1, label)``: horizontal runs with the first run of their component."""
+    """``(mask_id, y, x0, x1, label)``: horizontal runs with the first run of their component.
+
+    Masks of bounded size are labelled as one list, larger ones in rounds over all their runs.
+    """
     rows = checkpoint(masks.runs(pixels))
+    large = large_cases([(rows, masks.MOST_RUNS)], "mask_id")
+    if large is None:
+        return _labelled_in_lists(rows, diagonal)
+    few, many = (rows.join(large, "mask_id", how) for how in ("left_anti", "left_semi"))
+    return _labelled_in_lists(few, diagonal).unionByName(_labelled_by_rounds(many, diagonal))
+
+
+def _labelled_in_lists(rows: DataFrame, diagonal: bool) -> DataFrame:
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = []
+            for run_list in masks.as_tuples(batch.column("runs")):
+                named.append([f"{run_list[i][0]}:{run_list[i][1]}" for i in masks.roots(run_list, int(diagonal))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.list_(pa.string()))], ["mask_id", "runs", "labels"])
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("mask_id", "y", "x0", "x1")}
+    run = "array<struct<y:bigint,x0:bigint,x1:bigint>>"
+    found = masks.in_lists(rows).mapInArrow(label, f"mask_id {kind['mask_id']}, runs {run}, labels array<string>")
+    each = found.select("mask_id", F.explode(F.arrays_zip("runs", "labels")).alias("r"))
+    return each.select("mask_id", *[F.col(f"r.runs.{c}").cast(kind[c]).alias(c) for c in ("y", "x0", "x1")], F.col("r.labels").alias("label"))
+
+
+def _labelled_by_rounds(rows: DataFrame, diagonal: bool) -> DataFrame:
     nodes, edges = masks.run_edges(rows, "c", diagonal)
     found = components(edges, nodes)
     name = F.concat_ws(":", F.col("component.y").cast("string"), F.col("component.x0").cast("string"))

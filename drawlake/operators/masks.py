@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from drawlake.operators.quantiles import group_quantiles
-from drawlake.operators.spatial import components, nearest_segment
+from drawlake.operators.spatial import components, large_cases, nearest_segment
 from drawlake.session import checkpoint
 
+#: Runs of a mask up to which it is labelled in one task, and boundary pixels up to which two are compared in one.
+MOST_RUNS, MOST_PIXELS = 16384, 8192
+
 
 def overlap_counts(predicted: DataFrame, target: DataFrame) -> DataFrame:
     """Pixel counts of both masks and of their intersection, one row per mask."""
@@ -54,9 +62,7 @@ def boundary_metrics(predicted: DataFrame, target: DataFrame, dims: DataFrame, t
     Two empty masks agree with distance 0; with one empty mask the scores are 0 and the distances null.
     """
     p, r = checkpoint(boundary(predicted)), checkpoint(boundary(target))
-    both = boundary_distances(p, r).select("mask_id", "distance", F.lit("f").alias("side")).unionByName(
-        boundary_distances(r, p).select("mask_id", "distance", F.lit("b").alias("side"))
-    ).where(F.col("distance").isNotNull())
+    both = distances_both_ways(p, r)
     mean = both.groupBy("mask_id", "side").agg(F.avg("distance").alias("mean"), F.avg((F.col("distance") <= tolerance).cast("int")).alias("near"))
     tail = group_quantiles(both, ["mask_id", "side"], "distance", {"q": 0.95})
     side = F.col("side") == "f"
@@ -104,6 +110,48 @@ def boundary_distances(source: DataFrame, target: DataFrame) -> DataFrame:
     return nearest_segment(keyed, dots, "mask_id", ["ix", "iy"])
 
 
+def distances_both_ways(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(mask_id, distance, side)``: side f from each pixel of ``a`` to the nearest of ``b``, side b the other way; none with one side empty.
+
+    Masks of bounded size have their pixels in two lists, which are compared in the task that holds the row.
+    """
+    large = large_cases([(a, MOST_PIXELS), (b, MOST_PIXELS)], "mask_id")
+    if large is None:
+        return _distances_in_lists(a, b)
+    few, many = ([rows.join(large, "mask_id", how) for rows in (a, b)] for how in ("left_anti", "left_semi"))
+    far = boundary_distances(*many).select("mask_id", "distance", F.lit("f").alias("side")).unionByName(
+        boundary_distances(*many[::-1]).select("mask_id", "distance", F.lit("b").alias("side"))
+    ).where(F.col("distance").isNotNull())
+    return _distances_in_lists(*few).unionByName(far)
+
+
+def _distances_in_lists(a: DataFrame, b: DataFrame) -> DataFrame:
+    def spots(column: pa.Array) -> list[np.ndarray]:
+        flat = column.flatten()
+        each = np.stack([np.asarray(flat.field(c), dtype=float) for c in ("x", "y")], axis=1)
+        return np.split(each, np.cumsum(np.asarray(pc.list_value_length(column)))[:-1])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, back = [], []
+            for p, q in zip(spots(batch.column("a")), spots(batch.column("b"))):
+                nearest, rows = np.full(len(q), np.inf), []
+                for part in np.array_split(p, -(-len(p) // 256)):  # a bounded piece of all pairs
+                    square = (part[:, None, 0] - q[:, 0]) ** 2 + (part[:, None, 1] - q[:, 1]) ** 2
+                    rows.append(square.min(1))
+                    nearest = np.minimum(nearest, square.min(0))
+                there.append(np.sqrt(np.concatenate(rows)))
+                back.append(np.sqrt(nearest))
+            lists = [pa.array(v, pa.list_(pa.float64())) for v in (there, back)]
+            yield pa.RecordBatch.from_arrays([batch.column("mask_id"), *lists], ["mask_id", "f", "b"])
+
+    lists = [p.groupBy("mask_id").agg(F.collect_list(F.struct("x", "y")).alias(n)) for p, n in ((a, "a"), (b, "b"))]
+    kind = a.schema["mask_id"].dataType.simpleString()
+    found = lists[0].join(lists[1], "mask_id").mapInArrow(compare, f"mask_id {kind}, f array<double>, b array<double>")
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("d")) for n in "fb"])).alias("s")
+    return found.select("mask_id", sides).select("mask_id", F.explode("s.d").alias("distance"), F.col("s.side").alias("side"))
+
+
 def runs(pixels: DataFrame) -> DataFrame:
     """Horizontal runs of foreground; a window never holds more than one image row."""
     row = Window.partitionBy("mask_id", "y").orderBy("x")
@@ -131,24 +179,103 @@ def run_edges(run_rows: DataFrame, kind: str, diagonal: bool) -> tuple[DataFrame
     return run_rows.select(node.alias("node")), touching.select("a", "b")
 
 
+def in_lists(run_rows: DataFrame) -> DataFrame:
+    """``(mask_id, runs)``: the runs of each mask in one row, in order; for masks of bounded size."""
+    return run_rows.groupBy("mask_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1")]))).alias("runs"))
+
+
+def roots(run_list: list[tuple[int, int, int]], reach: int) -> list[int]:
+    """For each of the ordered runs ``(y, x0, x1)`` of a mask, the place of the first run of its component."""
+    parent, by_row, starts = list(range(len(run_list))), {}, {}
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def tie(i: int, k: int) -> None:
+        i, k = find(i), find(k)
+        parent[max(i, k)] = min(i, k)
+
+    for i, (y, x0, _) in enumerate(run_list):
+        by_row.setdefault(y, []).append(i)
+        tie(starts.setdefault((y, x0), i), i)  # runs with one start are one node
+    for y, row in by_row.items():
+        below, first = by_row.get(y + 1, ()), 0
+        for i in row:
+            _, x0, x1 = run_list[i]
+            while first < len(below) and run_list[below[first]][2] + reach < x0:
+                first += 1
+            for k in below[first:]:
+                if run_list[k][1] > x1 + reach:
+                    break
+                if run_list[k][2] + reach >= x0:
+                    tie(i, k)
+    return [find(i) for i in range(len(run_list))]
+
+
+def gaps(run_list: list[tuple[int, int, int]], width: int, height: int) -> list[tuple[int, int, int]]:
+    """Background runs of a mask padded by one pixel, in order."""
+    by_row = {}
+    for y, x0, x1 in run_list:
+        by_row.setdefault(y, []).append((x0, x1))
+    found = []
+    for y in sorted({*by_row, *range(-1, height + 1)}):
+        edge = [(-2, -2), (width + 1, width + 1)] if -1 <= y <= height else []
+        row = sorted(by_row.get(y, []) + edge)
+        found += [(y, here[1] + 1, after[0] - 1) for here, after in zip(row, row[1:]) if after[0] - here[1] > 1]
+    return found
+
+
+def as_tuples(runs: pa.Array) -> list[list[tuple[int, int, int]]]:
+    flat = runs.flatten()
+    ends = np.cumsum([0, *pc.list_value_length(runs).to_pylist()])
+    rows = list(zip(*[flat.field(c).to_pylist() for c in ("y", "x0", "x1")]))
+    return [rows[i:k] for i, k in zip(ends, ends[1:])]
+
+
 def topology(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Components under both adjacencies, holes and Euler numbers, one row per mask.
 
-    The four labellings share one component run; the adjacency is part of the node.
+    Runs of a mask of bounded size are one list, which is labelled in the task that holds the row; the four labellings of
+    larger masks share one component run, in which the adjacency is part of the node.
     """
     rows = checkpoint(runs(pixels))
+    large = large_cases([(rows, MOST_RUNS)], "mask_id")
+    if large is None:
+        counts = _counts_in_lists(rows, width, height)
+    else:
+        few, many = (rows.join(large, "mask_id", how) for how in ("left_anti", "left_semi"))
+        counts = _counts_in_lists(few, width, height).unionByName(_counts_by_rounds(many, width, height))
+    # The padded border belongs to one background component, which is not a hole.
+    out = counts.select("mask_id", F.col("f4").alias("components_4"), F.col("f8").alias("components_8"), (F.col("b8") - 1).alias("holes_4"), (F.col("b4") - 1).alias("holes_8"))
+    return out.withColumns({
+        "euler_4": F.col("components_4") - F.col("holes_4"), "euler_8": F.col("components_8") - F.col("holes_8"),
+        "diagonal_contact": F.col("components_4") != F.col("components_8"),
+    })
+
+
+def _counts_in_lists(rows: DataFrame, width: int, height: int) -> DataFrame:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {"f4": [], "f8": [], "b4": [], "b8": []}
+            for front in as_tuples(batch.column("runs")):
+                back = gaps(front, width, height)
+                for name, run_list, reach in (("f4", front, 0), ("f8", front, 1), ("b4", back, 0), ("b8", back, 1)):
+                    found[name].append(len(set(roots(run_list, reach))))
+            yield pa.RecordBatch.from_arrays([batch.column("mask_id"), *[pa.array(v, pa.int64()) for v in found.values()]], ["mask_id", *found])
+
+    kind = rows.schema["mask_id"].dataType.simpleString()
+    return in_lists(rows).mapInArrow(count, f"mask_id {kind}, f4 long, f8 long, b4 long, b8 long")
+
+
+def _counts_by_rounds(rows: DataFrame, width: int, height: int) -> DataFrame:
     back = checkpoint(background_runs(rows, width, height))
     graphs = [run_edges(rows, "f4", False), run_edges(rows, "f8", True), run_edges(back, "b4", False), run_edges(back, "b8", True)]
     nodes, edges = graphs[0]
     for more_nodes, more_edges in graphs[1:]:
         nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
     labelled = components(edges, nodes)
-    out = labelled.groupBy(F.col("node.mask_id").alias("mask_id")).agg(
+    return labelled.groupBy(F.col("node.mask_id").alias("mask_id")).agg(
         *[F.count_if((F.col("node.kind") == k) & (F.col("node") == F.col("component"))).alias(k) for k in ("f4", "f8", "b4", "b8")]
     )
-    # The padded border belongs to one background component, which is not a hole.
-    out = out.select("mask_id", F.col("f4").alias("components_4"), F.col("f8").alias("components_8"), (F.col("b8") - 1).alias("holes_4"), (F.col("b4") - 1).alias("holes_8"))
-    return out.withColumns({
-        "euler_4": F.col("components_4") - F.col("holes_4"), "euler_8": F.col("components_8") - F.col("holes_8"),
-        "diagonal_contact": F.col("components_4") != F.col("components_8"),
-    })

@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 from drawlake.functions import text
-from drawlake.operators import corpus, quantiles, spatial
+from drawlake.operators import corpus, labellings, masks, quantiles, spatial
 
 
 def brute_distance(px, py, s):
@@ -156,3 +156,40 @@ def test_ranks_and_totals_of_groups_that_spread_over_tasks(spark):
             assert r._before == total
             total += r.v
         assert {r._total for r in got if r.g == group} == {total}
+
+
+def test_bounded_masks_are_labelled_in_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    cells = {(m, x, y) for m, share in ((1, 0.5), (2, 0.3), (3, 0.8)) for x in range(12) for y in range(12) if rng.random() < share}
+    pixels = spark.createDataFrame(sorted(cells) + [(4, 0, 0), (4, 1, 1)], "mask_id bigint, x int, y int")
+
+    def results():
+        return (sorted(map(tuple, masks.topology(pixels, 12, 12).collect())), *[sorted(map(tuple, labellings.labelled(pixels, d).collect())) for d in (False, True)])
+
+    def no_rounds(*_):
+        raise AssertionError("a bounded mask went through rounds over all runs")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(masks, "components", no_rounds)
+        patch.setattr(labellings, "components", no_rounds)
+        few = results()
+    monkeypatch.setattr(masks, "MOST_RUNS", 40)  # some masks are larger, some are not
+    assert results() == few
+    assert few[0][-1][:5] == (4, 2, 1, 0, 0)
+
+
+def test_boundaries_of_bounded_masks_are_compared_in_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    sides = [sorted({(m, rng.randrange(30), rng.randrange(30)) for m in of for _ in range(60)}) for of in ((1, 2, 3), (2, 3, 4))]
+    a, b = (spark.createDataFrame(rows, "mask_id bigint, x int, y int") for rows in sides)
+    want = sorted(
+        (m, side, round(min(math.hypot(x - u, y - v) for n, u, v in other if n == m), 9))
+        for side, own, other in (("f", *sides), ("b", *sides[::-1])) for m, x, y in own if m in (2, 3)
+    )
+
+    def got():
+        return sorted((r.mask_id, r.side, round(r.distance, 9)) for r in masks.distances_both_ways(a, b).collect())
+
+    assert got() == want
+    monkeypatch.setattr(masks, "MOST_PIXELS", sum(m == 3 for m, _, _ in sides[0]) - 1)
+    assert got() == want
