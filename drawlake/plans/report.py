@@ -344,7 +344,8 @@ def candidate_score(t):
        coverage DESC, entity_count, candidate_id) AS rank FROM ({SCORED}) q WHERE score IS NOT NULL) r WHERE rank <= 5""",
 )
 def score_rank(t):
-    order = [F.round("score", 2).desc(), F.col("unsupported"), F.col("coverage").desc(), F.col("entity_count"), F.col("candidate_id")]
+    # Hundredths of the binary value, as SQL rounds it: 0.575 * 100 is below 57.5, while F.round takes the decimal digits.
+    order = [F.round(F.col("score") * 100).desc(), F.col("unsupported"), F.col("coverage").desc(), F.col("entity_count"), F.col("candidate_id")]
     ranked = report.top_per_group(scored(t).where(F.col("score").isNotNull()), ["case_id"], order, 5)
     return ranked.select("case_id", "candidate_id", "rank")
 

@@ -42,3 +42,17 @@ def test_no_python_functions_and_every_oracle_has_a_query(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_score_rank_rounds_as_its_sql(spark, tmp_path):
+    """0.575 and 0.565 lie on a boundary that decimal and binary rounding see apart."""
+    values = [(0.03, 50.0, 3, 5), (0.02, 45.0, 4, 1), (0.03, 40.0, 7, 5), (0.03, 35.0, 8, 2)]  # discount, quantity, supplier, line
+    lines = " UNION ALL ".join(
+        f"SELECT 1::BIGINT AS l_orderkey, {n}::INTEGER AS l_linenumber, 1::BIGINT AS l_partkey, {s}::BIGINT AS l_suppkey, {q}::DOUBLE AS l_quantity, {i}::DOUBLE AS l_extendedprice, {d}::DOUBLE AS l_discount, "
+        f"0.0::DOUBLE AS l_tax, 'N' AS l_returnflag, 'F' AS l_linestatus" for i, (d, q, s, n) in enumerate(values))
+    path = f"{tmp_path}/lineitem.parquet"
+    with duckdb.connect() as con:
+        con.execute(f"COPY ({lines}) TO '{path}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+        want = con.execute(entry.oracle_sql()["score_rank"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["score_rank"](spark, str(tmp_path)).collect())) == sorted(want)
