@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.operators.spatial import cells_of_box
+from drawlake.operators.spatial import MOST_SHAPES, cells_of_box, large_cases
 from drawlake.session import checkpoint
 
 
@@ -24,9 +24,23 @@ def _sized(edges: DataFrame) -> DataFrame:
 
 
 def touching(edges: DataFrame) -> DataFrame:
-    """``(case_id, a, b)``: pairs of rings that cross, touch or share a stretch, found in the cells that edges of both touch."""
+    """``(case_id, a, b)``: pairs of rings that cross, touch or share a stretch.
+
+    In cases of bounded size the edges meet in the task that holds the case, in larger ones in the cells that both touch.
+    """
+    large = large_cases([(edges, MOST_SHAPES)], "case_id")
+    if large is None:
+        return _touching(edges.withColumn("_cell", F.lit(0)), ["case_id"])
+    few, many = (edges.join(large, "case_id", how) for how in ("left_anti", "left_semi"))
+    return _touching(few.withColumn("_cell", F.lit(0)), ["case_id"]).unionByName(_touching(_in_cells(many), ["case_id", "_cell"]))
+
+
+def _in_cells(edges: DataFrame) -> DataFrame:
     sized = edges.join(_sized(edges), "case_id")
-    placed = sized.withColumn("_cell", F.explode(cells_of_box(F.least("sx", "ex"), F.least("sy", "ey"), F.greatest("sx", "ex"), F.greatest("sy", "ey"), F.col("_size"))))
+    return sized.withColumn("_cell", F.explode(cells_of_box(F.least("sx", "ex"), F.least("sy", "ey"), F.greatest("sx", "ex"), F.greatest("sy", "ey"), F.col("_size"))))
+
+
+def _touching(placed: DataFrame, keys: list[str]) -> DataFrame:
     a, b, c = placed.alias("a"), placed.alias("b"), F.col
     side = lambda p, q, x, y: (c(f"{p}.ex") - c(f"{p}.sx")) * (c(f"{q}.{y}") - c(f"{p}.sy")) - (c(f"{p}.ey") - c(f"{p}.sy")) * (c(f"{q}.{x}") - c(f"{p}.sx"))
     apart = (side("a", "b", "sx", "sy") * side("a", "b", "ex", "ey") > 0) | (side("b", "a", "sx", "sy") * side("b", "a", "ex", "ey") > 0)
@@ -34,28 +48,48 @@ def touching(edges: DataFrame) -> DataFrame:
     boxes = F.lit(True)
     for x, y in (("sx", "ex"), ("sy", "ey")):
         boxes = boxes & (low("a", x, y) <= high("b", x, y)) & (low("b", x, y) <= high("a", x, y))
-    on = (c("a.case_id") == c("b.case_id")) & (c("a._cell") == c("b._cell")) & (c("a.ring") < c("b.ring"))
+    on = c("a.ring") < c("b.ring")
+    for k in keys:
+        on = on & (c(f"a.{k}") == c(f"b.{k}"))
     return a.join(b, on).where(boxes & ~apart).select(c("a.case_id").alias("case_id"), c("a.ring").alias("a"), c("b.ring").alias("b")).distinct()
 
 
 def containers(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """``(case_id, ring, outer, outer_area)``: every ring with all rings around it.
 
-    A corner of each ring looks to the right; an odd number of edges of another ring in its way means inside.  Corner and
-    edges meet by horizontal band, so only edges at the corner's height are paired with it.  Rings that do
-    not touch are inside with all their corners or with none.
+    A corner of each ring looks to the right; an odd number of edges of another ring in its way means inside.  In cases of bounded
+    size corner and edges meet in the task that holds the case; in larger ones they meet by horizontal band, so only edges
+    at the corner's height are paired with it.  Rings that do not touch are inside with all their corners or with none.
     """
+    area = facts.select("case_id", F.col("ring").alias("outer"), F.col("area").alias("outer_area"))
+
+    def by_case(edges: DataFrame, facts: DataFrame) -> DataFrame:
+        corners = facts.select("case_id", "ring", "px", "py")
+        return _inside(corners.join(edges.where("sy <> ey").withColumnRenamed("ring", "outer").hint("merge"), "case_id"))
+
+    large = large_cases([(edges, MOST_SHAPES)], "case_id")
+    if large is None:
+        return by_case(edges, facts).join(area, ["case_id", "outer"]).select("case_id", "ring", "outer", "outer_area")
+    (few, few_facts), (many, many_facts) = ([rows.join(large, "case_id", how) for rows in (edges, facts)] for how in ("left_anti", "left_semi"))
+    inside = by_case(few, few_facts).unionByName(_inside_by_bands(many, many_facts))
+    return inside.join(area, ["case_id", "outer"]).select("case_id", "ring", "outer", "outer_area")
+
+
+def _inside_by_bands(edges: DataFrame, facts: DataFrame) -> DataFrame:
     sized = _sized(edges)
     band = lambda y: F.floor(F.col(y) / F.col("_size"))
     spread = edges.join(sized, "case_id").where("sy <> ey").withColumn("_band", F.explode(F.sequence(F.least(band("sy"), band("ey")), F.greatest(band("sy"), band("ey")))))
     spread = spread.select("case_id", "_band", F.col("ring").alias("outer"), "sx", "sy", "ex", "ey")
     corners = facts.join(sized, "case_id").withColumn("_band", band("py")).select("case_id", "_band", "ring", "px", "py")
+    return _inside(corners.join(spread, ["case_id", "_band"]))
+
+
+def _inside(pairs: DataFrame) -> DataFrame:
+    """``(case_id, ring, outer, _hits)`` of pairs of a corner and an edge of a ring around it."""
     met = (F.col("sy") > F.col("py")) != (F.col("ey") > F.col("py"))
     at = F.col("sx") + (F.col("py") - F.col("sy")) / (F.col("ey") - F.col("sy")) * (F.col("ex") - F.col("sx"))
-    hits = corners.join(spread, ["case_id", "_band"]).where((F.col("ring") != F.col("outer")) & met & (at > F.col("px")))
-    inside = hits.groupBy("case_id", "ring", "outer").agg(F.count("*").alias("_hits")).where("_hits % 2 = 1")
-    area = facts.select("case_id", F.col("ring").alias("outer"), F.col("area").alias("outer_area"))
-    return inside.join(area, ["case_id", "outer"]).select("case_id", "ring", "outer", "outer_area")
+    hits = pairs.where((F.col("ring") != F.col("outer")) & met & (at > F.col("px")))
+    return hits.groupBy("case_id", "ring", "outer").agg(F.count("*").alias("_hits")).where("_hits % 2 = 1")
 
 
 def nesting(edges: DataFrame) -> DataFrame:

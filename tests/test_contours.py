@@ -315,3 +315,17 @@ def test_components_of_two_labellings(spark):
     necks = {r.mask_id: tuple(r)[1:] for r in labellings.thin_necks(spark.createDataFrame(bar, schema)).collect()}
     assert necks == {1: (2, 1, 1), 2: (1, 0, 0), 3: (0, 0, 0)}
     assert {r.mask_id: tuple(r)[1:] for r in labellings.thin_necks(spark.createDataFrame(bar, schema), least=2).collect()}[1] == (1, 0, 0)
+
+
+def test_rings_of_bounded_cases_meet_by_case(spark, monkeypatch):
+    def square(case, ring, x, y, h):
+        at = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+        return [(case, ring, *at[k], *at[(k + 1) % 4]) for k in range(4)]
+
+    rings = [e for case in (1, 2, 3) for k in range(3 + case) for e in square(case, k, 0.1 * k + (20.0 if k == 3 else 0.0), 0.0, 10.0 - 2 * k)] + square(3, 9, 9.0, 0.0, 3.0)
+    edges = spark.createDataFrame(rings, "case_id bigint, ring int, sx double, sy double, ex double, ey double")
+    assert "_band" not in nesting.containers(edges, nesting.ring_facts(edges))._jdf.queryExecution().toString()
+    few = sorted(map(tuple, nesting.nesting(edges).collect()), key=str)
+    monkeypatch.setattr(nesting, "MOST_SHAPES", 17)
+    assert sorted(map(tuple, nesting.nesting(edges).collect()), key=str) == few
+    assert {(r[0], r[1], r[4], r[7]) for r in few if r[0] == 1} == {(1, 0, 0, False), (1, 1, 1, False), (1, 2, 2, False), (1, 3, 0, False)}
