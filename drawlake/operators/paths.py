@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.operators.prefix import running_total
+from drawlake.operators.spatial import MOST_SHAPES, by_size, large_cases
 from drawlake.session import checkpoint
 
 
@@ -40,11 +41,35 @@ def ring_digest(rings: DataFrame, forward: Column, backward: Column, keys: tuple
     """``(*keys, digest)``: a digest of each ring that all its rotations and both directions share.
 
     ``rings`` has ``ord`` from 0; ``forward`` and ``backward`` describe an element as it is met in either direction.  Round k joins
-    the digests of stretches of 2^k elements to those that begin where they end, so after log2(n) joins on (ring,
-    position) each position has the digest of a whole turn from there, and the smallest of them is the ring's.
-    No row ever holds a ring.
+    the digests of stretches of 2^k elements to those that begin where they end, so after log2(n) rounds each position has
+    the digest of a whole turn from there, and the smallest of them is the ring's.  A ring of bounded size does its rounds in
+    its own row; those of a larger one are joins on (ring, position), and no row holds it.
     """
     keys = list(keys)
+    large = large_cases([(rings, MOST_SHAPES)], *keys)
+    return by_size(large, [rings], lambda r: _digest_in_row(r, forward, backward, keys), lambda r: _digest_by_joins(r, forward, backward, keys))
+
+
+def _digest_in_row(rings: DataFrame, forward: Column, backward: Column, keys: list[str]) -> DataFrame:
+    """Elements are shuffled once as they are; their texts are made where the ring is."""
+    listed = F.sort_array(F.collect_list(F.struct("ord", forward.alias("f"), backward.alias("b"))))
+    rows = rings.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(listed.alias("_list"))
+    rows = rows.select(*keys, F.explode(F.array("_list")).alias("_list")).withColumn("_n", F.size("_list"))
+
+    def turn(name):
+        texts = F.transform("_list", lambda e: F.sha2(F.concat_ws("|", F.col("_n").cast("string"), e[name]), 256))
+        return texts if name == "f" else F.reverse(texts)
+
+    def longer(digests, k):
+        after = lambda i: F.get(digests, ((i + F.pow(F.lit(2.0), k)) % F.col("_n")).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.sha2(F.concat(F.get(digests, i), after(i)), 256))
+
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.col("_n") - 1)) - 1)  # all k with 2^k < n
+    whole = lambda name: F.when(F.col("_n") > 1, F.aggregate(rounds, turn(name), longer)).otherwise(turn(name))
+    return rows.select(*keys, F.array_min(F.concat(whole("f"), whole("b"))).alias("digest"))
+
+
+def _digest_by_joins(rings: DataFrame, forward: Column, backward: Column, keys: list[str]) -> DataFrame:
     sizes = rings.groupBy(*keys).agg(F.count("*").alias("_n"))
     rows = rings.join(sizes, keys)
     both = rows.select(*keys, "_n", F.explode(F.array(
