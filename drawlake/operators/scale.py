@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from drawlake.operators.spatial import point_in_range
+from drawlake.operators.spatial import MOST_POINTS, MOST_SHAPES, by_size, large_cases, point_in_range
 from drawlake.session import checkpoint
 
 # Association windows in label heights, span factors and the 3% ratio rule.
@@ -14,24 +16,40 @@ BELOW, ABOVE = 0.3, 1.3
 AMBIGUITY = 0.25
 SPREAD = 1.03
 BIN = 16.0
+MEMBER = ["record_id", "axis", "nominal", "lo", "hi", "cross_at", "pixels_per_mm"]
+
 
+def _windowed(labels: DataFrame, strokes: DataFrame, finish: Callable[[DataFrame], DataFrame], finish_large: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``finish`` of the pairs of a label and a stroke in its window below and above.
 
-def _windowed(labels: DataFrame, strokes: DataFrame) -> DataFrame:
+    In cases of bounded size labels meet all strokes of their case in the task that holds it, so no row is copied into bins
+    and what ``finish`` groups by case and record stays there; larger cases go through bins.
+    """
     ranges = labels.withColumns(
         {"_lo": F.col("bottom") - BELOW * F.col("height"), "_hi": F.col("bottom") + ABOVE * F.col("height")}
     )
-    return point_in_range(ranges, strokes, ["case_id", "axis"], "_lo", "_hi", "cross_at", BIN).drop("_lo", "_hi")
+
+    def inside(left, right):
+        pairs = left.join(right.hint("merge"), ["case_id", "axis"]).where(F.col("cross_at").between(F.col("_lo"), F.col("_hi")))
+        return finish(pairs.drop("_lo", "_hi"))
+
+    def across(left, right):
+        return (finish_large or finish)(point_in_range(left, right, ["case_id", "axis"], "_lo", "_hi", "cross_at", BIN).drop("_lo", "_hi"))
+
+    large = large_cases([(labels, MOST_POINTS), (strokes, MOST_SHAPES)], "case_id")
+    return by_size(large, [ranges, strokes], inside, across)
 
 
 def length_witnesses(labels: DataFrame, strokes: DataFrame) -> DataFrame:
     """Nearest stroke below each length label that spans the label's centre."""
-    rows = _windowed(labels, strokes).where(
-        F.col("center").between(F.col("lo"), F.col("hi")) & (F.col("span") >= 1.5 * F.greatest(F.lit(8.0), F.col("along")))
-    )
     score = F.abs(F.col("cross_at") - F.col("bottom")) / F.col("height")
     best = F.min(F.struct(score.alias("distance"), "stroke_id", "lo", "hi", "cross_at", "span", "thickness"))
-    nearest = rows.groupBy("case_id", "record_id", "axis", "nominal", "center", "along", "height").agg(best.alias("s"))
-    return nearest.select("case_id", "record_id", "axis", "nominal", "center", "along", "height", "s.*").withColumn(
+
+    def nearest(pairs):
+        rows = pairs.where(F.col("center").between(F.col("lo"), F.col("hi")) & (F.col("span") >= 1.5 * F.greatest(F.lit(8.0), F.col("along"))))
+        return rows.groupBy("case_id", "record_id", "axis", "nominal", "center", "along", "height").agg(best.alias("s"))
+
+    return _windowed(labels, strokes, nearest).select("case_id", "record_id", "axis", "nominal", "center", "along", "height", "s.*").withColumn(
         "pixels_per_mm", (F.col("hi") - F.col("lo")) / F.col("nominal")
     )
 
@@ -39,33 +57,47 @@ def length_witnesses(labels: DataFrame, strokes: DataFrame) -> DataFrame:
 def diameter_witnesses(labels: DataFrame, strokes: DataFrame) -> DataFrame:
     """Diameter labels allow some slack past the stroke and also weigh its span."""
     along = F.greatest(F.lit(8.0), F.col("along"))
-    rows = _windowed(labels, strokes).where(
-        F.col("center").between(F.col("lo") - 0.3 * along, F.col("hi") + 0.3 * along) & (F.col("span") >= 1.4 * along)
-    )
     score = F.abs(F.col("cross_at") - F.col("bottom")) / F.col("height") + 0.15 * along / F.col("span")
     best = F.min(F.struct(score.alias("score"), "stroke_id", "lo", "hi", "cross_at"))
-    return rows.groupBy("case_id", "record_id", "axis", "nominal").agg(best.alias("s")).select(
-        "case_id", "record_id", "axis", "nominal", "s.*"
-    )
 
+    def nearest(pairs):
+        rows = pairs.where(F.col("center").between(F.col("lo") - 0.3 * along, F.col("hi") + 0.3 * along) & (F.col("span") >= 1.4 * along))
+        return rows.groupBy("case_id", "record_id", "axis", "nominal").agg(best.alias("s"))
+
+    return _windowed(labels, strokes, nearest).select("case_id", "record_id", "axis", "nominal", "s.*")
+
+
+def split_chains(witnesses: DataFrame, crossings: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Nearest crossing strictly before and strictly after the label cuts a chained stroke.
 
-def split_chains(witnesses: DataFrame, crossings: DataFrame) -> DataFrame:
-    """Nearest crossing strictly before and strictly after the label cuts a chained stroke."""
+    ``labels``, from which the witnesses come, are counted in their place to find large cases.
+    """
     margin = F.greatest(F.lit(3.0), 1.5 * F.col("thickness"))
+    before = F.col("station") < F.col("center") - F.col("along") / 2 - margin
+    after = F.col("station") > F.col("center") + F.col("along") / 2 + margin
+    cuts = [F.max(F.when(before, F.struct("station", "v_thick"))).alias("b"), F.min(F.when(after, F.struct("station", "v_thick"))).alias("a")]
+    reaches = F.col("cross_at").between(F.col("v_lo") - margin, F.col("v_hi") + margin) & (F.col("v_span") > 2 * F.col("height"))
     ranges = witnesses.withColumns({"_a": F.col("lo") - margin, "_b": F.col("hi") + margin})
     other = crossings.select(
         "case_id", F.col("cross_at").alias("station"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"),
         F.col("span").alias("v_span"), F.col("thickness").alias("v_thick"),
     )
-    hits = point_in_range(ranges, other, ["case_id"], "_a", "_b", "station", 64.0).where(
-        F.col("cross_at").between(F.col("v_lo") - margin, F.col("v_hi") + margin) & (F.col("v_span") > 2 * F.col("height"))
-    )
-    before = F.col("station") < F.col("center") - F.col("along") / 2 - margin
-    after = F.col("station") > F.col("center") + F.col("along") / 2 + margin
-    cut = hits.groupBy("case_id", "record_id", "axis").agg(
-        F.max(F.when(before, F.struct("station", "v_thick"))).alias("b"), F.min(F.when(after, F.struct("station", "v_thick"))).alias("a")
-    )
-    rows = witnesses.join(cut, ["case_id", "record_id", "axis"], "left")
+    keys = [c for c in witnesses.columns if c in ("case_id", "record_id", "axis", "nominal", "center", "along", "height")]
+    rest = [c for c in witnesses.columns if c not in keys]
+
+    def inside(left, right):
+        right = right.withColumnRenamed("case_id", "_case").hint("merge")
+        near = (F.col("case_id") == F.col("_case")) & F.col("station").between(F.col("_a"), F.col("_b")) & reaches
+        rows = left.join(right, near, "left").groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_w"), *cuts)
+        return rows.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in rest], "b", "a")
+
+    def across(left, right):
+        hits = point_in_range(left, right, ["case_id"], "_a", "_b", "station", 64.0).where(reaches)
+        cut = hits.groupBy("case_id", "record_id", "axis").agg(*cuts)
+        return left.select(*keys, *rest).join(cut, ["case_id", "record_id", "axis"], "left").select(*keys, *rest, "b", "a")
+
+    large = large_cases([(witnesses if labels is None else labels, MOST_POINTS), (crossings, MOST_SHAPES)], "case_id")
+    rows = by_size(large, [ranges, other], inside, across).select(*witnesses.columns, "a", "b")
 
     def moved(end, side):
         far = F.abs(F.col(end) - F.col(f"{side}.station")) > 2 * F.greatest(margin, F.col(f"{side}.v_thick"))
@@ -74,6 +106,21 @@ def split_chains(witnesses: DataFrame, crossings: DataFrame) -> DataFrame:
     return rows.withColumns({"seg_lo": moved("lo", "b"), "seg_hi": moved("hi", "a")}).drop("a", "b")
 
 
+def tied_strokes(labels: DataFrame, strokes: DataFrame) -> DataFrame:
+    """Strokes in a label's window within the margin of its nearest one, flagged ambiguous when more than one is."""
+    score = F.abs(F.col("cross_at") - F.col("bottom")) / F.col("height")
+    record = Window.partitionBy("case_id", "record_id")
+
+    def options(pairs):
+        return pairs.select("case_id", "record_id", "stroke_id", score.alias("distance"))
+
+    def inside(pairs):
+        kept = options(pairs).withColumn("_best", F.min("distance").over(record)).where(F.col("distance") < F.col("_best") + AMBIGUITY)
+        return kept.withColumn("ambiguous", F.count("*").over(record) > 1).drop("_best")
+
+    return _windowed(labels, strokes, inside, lambda pairs: near_ties(options(pairs)))
+
+
 def near_ties(options: DataFrame) -> DataFrame:
     """Options within the margin of a record's best stay, flagged ambiguous when more than one does."""
     best = options.groupBy("case_id", "record_id").agg(F.min("distance").alias("_best"))
@@ -82,14 +129,41 @@ def near_ties(options: DataFrame) -> DataFrame:
     return kept.join(counts, ["case_id", "record_id"]).drop("_best")
 
 
-def ratio_windows(witnesses: DataFrame) -> DataFrame:
-    """Every qualifying 3% window of a case; the witnesses are written once.
+def ratio_windows(witnesses: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Every qualifying 3% window of a case.
 
-    Windows start at each distinct scale of the case.  Logarithmic bins as wide as the window put a
-    member into its own and the previous bin, so a window only meets witnesses it can contain.
+    Windows start at each distinct scale of the case.  The windows of a case of bounded size are found in its row; larger cases
+    go through logarithmic bins.  ``labels``, from which the witnesses come, are counted in their place to find large cases.
     """
-    usable = checkpoint(witnesses.where((F.col("pixels_per_mm") > 0) & (F.col("pixels_per_mm") < float("inf"))).select(
-        "case_id", "record_id", "axis", "nominal", "lo", "hi", "cross_at", "pixels_per_mm"))
+    usable = witnesses.where((F.col("pixels_per_mm") > 0) & (F.col("pixels_per_mm") < float("inf"))).select(
+        "case_id", *MEMBER)
+    if labels is None:
+        labels = usable = checkpoint(usable)
+    return by_size(large_cases([(labels, MOST_SHAPES)], "case_id"), [usable], _windows_in_row, _windows_by_bins)
+
+
+def _windows_in_row(usable: DataFrame) -> DataFrame:
+    """The witnesses of a case are listed once; those of each of its windows are sent on only if they are enough."""
+    listed = usable.where("case_id is not null").groupBy("case_id").agg(F.collect_list(F.struct(*MEMBER)).alias("_all"))
+    scales = F.array_distinct(F.transform("_all", lambda w: w["pixels_per_mm"]))
+    ratio = lambda w: w["pixels_per_mm"] / F.col("seed")
+    group = listed.select("case_id", F.explode(scales).alias("seed"), "_all").select(
+        "case_id", "seed", F.explode(F.array(F.filter("_all", lambda w: (ratio(w) >= 1) & (ratio(w) <= SPREAD)))).alias("_in")).where(F.size("_in") >= 3)
+    distinct = lambda c: F.size(F.array_distinct(F.array_compact(F.transform("_in", lambda w: w[c])))).cast("long")
+    group = group.withColumns({"distinct_dimensions": distinct("nominal"), "distinct_records": distinct("record_id")}).where("distinct_dimensions >= 3 and distinct_records >= 3")
+    window = ["case_id", "seed", "distinct_dimensions", "distinct_records"]
+    per_line = group.select(*window, F.inline("_in")).groupBy(*window, "axis", "lo", "hi", "cross_at").agg(
+        F.median("pixels_per_mm").alias("vote"), F.min("pixels_per_mm").alias("low"), F.max("pixels_per_mm").alias("high"),
+    )
+    return per_line.groupBy(*window).agg(
+        F.count("*").alias("distinct_lines"), F.median("vote").alias("pixels_per_mm"), F.min("low").alias("low"), F.max("high").alias("high"),
+    ).where("distinct_lines >= 3")
+
+
+def _windows_by_bins(usable: DataFrame) -> DataFrame:
+    """Logarithmic bins as wide as a window put a member into its own and the previous bin, so a window only meets witnesses it
+    can contain; the witnesses are written once."""
+    usable = checkpoint(usable)
     step = F.log(F.lit(SPREAD))
     placed = usable.withColumn("_bin", F.floor(F.log("pixels_per_mm") / step))
     seeds = placed.select("case_id", F.col("pixels_per_mm").alias("seed"), "_bin").distinct()

@@ -28,8 +28,12 @@ MODES = f"""SELECT case_id, CASE WHEN bool_or(rival) THEN 'ambiguous' ELSE 'reso
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY dims DESC, distinct_lines DESC, high / low - 1, seed) AS r FROM ({WINDOWS}) z) zz WHERE r = 1) m USING (case_id)) v GROUP BY case_id"""
 
 
+def length_labels(t):
+    return t("labels_px").where("kind = 'length'")
+
+
 def lengths(t):
-    return scale.length_witnesses(t("labels_px").where("kind = 'length'"), t("strokes").drop("nominal", "ppm", "kind"))
+    return scale.length_witnesses(length_labels(t), t("strokes").drop("nominal", "ppm", "kind"))
 
 
 def diameters(t):
@@ -56,7 +60,7 @@ def diameter_stroke_join(t):
        AND v.cross_at BETWEEN w.lo - m AND w.hi + m AND v.span > 2 * w.height GROUP BY w.case_id, w.record_id) s""",
 )
 def chain_split_asof(t):
-    rows = scale.split_chains(lengths(t), t("crossings"))
+    rows = scale.split_chains(lengths(t), t("crossings"), length_labels(t))
     return rows.select("record_id", F.round("seg_lo", 6).alias("seg_lo"), F.round("seg_hi", 6).alias("seg_hi"))
 
 
@@ -70,9 +74,7 @@ ALL_OPTIONS = """SELECT l.case_id, l.record_id, s.stroke_id, abs(s.cross_at - l.
        SELECT *, min(distance) OVER (PARTITION BY case_id, record_id) AS best FROM ({ALL_OPTIONS}) q) r WHERE distance < best + 0.25""",
 )
 def near_tie_flag(t):
-    score = F.abs(F.col("cross_at") - F.col("bottom")) / F.col("height")
-    options = scale._windowed(t("labels_px").drop("kind", "nominal"), t("strokes")).select("case_id", "record_id", "stroke_id", score.alias("distance"))
-    return scale.near_ties(options).select("record_id", "stroke_id", "ambiguous")
+    return scale.tied_strokes(t("labels_px").drop("kind", "nominal"), t("strokes")).select("record_id", "stroke_id", "ambiguous")
 
 
 @query(
@@ -80,14 +82,14 @@ def near_tie_flag(t):
     f"SELECT case_id, round(seed, 6) AS seed, distinct_lines, dims AS distinct_dimensions, recs AS distinct_records, round(ppm, 6) AS pixels_per_mm FROM ({WINDOWS}) w",
 )
 def linear_scale_consensus(t):
-    return scale.ratio_windows(lengths(t)).select(
+    return scale.ratio_windows(lengths(t), length_labels(t)).select(
         "case_id", F.round("seed", 6).alias("seed"), "distinct_lines", "distinct_dimensions", "distinct_records", F.round("pixels_per_mm", 6).alias("pixels_per_mm")
     )
 
 
 @query("scale_modes", MODES)
 def scale_modes(t):
-    return scale.scale_modes(scale.ratio_windows(lengths(t))).withColumn("pixels_per_mm", F.round("pixels_per_mm", 6))
+    return scale.scale_modes(scale.ratio_windows(lengths(t), length_labels(t))).withColumn("pixels_per_mm", F.round("pixels_per_mm", 6))
 
 
 @query(

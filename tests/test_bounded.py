@@ -2,10 +2,9 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from drawlake.operators import paths
+from drawlake.operators import paths, scale
 
 
 def refuse(*_):
@@ -23,3 +22,33 @@ def test_rings_are_digested_in_their_row_as_by_joins(spark, monkeypatch):
         assert sorted(map(tuple, paths.ring_digest(table, *ways).collect())) == want
     monkeypatch.setattr(paths, "MOST_SHAPES", 31)
     assert sorted(map(tuple, paths.ring_digest(table, *ways).collect())) == want
+
+
+def test_labels_meet_strokes_and_crossings_in_their_case_as_by_bins(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes = [("a", 40), ("b", 9), ("c", 1), (None, 4)]
+    strokes, labels, crossings = [], [], []
+    for case, n in sizes:
+        for k in range(n):
+            axis, lo, nominal, at = rng.choice("xy"), rng.randrange(40), rng.randrange(10, 14), rng.randrange(30)
+            hi = lo + nominal * rng.choice([3.0, 3.02, 3.05, 4.0])
+            strokes.append((case, f"s{k}", axis, float(lo), hi, float(at), hi - lo, 1.0 + k % 3))
+            labels.append((case, f"r{k}", axis, float(nominal), (lo + hi) / 2, (hi - lo) / 3, at - 2.0, 8.0))
+            crossings.append((case, rng.randrange(90) * 1.0, rng.randrange(20) * 1.0, 40.0, 20.0 + k, 1.0))
+    strokes = spark.createDataFrame(strokes, "case_id string, stroke_id string, axis string, lo double, hi double, cross_at double, span double, thickness double")
+    labels = spark.createDataFrame(labels, "case_id string, record_id string, axis string, nominal double, center double, along double, bottom double, height double")
+    crossings = spark.createDataFrame(crossings, "case_id string, cross_at double, lo double, hi double, span double, thickness double")
+
+    def found():
+        lengths = scale.length_witnesses(labels, strokes)
+        tables = [lengths, scale.diameter_witnesses(labels, strokes), scale.split_chains(lengths, crossings, labels), scale.split_chains(lengths, crossings),
+                  scale.ratio_windows(lengths, labels), scale.ratio_windows(lengths), scale.tied_strokes(labels, strokes)]
+        return [sorted(map(repr, (r.asDict() for r in table.select(*sorted(table.columns)).collect()))) for table in tables]
+
+    with monkeypatch.context() as m:
+        m.setattr(scale, "point_in_range", refuse)
+        want = found()
+    assert all(want)
+    for most in (20, 0):  # one large case, then all of them
+        monkeypatch.setattr(scale, "MOST_SHAPES", most)
+        assert found() == want
