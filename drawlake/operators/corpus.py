@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators.prefix import running_total
 from drawlake.operators.spatial import components, hamming_neighbours, star_edges
+from drawlake.session import checkpoint
 
 # Split shares and the near-duplicate limits.
 TRAIN, VAL = 0.70, 0.85
@@ -26,7 +27,8 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """Component of every item over equal and near-equal signatures."""
+    """Component of every item over equal and near-equal signatures, which are written once as several steps read them."""
+    rows = checkpoint(rows.select("id", "signature", "aspect"))
     edges = near_duplicates(rows).select("a", "b").unionByName(star_edges(rows, ["signature", "aspect"], "id"))
     return components(edges, rows.select("id"), node="id")
 

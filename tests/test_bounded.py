@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import paths, scale
+from drawlake.operators import paths, scale, spatial
 
 
 def refuse(*_):
@@ -52,3 +52,18 @@ def test_labels_meet_strokes_and_crossings_in_their_case_as_by_bins(spark, monke
     for most in (20, 0):  # one large case, then all of them
         monkeypatch.setattr(scale, "MOST_SHAPES", most)
         assert found() == want
+
+
+def test_near_signatures_meet_where_two_ranges_agree(spark):
+    rng = random.Random(9)
+    codes = [rng.getrandbits(63) for _ in range(40)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(63), k % 7)) for k, c in enumerate(codes)] + [-c for c in codes[:5]]
+    codes = sorted(set(codes))
+    table = spark.createDataFrame(list(enumerate(codes)), "id long, signature long")
+    for limit in (0, 1, 4):
+        got = sorted((r.a, r.b, r.distance) for r in spatial.hamming_neighbours(table, "id", "signature", limit).collect())
+        apart = lambda a, b: ((codes[a] ^ codes[b]) & (2**64 - 1)).bit_count()
+        assert got == [(a, b, apart(a, b)) for a in range(len(codes)) for b in range(a + 1, len(codes)) if apart(a, b) <= limit]
+    # Signatures that share one range only do not meet at all.
+    far = spark.createDataFrame([(0, 0), (1, ~0x1FFF)], "id long, signature long").select(F.explode(spatial.hamming_bands(F.col("signature"), 4)).alias("k"))
+    assert far.groupBy("k").count().where("count > 1").isEmpty()
