@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from drawlake.operators.spatial import MOST_POINTS, MOST_SHAPES, cells_of_box, large_cases, segment_distance
+from drawlake.operators.spatial import MOST_POINTS, MOST_SHAPES, by_size, cells_of_box, large_cases, segment_distance
 from drawlake.session import checkpoint
 
 SHAPE = ["kind", "sx", "sy", "ex", "ey", "cx", "cy", "radius", "start_angle", "sweep", "length"]
@@ -177,19 +177,43 @@ def turned(curves: DataFrame, matrix: tuple[float, float, float, float]) -> Data
     return rows.withColumn("start_angle", F.when(is_arc(), F.atan2(F.col("sy") - F.col("cy"), F.col("sx") - F.col("cx"))))
 
 
+def _boxes_meet() -> Column:
+    """Whether the boxes of curves ``a`` and ``b`` touch, with room for rounding; that of an arc holds its whole circle."""
+    room = 1e-6 + 1e-8 * reduce(Column.__add__, [F.abs(f"{p}_{c}") for p in "ab" for c in ("sx", "sy", "ex", "ey")])
+
+    def ends(p, x):
+        arc, start, end, centre, radius = F.col(f"{p}_kind") == "ARC", *[F.col(f"{p}_{c}") for c in (f"s{x}", f"e{x}", f"c{x}", "radius")]
+        return F.when(arc, centre - radius).otherwise(F.least(start, end)), F.when(arc, centre + radius).otherwise(F.greatest(start, end))
+
+    meet = []
+    for x in "xy":
+        (low, high), (other_low, other_high) = ends("a", x), ends("b", x)
+        meet.append((low <= other_high + room) & (other_low <= high + room))
+    return meet[0] & meet[1]
+
+
 def crossings(curves: DataFrame, cell: float, slack: float = 1e-9) -> DataFrame:
     """``(case_id, first, second, x, y)``: inner crossing points of two curves of one case.
 
-    Curves meet in the cells that pieces of both touch.  Two lines cross once, a line and an arc or two arcs up to twice.
+    In cases of bounded size every curve meets the others of its case in the task that holds it; in larger ones curves meet in
+    the cells that pieces of both touch.  Two lines cross once, a line and an arc or two arcs up to twice.
     Points that both curves have as an end are joints, not crossings; curves that overlap along a stretch
     are not reported here.
     """
-    pieces = _boxes(curves, F.lit(cell)).withColumn("_cell", F.explode(cells_of_box(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell)))
-    placed = pieces.select("case_id", "_cell", "ord").distinct()
-    met = placed.alias("a").join(placed.alias("b"), (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a._cell") == F.col("b._cell")) & (F.col("a.ord") < F.col("b.ord")))
-    pairs = met.select(F.col("a.case_id").alias("case_id"), F.col("a.ord").alias("first"), F.col("b.ord").alias("second")).distinct()
-    shape = lambda p, key: curves.select("case_id", F.col("ord").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in SHAPE])
-    rows = pairs.join(shape("a", "first"), ["case_id", "first"]).join(shape("b", "second"), ["case_id", "second"])
+    shape = lambda rows, p, key: rows.select("case_id", F.col("ord").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in SHAPE])
+
+    def inside(curves: DataFrame) -> DataFrame:
+        pairs = shape(curves, "a", "first").join(shape(curves, "b", "second").hint("merge"), "case_id")
+        return pairs.where((F.col("first") < F.col("second")) & _boxes_meet())
+
+    def across(curves: DataFrame) -> DataFrame:
+        pieces = _boxes(curves, F.lit(cell)).withColumn("_cell", F.explode(cells_of_box(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell)))
+        placed = pieces.select("case_id", "_cell", "ord").distinct()
+        met = placed.alias("a").join(placed.alias("b"), (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a._cell") == F.col("b._cell")) & (F.col("a.ord") < F.col("b.ord")))
+        pairs = met.select(F.col("a.case_id").alias("case_id"), F.col("a.ord").alias("first"), F.col("b.ord").alias("second")).distinct()
+        return pairs.join(shape(curves, "a", "first"), ["case_id", "first"]).join(shape(curves, "b", "second"), ["case_id", "second"])
+
+    rows = by_size(large_cases([(curves, MOST_SHAPES)], "case_id"), [curves], inside, across)
     c = F.col
 
     def line_line():

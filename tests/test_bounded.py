@@ -1,10 +1,11 @@
 """Cases of bounded size are done where the case is; larger ones go through cells and rounds with the same results."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from drawlake.operators import paths, scale, spatial
+from drawlake.operators import curves, paths, scale, spatial
 
 
 def refuse(*_):
@@ -67,3 +68,23 @@ def test_near_signatures_meet_where_two_ranges_agree(spark):
     # Signatures that share one range only do not meet at all.
     far = spark.createDataFrame([(0, 0), (1, ~0x1FFF)], "id long, signature long").select(F.explode(spatial.hamming_bands(F.col("signature"), 4)).alias("k"))
     assert far.groupBy("k").count().where("count > 1").isEmpty()
+
+
+def test_curves_of_bounded_cases_cross_as_by_cells(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for case, n in ((1, 30), (2, 6), (3, 1)):
+        for k in range(n):
+            sx, sy, r, start, sweep = rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(1, 6), rng.uniform(-3, 3), rng.uniform(-3, 3)
+            if k % 3:
+                ex, ey = rng.uniform(0, 20), rng.uniform(0, 20)
+                rows.append((case, k, "LINE", sx, sy, ex, ey, None, None, None, None, None, math.hypot(ex - sx, ey - sy)))
+            else:
+                cx, cy = sx - r * math.cos(start), sy - r * math.sin(start)
+                rows.append((case, k, "ARC", sx, sy, cx + r * math.cos(start + sweep), cy + r * math.sin(start + sweep), cx, cy, r, start, sweep, r * abs(sweep)))
+    table = spark.createDataFrame(rows, "case_id int, ord int, kind string, " + ", ".join(f"{c} double" for c in curves.SHAPE[1:]))
+    with monkeypatch.context() as m:
+        m.setattr(curves, "_boxes", refuse)
+        want = sorted(map(tuple, curves.crossings(table, 4.0).collect()))
+    monkeypatch.setattr(curves, "MOST_SHAPES", 10)
+    assert len(want) > 50 and sorted(map(tuple, curves.crossings(table, 4.0).collect())) == want
