@@ -431,12 +431,12 @@ def preflight_order(t):
         F.min_by(F.when(angular, F.col("candidate_id")), F.when(angular, place)).alias("angular"),
         F.min_by(F.when(combined, F.col("candidate_id")), F.when(combined, place)).alias("combined"),
     )
-    rows = rows.join(slots, "case_id")
+    sized, rows = rows, rows.join(slots, "case_id")
     is_angular = F.coalesce(F.col("candidate_id") == F.col("angular"), F.lit(False))
     is_combined = F.coalesce(F.col("candidate_id") == F.col("combined"), F.lit(False))
     tier = F.when(is_angular, 0).when(is_combined, 1).when(F.col("closed"), 2).otherwise(3)
     order = [tier.asc(), F.when(tier == 2, F.col("unsupported")).otherwise(0).desc(), F.col("attempt").asc(), F.col("candidate_id").asc()]
-    return prefix.rank_all(rows, ["case_id"], order).select("case_id", "candidate_id", "rank")
+    return prefix.rank_all(rows, ["case_id"], order, sized=sized).select("case_id", "candidate_id", "rank")
 
 
 @query(

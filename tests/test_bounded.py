@@ -3,9 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from drawlake.operators import curves, paths, scale, spatial
+import __spark_entry__ as entry
+from drawlake.operators import curves, paths, prefix, scale, spatial
+from drawlake.plans import certify
 
 
 def refuse(*_):
@@ -88,3 +91,15 @@ def test_curves_of_bounded_cases_cross_as_by_cells(spark, monkeypatch):
         want = sorted(map(tuple, curves.crossings(table, 4.0).collect()))
     monkeypatch.setattr(curves, "MOST_SHAPES", 10)
     assert len(want) > 50 and sorted(map(tuple, curves.crossings(table, 4.0).collect())) == want
+
+
+@pytest.mark.parametrize("name, module, limit, step", [
+    ("arrow_identity", spatial, "MOST_SHAPES", (spatial, "grid_join")), ("interval_union", certify, "MOST_POINTS", (certify, "bins")),
+    ("preflight_order", prefix, "MOST_POINTS", (prefix, "running_total"))])
+def test_queries_are_the_same_for_large_cases(spark, monkeypatch, name, module, limit, step):
+    run = lambda: sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+    with monkeypatch.context() as m:
+        m.setattr(*step, refuse)
+        want = run()
+    monkeypatch.setattr(module, limit, 3)
+    assert want and run() == want
