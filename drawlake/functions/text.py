@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,17 @@ def with_form(df: DataFrame, text: str = "text") -> DataFrame:
     return df if "_form" in df.columns else df.select("*", F.explode(F.array(compatibility_form(F.col(text)))).alias("_form"))
 
 
+def once_per_text(rows: DataFrame, names: list[str], read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``read`` adds to their texts ``names``; each different text is read once and joined back.
+
+    ``read`` gets a table of different texts and must depend on nothing else; rows whose texts it leaves out go.
+    """
+    found = read(rows.select(*names).distinct())
+    found = found.select(*[F.col(c).alias(f"_read_{c}" if c in names else c) for c in found.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_read_{c}")) for c in names])
+    return rows.join(found, same).drop(*[f"_read_{c}" for c in names])
+
+
 def with_dimension(df: DataFrame, text: str = "text", out: str = "dimension", keep_form: bool = False) -> DataFrame:
     """Attach ``struct(kind, nominal, upper, lower, unit, is_reference)`` parsed from the text.
 

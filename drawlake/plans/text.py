@@ -43,8 +43,11 @@ def parsed(t):
 
 
 def families(t):
-    rows = text.with_family(text.with_dimension(t("ocr_records"), keep_form=True))
-    return rows.withColumn("priority", text.review_priority(F.col("text"), F.col("dimension.kind"), F.col("family")))
+    def read(texts):
+        rows = text.with_family(text.with_dimension(texts, keep_form=True))
+        return rows.withColumn("priority", text.review_priority(F.col("text"), F.col("dimension.kind"), F.col("family")))
+
+    return text.once_per_text(t("ocr_records"), ["text"], read)
 
 
 @query("parse_dimension", f"SELECT record_id, text, kind, nominal, upper + 0.0 AS upper, lower + 0.0 AS lower, unit, is_reference FROM ({PARSED}) q")
@@ -230,12 +233,17 @@ AGREE = " AND ".join(f"o.{name} IS NOT DISTINCT FROM p.{name}" for name in ("kin
 )
 def dimension_agreement(t):
     """Whether an outside reading has all fields of the local one; null where it gave none."""
-    local = parsed(t).select("record_id", F.col("dimension").alias("a")).where("a.kind <> 'unknown'")
-    other = text.with_dimension(t("rereads").where("view = 1 and text is not null")).select("record_id", F.col("dimension").alias("b"), F.lit(True).alias("answered"))
+    other = t("rereads").where("view = 1 and text is not null").select("record_id", F.col("text").alias("reread"))
+    rows = t("ocr_records").select("record_id", "text").join(other, "record_id", "left")
     agrees = F.lit(True)
     for name in ("kind", "nominal", "upper", "lower", "unit", "is_reference"):
         agrees = agrees & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-    return local.join(other, "record_id", "left").select("record_id", F.when(F.col("answered"), agrees).alias("agrees"))
+
+    def read(pairs):
+        local = text.with_dimension(pairs, out="a").where("a.kind <> 'unknown'")
+        return text.with_dimension(local, "reread", "b").select("text", "reread", F.when(F.col("reread").isNotNull(), agrees).alias("agrees"))
+
+    return text.once_per_text(rows, ["text", "reread"], read).select("record_id", "agrees")
 
 
 @query(

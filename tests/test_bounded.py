@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from drawlake.functions import text
 from drawlake.operators import curves, paths, prefix, scale, spatial
 from drawlake.plans import certify
 
@@ -103,3 +104,23 @@ def test_queries_are_the_same_for_large_cases(spark, monkeypatch, name, module,
         want = run()
     monkeypatch.setattr(module, limit, 3)
     assert want and run() == want
+
+
+@pytest.mark.parametrize("name", ["review_priority", "dimension_agreement"])
+def test_each_text_is_parsed_once(spark, monkeypatch, name):
+    parsed, parse = [], text.with_dimension
+
+    def counting(df, *args, **kw):
+        names = [c for c in df.columns if c in ("text", "reread")]
+        parsed.append(df.count() - df.select(*names).distinct().count())
+        return parse(df, *args, **kw)
+
+    monkeypatch.setattr(text, "with_dimension", counting)
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert parsed and not any(parsed)
+
+
+def test_rows_keep_what_is_read_from_their_texts(spark):
+    rows = spark.createDataFrame([(1, "R4", None), (2, None, "R4"), (3, None, None), (4, "R4", None), (5, None, "R4"), (6, "x", "R4")], "id int, text string, other string")
+    got = text.once_per_text(rows, ["text", "other"], lambda pairs: pairs.where("text is null or text <> 'x'").withColumn("size", F.length(F.concat_ws("", "text", "other"))))
+    assert sorted(map(tuple, got.select("id", "size").collect())) == [(1, 2), (2, 2), (3, 0), (4, 2), (5, 2)]
