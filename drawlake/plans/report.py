@@ -318,6 +318,11 @@ SCORED = """SELECT *, CASE WHEN reasons = '' THEN round(0.5 * coverage + 0.3 * s
   CASE WHEN unsupported > entity_count THEN 'invalid_unsupported_primitive_count' END) AS reasons FROM {candidates}) s"""
 
 
+def round_binary(value, digits):
+    """The binary value rounded, as SQL does: 0.575 * 100 is below 57.5, while F.round with digits takes the decimal ones."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def scored(t):
     """Hard reasons first; only an admissible candidate gets a score."""
     reasons = F.concat_ws(
@@ -330,7 +335,7 @@ def scored(t):
         F.when(F.col("unsupported") > F.col("entity_count"), "invalid_unsupported_primitive_count"),
     )
     value = 0.5 * F.col("coverage") + 0.3 * F.col("support") + 0.2 * (1 - F.col("unsupported") / F.col("entity_count"))
-    return t("candidates").withColumn("reasons", reasons).withColumn("score", F.when(F.col("reasons") == "", F.round(value, 9)))
+    return t("candidates").withColumn("reasons", reasons).withColumn("score", F.when(F.col("reasons") == "", round_binary(value, 9)))
 
 
 @query("candidate_score", f"SELECT candidate_id, reasons, score FROM ({SCORED}) q")
@@ -344,8 +349,7 @@ def candidate_score(t):
        coverage DESC, entity_count, candidate_id) AS rank FROM ({SCORED}) q WHERE score IS NOT NULL) r WHERE rank <= 5""",
 )
 def score_rank(t):
-    # Hundredths of the binary value, as SQL rounds it: 0.575 * 100 is below 57.5, while F.round takes the decimal digits.
-    order = [F.round(F.col("score") * 100).desc(), F.col("unsupported"), F.col("coverage").desc(), F.col("entity_count"), F.col("candidate_id")]
+    order = [round_binary(F.col("score"), 2).desc(), F.col("unsupported"), F.col("coverage").desc(), F.col("entity_count"), F.col("candidate_id")]
     ranked = report.top_per_group(scored(t).where(F.col("score").isNotNull()), ["case_id"], order, 5)
     return ranked.select("case_id", "candidate_id", "rank")
 

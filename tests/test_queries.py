@@ -56,3 +56,18 @@ def test_score_rank_rounds_as_its_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
         want = con.execute(entry.oracle_sql()["score_rank"]).fetchall()
     assert sorted(map(tuple, entry.queries()["score_rank"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_candidate_score_rounds_as_its_sql(spark, tmp_path):
+    """With 1024 or 2048 entities the score ends in 5 at the tenth digit, where decimal and binary rounding part too."""
+    values = [(0.02, 35.0, 5, 1021), (0.02, 35.0, 6, 2045), (0.09, 31.0, 3, 1021), (0.03, 50.0, 3, 5)]  # discount, quantity, supplier, line
+    lines = " UNION ALL ".join(
+        f"SELECT 1::BIGINT AS l_orderkey, {n}::INTEGER AS l_linenumber, 1::BIGINT AS l_partkey, {s}::BIGINT AS l_suppkey, {q}::DOUBLE AS l_quantity, {i}::DOUBLE AS l_extendedprice, {d}::DOUBLE AS l_discount, "
+        f"0.0::DOUBLE AS l_tax, 'N' AS l_returnflag, 'F' AS l_linestatus" for i, (d, q, s, n) in enumerate(values))
+    path = f"{tmp_path}/lineitem.parquet"
+    with duckdb.connect() as con:
+        con.execute(f"COPY ({lines}) TO '{path}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+        for name in ("candidate_score", "score_rank"):
+            want = con.execute(entry.oracle_sql()[name]).fetchall()
+            assert want and sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
