@@ -319,8 +319,12 @@ SCORED = """SELECT *, CASE WHEN reasons = '' THEN round(0.5 * coverage + 0.3 * s
 
 
 def round_binary(value, digits):
-    """The binary value rounded, as SQL does: 0.575 * 100 is below 57.5, while F.round with digits takes the decimal ones."""
-    return F.round(value * 10.0**digits) / 10.0**digits
+    """The binary value rounded, as SQL does: 0.575 * 100 is below 57.5, while F.round with digits takes the decimal ones.
+
+    A value too large to be scaled has no digits to round and stays.
+    """
+    scaled = value * 10.0**digits
+    return F.when(F.abs(scaled) == float("inf"), value).otherwise(F.round(scaled) / 10.0**digits)
 
 
 def scored(t):

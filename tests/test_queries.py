@@ -71,3 +71,19 @@ def test_candidate_score_rounds_as_its_sql(spark, tmp_path):
         for name in ("candidate_score", "score_rank"):
             want = con.execute(entry.oracle_sql()[name]).fetchall()
             assert want and sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_scores_too_large_to_scale_stay(spark, tmp_path):
+    """1e301 times 10**9 is infinite; the SQL keeps such a score, and orders by it."""
+    values = [(1e300, 50.0, 1, 1), (2e300, 50.0, 3, 2), (float("inf"), 50.0, 2, 3), (float("nan"), 50.0, 1, 4), (-1e306, 50.0, 1, 5), (0.05, 1e306, 1, 6)]  # discount, quantity, supplier, line
+    lines = " UNION ALL ".join(
+        f"SELECT 1::BIGINT AS l_orderkey, {n}::INTEGER AS l_linenumber, 1::BIGINT AS l_partkey, {s}::BIGINT AS l_suppkey, {q}::DOUBLE AS l_quantity, {i}::DOUBLE AS l_extendedprice, '{d}'::DOUBLE AS l_discount, "
+        f"0.0::DOUBLE AS l_tax, 'N' AS l_returnflag, 'F' AS l_linestatus" for i, (d, q, s, n) in enumerate(values))
+    path = f"{tmp_path}/lineitem.parquet"
+    with duckdb.connect() as con:
+        con.execute(f"COPY ({lines}) TO '{path}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}'")
+        for name in ("candidate_score", "score_rank"):
+            want = con.execute(entry.oracle_sql()[name]).fetchall()
+            got = entry.queries()[name](spark, str(tmp_path)).collect()
+            assert want and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
