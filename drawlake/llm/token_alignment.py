@@ -270,7 +270,7 @@ def _score(chunk: pa.Table, pairs: pa.Table) -> pa.Table:
     out = {c.split()[0]: [] for c in _RESULT.split(", ")}
     order = np.argsort(pairs["code"].to_numpy())
     total, best = pairs["total"].to_numpy()[order], pairs["best"].to_numpy()[order]
-    for row in chunk.drop_columns(["codes", "counts"]).to_pylist():
+    for row in chunk.to_pylist():
         sizes, flat, many, where = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("sizes", "parts", "ends", "links"))
         # The pairs of a chunk come back complete and in the order of their codes.
         scores = {"n_best": _sums(best[where], many), "count_sum": _sums(total[where], many)}
@@ -298,11 +298,11 @@ def align_corpus(docs: DataFrame, a_path: str | None = None, b_path: str | None
     ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     function = _chunks(a_path or tokenizer_path(A_MODEL), b_path or tokenizer_path(B_MODEL), chunk_chars)
-    chunks = staged(chosen.mapInArrow(function, _CHUNK), "aligned-chunks")
+    chunks = staged(chosen.mapInArrow(function, _CHUNK), "aligned-chunks", long_rows=True)
     asked = chunks.select(F.col("chunk").alias("home"), F.explode("codes").alias("code"))
     # A part that only documents without tokens hold counts nowhere.
     answered = asked.join(pair_counts(chunks), "code", "left").select("home", "code", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "best")))
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("home")).applyInArrow(_score, _RESULT)
+    return chunks.drop("codes", "counts").groupBy("chunk").cogroup(answered.groupBy("home")).applyInArrow(_score, _RESULT)
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
+import os
 import random
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from drawlake.llm import token_alignment as T
+from drawlake.llm.common import staged
 from drawlake.llm.packing import tokenizer_path
 
 from .conftest import prose
@@ -87,6 +91,31 @@ def test_groups_equal_components_of_overlaps():
         assert found.a_group.tolist() == np.searchsorted(both, a).tolist() and found.b_group.tolist() == np.searchsorted(both, b).tolist()
 
 
+def test_rows_of_megabytes_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    written = []
+
+    def megabytes(*_):
+        def rows(batches):
+            for _ in batches:
+                pass
+            for k in range(48):
+                own = {c: os.urandom(1 << 20) if c == "links" else b"" for c in ("sizes", "parts", "ends", "links")}
+                yield pa.RecordBatch.from_pylist([{"chunk": k, "docs": [], "codes": [], "counts": []} | own], schema)
+
+        doc = pa.struct([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in T._DOC.split(", ")])
+        schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(doc)), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+                            *((c, pa.binary()) for c in ("sizes", "parts", "ends", "links"))])
+        return rows
+
+    monkeypatch.setattr(T, "_chunks", megabytes)
+    monkeypatch.setattr(T, "staged", lambda *a, **b: written.append(staged(*a, **b)) or written[-1])
+    T.align_corpus(spark.createDataFrame([(1, "x")], "doc_id long, text string").coalesce(1))
+    (file,) = [f.removeprefix("file:").replace("///", "/") for f in written[0].inputFiles()]
+    found = pq.ParquetFile(file).metadata
+    groups = [found.row_group(k) for k in range(found.num_row_groups)]
+    assert found.num_rows == 48 and max(g.total_byte_size for g in groups) < 24 << 20
+
+
 def test_kept_parts_are_bounded():
     paths = tokenizer_path(T.A_MODEL), tokenizer_path(T.B_MODEL)
     code, other = T.Aligner(*paths, limit=60_000), T.Aligner(*paths)
