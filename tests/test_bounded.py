@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from drawlake.functions import text
-from drawlake.operators import curves, paths, prefix, scale, spatial
+from drawlake.operators import curves, nesting, paths, prefix, scale, spatial
 from drawlake.plans import certify
 
 
@@ -124,3 +124,37 @@ def test_rows_keep_what_is_read_from_their_texts(spark):
     rows = spark.createDataFrame([(1, "R4", None), (2, None, "R4"), (3, None, None), (4, "R4", None), (5, None, "R4"), (6, "x", "R4")], "id int, text string, other string")
     got = text.once_per_text(rows, ["text", "other"], lambda pairs: pairs.where("text is null or text <> 'x'").withColumn("size", F.length(F.concat_ws("", "text", "other"))))
     assert sorted(map(tuple, got.select("id", "size").collect())) == [(1, 2), (2, 2), (3, 0), (4, 2), (5, 2)]
+
+
+def test_rings_nest_in_the_row_of_their_case_as_across_cells(spark, monkeypatch):
+    rng, rows = random.Random(11), []
+
+    def ring(case, name, x, y, *sizes):
+        at = [(x + r * math.cos(2 * math.pi * k / len(sizes)), y + r * math.sin(2 * math.pi * k / len(sizes))) for k, r in enumerate(sizes)]
+        rows.extend((case, name, *at[k], *at[(k + 1) % len(at)]) for k in range(len(at)))
+
+    for case in range(12):
+        for k in range(1 + case % 5):  # around one centre, in every third case with rings of their own beside them, in some with a ring across
+            ring(case, f"r{k}", 0.0, 0.0, *[20.0 - 4 * k - rng.random() for _ in range(3 + case)])
+            if case % 3 == 0:
+                ring(case, f"s{k}", 60.0 + 9 * k, 1.0, 3.0, 3.0, 3.0)
+        if case in (3, 8):
+            ring(case, "x", 20.0, 0.0, 3.0, 3.0, 3.0, 3.0)
+    ring(None, "alone", 0.0, 0.0, 5.0, 5.0, 5.0)
+    ring(None, "in", 0.0, 0.0, 1.0, 1.0, 1.0)
+    ring(20, None, 0.0, 0.0, 9.0, 9.0, 9.0)
+    ring(20, "in", 0.0, 0.0, 1.0, 1.0, 1.0)
+    rows += [(21, "null", None, 0.0, 1.0, None), (21, "null", 1.0, 1.0, 0.0, 0.0), (21, "flat", 0.0, 0.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(rows, "case_id int, ring string, sx double, sy double, ex double, ey double")
+
+    def found():
+        whole = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+        return sorted((whole(r) for r in nesting.nesting(edges).collect()), key=repr)
+
+    with monkeypatch.context() as m:
+        m.setattr(nesting, "checkpoint", refuse)
+        got = found()
+    assert len(got) == len({r[:2] for r in rows}) and {r[4] for r in got} >= {0, 1, 2, 3, 4, None} and {r[0] for r in got if r[-1]} >= {3, 8}
+    for most in (30, 0):  # some large cases, then all of them
+        monkeypatch.setattr(nesting, "MOST_SHAPES", most)
+        assert found() == got
