@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from drawlake.functions import text
-from drawlake.operators import curves, nesting, paths, prefix, scale, spatial
+from drawlake.operators import compare, curves, nesting, paths, prefix, scale, spatial
 from drawlake.plans import certify
 
 
@@ -158,3 +159,52 @@ def test_rings_nest_in_the_row_of_their_case_as_across_cells(spark, monkeypatch)
     for most in (30, 0):  # some large cases, then all of them
         monkeypatch.setattr(nesting, "MOST_SHAPES", most)
         assert found() == got
+
+
+def test_errors_are_localized_by_curve_layer_and_scope_in_cases_of_any_size(spark, monkeypatch):
+    rng = random.Random(7)
+
+    def lines(case, corners, layer):
+        ends = list(zip(corners, corners[1:] + corners[:1]))
+        return [(case, k, *a, *b, math.dist(a, b), layer(k)) for k, (a, b) in enumerate(ends)]
+
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    wild = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(30)]
+    layer = lambda k: "GT_CLOSURE" if k % 4 == 0 else "GT_MAIN" if k % 3 else "CONSTRUCTION"
+    reference = lines(1, square, layer) + lines(2, wild, layer)
+    predicted = lines(1, [(x - 1.0, y - 1.0) for x, y in square], lambda k: "MAIN") + lines(2, [(x + rng.uniform(-3, 3), y + 1.0) for x, y in wild], lambda k: "MAIN")
+    predicted += lines(3, square, lambda k: "MAIN")  # without a reference
+    schema = "case_id int, ord int, sx double, sy double, ex double, ey double, length double, layer string"
+
+    def distance(p, line):
+        _, _, sx, sy, ex, ey, length, _ = line
+        t = min(1.0, max(0.0, ((p[0] - sx) * (ex - sx) + (p[1] - sy) * (ey - sy)) / length ** 2))
+        return math.hypot(p[0] - sx - t * (ex - sx), p[1] - sy - t * (ey - sy))
+
+    want, r6 = {}, lambda v: round(float(v), 6)
+    for side, source, target in (("prediction", predicted, reference), ("reference", reference, predicted)):
+        for case in (1, 2):
+            groups, spots, others = {}, {}, [x for x in target if x[0] == case]
+            for x in (x for x in source if x[0] == case):
+                n = max(2, math.ceil(x[6] / 4.0) + 1)
+                points = [(x[2] + i / (n - 1) * (x[4] - x[2]), x[3] + i / (n - 1) * (x[5] - x[3])) for i in range(n)]
+                far = [min(distance(p, o) for o in others) for p in points]
+                at = next(p for p, d in zip(points, far) if d >= max(far) - 1e-8)
+                near = [distance(at, o) for o in others]
+                spots[x[1]] = (r6(at[0]), r6(at[1]), [o[1] for o, d in zip(others, near) if d <= min(near) + 1e-8])
+                scope = "reference_assumptions" if x[7] == "GT_CLOSURE" else "reference_core"
+                for key in [("curve", x[1], x[7])] + [("layer", None, x[7]), ("scope", None, scope)] * (side == "reference"):
+                    groups.setdefault(key, []).extend(far)
+            order = sorted((-r6(max(v)), k[1]) for k, v in groups.items() if k[0] == "curve")
+            for key, v in groups.items():
+                v = np.array(v)
+                own = (*spots[key[1]], place if (place := 1 + [o for _, o in order].index(key[1])) <= 5 else None) if key[0] == "curve" else (None,) * 4
+                want[case, side, *key] = (r6(v.max()), r6(np.quantile(v, 0.95)), r6(np.sqrt(np.mean(v ** 2))), len(v), *own)
+    assert any(len(v[6] or []) > 1 for v in want.values())
+    tables = [spark.createDataFrame(rows, schema) for rows in (predicted, reference)]
+    for most, points in ((spatial.MOST_SHAPES, compare.MOST_POINTS), (8, 40)):  # then the second case is large
+        monkeypatch.setattr(spatial, "MOST_SHAPES", most)
+        monkeypatch.setattr(compare, "MOST_POINTS", points)
+        rows = compare.localized(*tables, 4.0, F.col("layer") == "GT_CLOSURE").collect()
+        got = {tuple(r[:5]): tuple(r6(v) if isinstance(v, float) else v for v in r[5:]) for r in rows}
+        assert len(rows) == len(got) and got == want
